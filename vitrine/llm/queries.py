@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold a QUERIES dict.
-MODULES = ["group_queries", "address_queries", "linkage_queries"]
+MODULES = ["group_queries", "address_queries", "linkage_queries", "text_queries"]
 
 QUERIES: dict = {}
 for _name in MODULES:
