@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.languages import identified, to_correct
 from vitrine.llm.leakage import leaked
 from vitrine.sources.tables import table
 
@@ -16,4 +17,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(c("doc").alias("doc_id"), c("item").alias("item_id"))
 
 
-QUERIES = {"p9_found": (p9_found, None)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or one of several languages."""
+    c = F.col
+    found = identified(table(spark, folder, "documents"), doc=c("doc_id"), text=c("text"), label=c("lang"), host=c("source"), address=c("url"))
+    return to_correct(found).select(c("doc").alias("doc_id"), c("language").alias("lang"))
+
+
+QUERIES = {"p9_found": (p9_found, None), "p10_found": (p10_found, None)}
