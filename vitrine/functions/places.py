@@ -48,5 +48,5 @@ def canonical_place(text: Column, names: Column) -> Column:
 def place_at_head(text: Column, names: Column) -> Column:
     """The longest name in the first ``HEAD`` characters that no word of nearness precedes."""
     head = F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(F.substring(text, 1, HEAD))), "[^a-z0-9]+", " "), F.lit(" "))
-    at = lambda n: F.charindex(F.concat(F.lit(" "), F.replace(n["slug"], F.lit("-"), F.lit(" ")), F.lit(" ")), head)
+    at = lambda n: F.position(F.concat(F.lit(" "), F.replace(n["slug"], F.lit("-"), F.lit(" ")), F.lit(" ")), head)
     return _longest(names, lambda n: (F.length(n["slug"]) >= SHORTEST) & (at(n) > 0) & ~F.substr(head, F.greatest(at(n) - BEFORE, F.lit(1)), F.least(at(n), F.lit(BEFORE))).rlike(NEARNESS))

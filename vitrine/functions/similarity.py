@@ -1,6 +1,7 @@
 """Comparators of two listings: each between 0 and 1, null if either side lacks what it needs.
 
-``a`` and ``b`` name struct columns; a registry maps comparator names to functions of both.
+``a`` and ``b`` are struct columns made by :func:`prepared`; a registry maps
+comparator names to functions of both.
 """
 
 from __future__ import annotations
@@ -8,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import digits, text_similarity, tokens
+from vitrine.functions.text import digits, jaccard, tokens
 
 EARTH_M = 6_371_000.0
 
@@ -38,15 +39,37 @@ def photo_names(photos: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(photos, lambda u: F.coalesce(long_hex(u), stem(u)))))
 
 
+def cost(total: Column, price: Column) -> Column:
+    """Total cost, or the price where the total is missing or 0."""
+    return F.coalesce(F.nullif(total, F.lit(0.0)), price)
+
+
+def prepared() -> Column:
+    """What the comparators need of a listing, worked out once per row instead of once per pair."""
+    c = F.col
+    filled = lambda x: F.when(F.size(x) > 0, x)
+    return F.struct(
+        "latitude", "longitude", "area_m2", "quartos", "suites", "banheiros", "vagas", "site",
+        filled(tokens(c("logradouro"))).alias("street"),
+        digits(c("numero")).alias("number"),
+        filled(tokens(c("condominio_nome"))).alias("building"),
+        filled(F.when(F.length("descricao") >= 60, tokens(c("descricao")))).alias("description"),
+        filled(tokens(c("imobiliaria"))).alias("agency"),
+        F.right(digits(c("telefone")), F.lit(8)).alias("phone"),
+        F.nullif(F.array_join(F.array_sort(tokens(c("cidade"))), " "), F.lit("")).alias("city"),
+        filled(photo_names(c("fotos"))).alias("photos"),
+        cost(c("custo_mensal_total"), c("preco")).alias("cost"),
+    )
+
+
 def _position(a: Column, b: Column) -> Column:
     d = flat_distance(a["latitude"], a["longitude"], b["latitude"], b["longitude"])
     return F.when(d < 50, 1.0).when(d < 150, 0.7).when(d < 400, 0.3).when(d.isNotNull(), 0.0)
 
 
 def _address(a: Column, b: Column) -> Column:
-    base = text_similarity(a["logradouro"], b["logradouro"])
-    x, y = digits(a["numero"]), digits(b["numero"])
-    return F.when(x == y, F.least(F.lit(1.0), base + 0.3)).when(x != y, base * 0.5).otherwise(base)
+    base = jaccard(a["street"], b["street"])
+    return F.when(a["number"] == b["number"], F.least(F.lit(1.0), base + 0.3)).when(a["number"] != b["number"], base * 0.5).otherwise(base)
 
 
 def _rooms(a: Column, b: Column) -> Column:
@@ -57,35 +80,20 @@ def _rooms(a: Column, b: Column) -> Column:
     return F.when(known > 0, equal / known)
 
 
-def _photos(a: Column, b: Column) -> Column:
-    x, y = photo_names(a["fotos"]), photo_names(b["fotos"])
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-
-
-def _description(a: Column, b: Column) -> Column:
-    long = (F.length(a["descricao"]) >= 60) & (F.length(b["descricao"]) >= 60)
-    return F.when(long, text_similarity(a["descricao"], b["descricao"]))
-
-
 def _contact(a: Column, b: Column) -> Column:
-    x, y = F.right(digits(a["telefone"]), F.lit(8)), F.right(digits(b["telefone"]), F.lit(8))
-    return F.when(x.isNotNull() & y.isNotNull(), (x == y).cast("double")).otherwise(text_similarity(a["imobiliaria"], b["imobiliaria"]))
-
-
-def cost(row: Column) -> Column:
-    """Total cost, or the price where the total is missing or 0."""
-    return F.coalesce(F.nullif(row["custo_mensal_total"], F.lit(0.0)), row["preco"])
+    phones = a["phone"].isNotNull() & b["phone"].isNotNull()
+    return F.when(phones, (a["phone"] == b["phone"]).cast("double")).otherwise(jaccard(a["agency"], b["agency"]))
 
 
 COMPARATORS: dict[str, Callable[[Column, Column], Column]] = {
     "geo": _position,
     "endereco": _address,
     "area": lambda a, b: decay(relative(a["area_m2"], b["area_m2"]), 0.02, 0.12),
-    "custo": lambda a, b: decay(relative(cost(a), cost(b)), 0.01, 0.15),
-    "fotos": _photos,
+    "custo": lambda a, b: decay(relative(a["cost"], b["cost"]), 0.01, 0.15),
+    "fotos": lambda a, b: jaccard(a["photos"], b["photos"]),
     "comodos": _rooms,
-    "condominio": lambda a, b: text_similarity(a["condominio_nome"], b["condominio_nome"]),
-    "descricao": _description,
+    "condominio": lambda a, b: jaccard(a["building"], b["building"]),
+    "descricao": lambda a, b: jaccard(a["description"], b["description"]),
     "contato": _contact,
 }
 
@@ -105,31 +113,39 @@ class MatchPolicy:
 
 def veto(a: Column, b: Column, policy: MatchPolicy) -> Column:
     """Why two listings can't be the same dwelling; null if nothing speaks against it."""
-    plain = lambda c: F.nullif(F.array_join(F.array_sort(tokens(c)), " "), F.lit(""))
     return (
-        F.when(plain(a["cidade"]) != plain(b["cidade"]), "cidade")
+        F.when(a["city"] != b["city"], "cidade")
         .when(F.abs(a["quartos"] - b["quartos"]) >= policy.rooms_apart, "quartos")
         .when(relative(a["area_m2"], b["area_m2"]) > policy.area_apart, "area")
         .when((a["site"] == b["site"]) & (a["site"] != ""), "mesma_fonte")
     )
 
 
-def compared(a: Column, b: Column, policy: MatchPolicy | None = None) -> Column:
-    """``struct(score, class, signals, veto, n)`` of a pair: the weighted mean of the comparators that have data."""
+def compared(pairs: DataFrame, policy: MatchPolicy | None = None) -> DataFrame:
+    """``pairs`` with structs ``ra``, ``rb`` (see :func:`prepared`) replaced by ``raw, score, class, signals, veto, n``.
+
+    The score is the weighted mean of the comparators that have data, 0 under a
+    veto. Each step is a projection of its own, so no comparator is evaluated twice.
+    """
     policy = policy or MatchPolicy()
-    values = {name: COMPARATORS[name](a, b) for name in policy.weights}
-    reason = veto(a, b, policy)
-    n = sum((v.isNotNull().cast("int") for v in values.values()), F.lit(0))
-    above = sum((F.coalesce(v * policy.weights[k], F.lit(0.0)) for k, v in values.items()), F.lit(0.0))
-    below = sum((F.when(v.isNotNull(), policy.weights[k]).otherwise(0.0) for k, v in values.items()), F.lit(0.0))
-    score = F.when(reason.isNotNull(), 0.0).otherwise(F.coalesce(F.try_divide(above, below), F.lit(0.0)))
-    sure = (score >= policy.same) & (n >= policy.least_signals) & ~F.coalesce(F.round(values["custo"], 3) == 0, F.lit(False)) if "custo" in values else (score >= policy.same) & (n >= policy.least_signals)
+    kept = [c for c in pairs.columns if c not in ("ra", "rb")]
+    names = list(policy.weights)
+    checked = pairs.withColumn("veto", veto(F.col("ra"), F.col("rb"), policy))
+    values = [F.when(F.col("veto").isNull(), COMPARATORS[k](F.col("ra"), F.col("rb"))).alias(f"_{k}") for k in names]
+    signalled = checked.select(*kept, "veto", *values)
+    above = sum((F.coalesce(F.col(f"_{k}") * w, F.lit(0.0)) for k, w in policy.weights.items()), F.lit(0.0))
+    below = sum((F.when(F.col(f"_{k}").isNotNull(), w).otherwise(0.0) for k, w in policy.weights.items()), F.lit(0.0))
+    n = sum((F.col(f"_{k}").isNotNull().cast("int") for k in names), F.lit(0))
+    scored = signalled.select("*", F.coalesce(F.try_divide(above, below), F.lit(0.0)).alias("raw"), n.alias("n"))
+    sure = (F.col("raw") >= policy.same) & (F.col("n") >= policy.least_signals)
+    if "custo" in names:
+        sure = sure & ~F.coalesce(F.round("_custo", 3) == 0, F.lit(False))
     label = (
-        F.when(reason.isNotNull() | (n == 0), "DIFERENTE")
+        F.when(F.col("veto").isNotNull() | (F.col("n") == 0), "DIFERENTE")
         .when(sure, "MESMO_IMOVEL")
-        .when(score >= policy.probably_same, "PROVAVELMENTE_MESMO")
-        .when(score >= policy.probably_different, "PROVAVELMENTE_DIFERENTE")
+        .when(F.col("raw") >= policy.probably_same, "PROVAVELMENTE_MESMO")
+        .when(F.col("raw") >= policy.probably_different, "PROVAVELMENTE_DIFERENTE")
         .otherwise("DIFERENTE")
     )
-    signals = F.struct(*[F.round(v, 3).alias(k) for k, v in values.items()])
-    return F.struct(score.alias("raw"), F.round(score, 4).alias("score"), label.alias("class"), signals.alias("signals"), reason.alias("veto"), n.alias("n"))
+    signals = F.struct(*[F.round(f"_{k}", 3).alias(k) for k in names])
+    return scored.select(*kept, "raw", F.round("raw", 4).alias("score"), label.alias("class"), signals.alias("signals"), "veto", "n")

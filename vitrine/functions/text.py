@@ -29,7 +29,7 @@ def strip_accents(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Comparable form of a name: plain lower-case letters and digits joined by hyphens; null gives ''."""
-    return F.coalesce(F.trim(F.lit("-"), F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", "-")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
 
 def squeezed(text: Column) -> Column:

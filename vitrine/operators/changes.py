@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +15,32 @@ def change_log(rows: DataFrame, *, key: list[str], order: list[str], value: str,
     Adds ``kind`` (CRIADO, PRECO_ALTERADO), ``before``, ``delta``, ``delta_pct``
     (both rounded to 2; null for the first and for a zero before). Null values
     are left out. The comparison is with the last emitted value, so slow drift
-    is caught: per key the ordered values are folded in one aggregate that
-    carries the emitted rows along.
+    is caught. Rows equal to the one before never matter and are dropped in the
+    window that orders the key; the rest is folded in that order as a stream,
+    with one value of state, so a key with very many rows is never held whole.
     """
-    at = F.struct(*[F.col(o) for o in order])
-    ordered = rows.where(F.col(value).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("v")))).alias("vs"))
-    item = "array<struct<at:" + rows.select(at.alias("x")).schema["x"].dataType.simpleString() + ",v:double,before:double>>"
-    step = lambda acc, x: F.when(
-        (F.size(acc) == 0) | (F.round(F.abs(F.element_at(acc, -1)["v"] - x["v"]), 9) >= tolerance),
-        F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["v"].alias("v"), F.element_at(acc, -1)["v"].alias("before")))),
-    ).otherwise(acc)
-    emitted = ordered.withColumn("vs", F.aggregate("vs", F.array().cast(item), lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["at"].alias("at"), x["v"].alias("v"), F.lit(None).cast("double").alias("before")))).otherwise(step(acc, x))))
-    e = emitted.select(*key, F.explode("vs").alias("e")).select(*key, *[F.col(f"e.at.{o}").alias(o) for o in order], F.col("e.before").alias("before"), F.col("e.v").alias(value))
-    return event_deltas(e, "before", value).withColumn("kind", F.when(F.col("before").isNull(), "CRIADO").otherwise("PRECO_ALTERADO"))
+    w = Window.partitionBy(*key).orderBy(*order)
+    ordered = rows.where(F.col(value).isNotNull()).select(*key, *order, F.col(value).cast("double").alias(value)).withColumn("before", F.lag(value).over(w))
+    moved = ordered.where(F.col("before").isNull() | (F.col("before") != F.col(value)))
+    width, at = len(key), len(key) + len(order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for b in batches:
+            keys = list(zip(*[col.to_pylist() for col in b.columns[:width]], strict=True))
+            keep, befores = [], []
+            for k, v in zip(keys, b.column(at).to_pylist(), strict=True):
+                if k != current:
+                    current, last = k, None
+                emit = last is None or round(abs(v - last), 9) >= tolerance
+                keep.append(emit)
+                befores.append(last if emit else None)
+                last = v if emit else last
+            columns = [*b.columns[: at + 1], pa.array(befores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+
+    emitted = moved.mapInArrow(fold, moved.schema)
+    return event_deltas(emitted, "before", value).withColumn("kind", F.when(F.col("before").isNull(), "CRIADO").otherwise("PRECO_ALTERADO"))
 
 
 def event_deltas(rows: DataFrame, before: str, after: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.similarity import MatchPolicy, compared, cost, photo_names
+from vitrine.functions.similarity import MatchPolicy, compared, cost, photo_names, prepared
 from vitrine.functions.text import digits, slug, tokens
 from vitrine.session import discard, materialize_at
 
@@ -13,7 +13,7 @@ from vitrine.session import discard, materialize_at
 BLOCK_CAP = 60
 
 
-def block_keys(row: dict[str, Column] | None = None) -> Column:
+def block_keys() -> Column:
     """Array of the blocking keys of a listing; unknown rooms block together under -1."""
     c = lambda n: F.col(n)
     rooms = F.coalesce(c("quartos"), F.lit(-1)).cast("string")
@@ -21,7 +21,7 @@ def block_keys(row: dict[str, Column] | None = None) -> Column:
     key = lambda kind, *parts: F.when(_known(*parts), F.concat_ws("|", F.lit(kind), *parts))
     band = F.bround(c("area_m2") / 5) * 5
     areas = [key("bairro", slug_or_null(c("bairro")), rooms, (band + d).cast("int").cast("string")) for d in (-5, 0, 5)]
-    price = F.floor(cost({n: c(n) for n in ("custo_mensal_total", "preco")}) / 100).cast("string")
+    price = F.floor(cost(c("custo_mensal_total"), c("preco")) / 100).cast("string")
     single = [
         key("geo", F.format_number(F.bround("latitude", 3), 3), F.format_number(F.bround("longitude", 3), 3), rooms),
         key("rua", plain(c("logradouro")), digits(c("numero"))),
@@ -63,11 +63,18 @@ def blocked_pairs(keyed: DataFrame, *, id: str, keys: str, cap: int | None = BLO
 
 def scored_pairs(pairs: DataFrame, listings: DataFrame, *, id: str, policy: MatchPolicy | None = None) -> DataFrame:
     """``(a, b, raw, score, class, signals, veto, n)`` for pairs of listing ids."""
-    row = F.struct(*[F.col(c) for c in listings.columns if c != id]).alias("row")
-    rows = listings.select(F.col(id).alias("id"), row)
+    return scored_readings(pairs, readings(listings, id=id), policy=policy)
+
+
+def readings(listings: DataFrame, *, id: str) -> DataFrame:
+    """``(id, row)``: what the comparators need of each listing."""
+    return listings.select(F.col(id).alias("id"), prepared().alias("row"))
+
+
+def scored_readings(pairs: DataFrame, rows: DataFrame, *, policy: MatchPolicy | None = None) -> DataFrame:
+    """:func:`scored_pairs` over the table of :func:`readings`."""
     left, right = rows.select(F.col("id").alias("a"), F.col("row").alias("ra")), rows.select(F.col("id").alias("b"), F.col("row").alias("rb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.select("a", "b", compared(F.col("ra"), F.col("rb"), policy).alias("m")).select("a", "b", "m.*")
+    return compared(pairs.select("a", "b").join(left, "a").join(right, "b"), policy)
 
 
 def clusters(edges: DataFrame, listings: DataFrame, *, id: str, policy: MatchPolicy | None = None) -> DataFrame:
@@ -84,6 +91,7 @@ def clusters(edges: DataFrame, listings: DataFrame, *, id: str, policy: MatchPol
     """
     policy = policy or MatchPolicy()
     spark = listings.sparkSession
+    rows, rows_path = materialize_at(readings(listings, id=id), "readings")
     members, member_path = materialize_at(listings.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(id).alias("cluster")).distinct(), "clusters")
     accepted = edges.where(F.col("class").isin("MESMO_IMOVEL", "PROVAVELMENTE_MESMO")).select("a", "b", "raw")
     left, edge_path = materialize_at(accepted, "cluster-edges")
@@ -97,7 +105,7 @@ def clusters(edges: DataFrame, listings: DataFrame, *, id: str, policy: MatchPol
         chosen = ends.groupBy("e").count().where("count = 2").select("e.x", "e.y")
         sides = lambda c, m: members.select(F.col("cluster").alias(c), F.col("id").alias(m))
         cross = chosen.join(sides("x", "i"), "x").join(sides("y", "j"), "y").select("x", "y", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        scores = cross.join(scored_pairs(cross.select("a", "b").distinct(), listings, id=id, policy=policy).select("a", "b", "score"), ["a", "b"])
+        scores = cross.join(scored_readings(cross.select("a", "b").distinct(), rows, policy=policy).select("a", "b", "score"), ["a", "b"])
         verdict = scores.groupBy("x", "y").agg(F.min("score").alias("least"))
         decided, decided_path = materialize_at(verdict, "decided")
         moves = decided.where(F.col("least") >= policy.probably_same).select(F.col("y").alias("cluster"), F.col("x").alias("to"))
@@ -106,6 +114,7 @@ def clusters(edges: DataFrame, listings: DataFrame, *, id: str, policy: MatchPol
         for p in (member_path, edge_path, live_path, decided_path):
             discard(spark, p)
         members, member_path, left, edge_path = members_next, member_next, left_next, edge_next
+    discard(spark, rows_path)
     return members
 
 

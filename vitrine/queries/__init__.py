@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold a QUERIES dict.
-MODULES = ["core_problems"]
+MODULES = ["core_problems", "change_queries", "listing_queries", "text_function_queries"]
 
 
 def registry() -> dict:
