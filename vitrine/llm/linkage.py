@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vitrine.operators.nearby import distance_m, usable
 from vitrine.session import discard, materialize, materialize_at
 
+#: What a record must have.
+COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "area", "price", "floor"]
 #: Relative difference up to which two areas may be the same dwelling's.
 AREA = 0.03
 #: Relative difference of prices within which listings without area follow their neighbours.
@@ -167,11 +169,11 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both sides: ``id, building`` (the address group, null if the address names
     none), ``city, street, zip`` ('' if unknown), ``lat, lon, rooms, area,
-    price, floor``. Nulls anywhere only weaken a pair; records without area on
+    price, floor``; other columns are ignored. Nulls anywhere only weaken a pair; records without area on
     the left, and those whose building can't be found, have no match. Ids are
     unique per side.
     """
-    marked = left.withColumn("side", F.lit("l")).unionByName(right.withColumn("side", F.lit("r")))
+    marked = left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
     both = materialize(with_buildings(marked), "placed")
     l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
     similar = own_similarity(candidates(l, r), l, r)
