@@ -100,3 +100,17 @@ def page_text(html: Column) -> Column:
 def digits(text: Column) -> Column:
     """The digits of a text; null if there are none."""
     return F.nullif(F.regexp_replace(text, r"\D", ""), F.lit(""))
+
+
+# Kinds of property in a title that are not dwellings.
+NOT_DWELLINGS = r"(?iuU)\bsala\s+comercial\b|\bgalp[aã]o\b|\bterreno\b|\bconsult[oó]rio\b|\bestabelecimento\s+comercial\b|\bponto\s+comercial\b"
+
+
+def is_dwelling(title: Column) -> Column:
+    """Whether a title names no commercial kind of property; unknown titles pass."""
+    return ~F.coalesce(title.rlike(NOT_DWELLINGS), F.lit(False))
+
+
+def is_recent(updated: Column, run_date: Column, days: int = 30) -> Column:
+    """Whether an update date is at most ``days`` before the run; unknown dates pass."""
+    return F.coalesce(F.datediff(run_date, updated) <= days, F.lit(True))

@@ -108,3 +108,35 @@ def pruned(table: DataFrame, *, inactive: Column, last_seen: Column, run_date: s
 def without_orphans(children: DataFrame, parents: DataFrame, *, child: str, parent: str) -> DataFrame:
     """Rows of ``children`` whose ``child`` column still names a parent; null references stay."""
     return children.where(F.col(child).isNull()).unionByName(children.join(parents.select(F.col(parent).alias(child)).where(f"{child} is not null").distinct(), child, "left_semi"))
+
+
+def listing_events(stored: DataFrame, batch: DataFrame, *, key: str, price: str, texts: dict[str, str], status: str | None = None, absent: tuple[str, ...] = ("SUSPEITO", "INATIVO"), tolerance: float = 0.01) -> DataFrame:
+    """``(key, kind, field, before, after, delta, delta_pct)``: what a batch changes in the stored table, one row per key on both sides.
+
+    New keys give CRIADO with their price; known keys PRECO_ALTERADO if both
+    prices are known and not 0 and differ by ``tolerance``, one event per text
+    column of ``texts`` (column -> kind) whose hash changed between two
+    non-empty values, and REAPARECEU if their status was absent. All come from
+    one join, as filtered elements of one array.
+    """
+    from vitrine.functions.text import text_hash
+
+    some = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
+    old = stored.select(key, F.lit(True).alias("_known"), some(F.col(price)).alias("_p"), *[F.col(t).alias(f"_{t}") for t in texts], (F.col(status) if status else F.lit(None).cast("string")).alias("_status"))
+    both = batch.where(F.col(key).isNotNull()).select(key, some(F.col(price)).alias("p"), *texts).join(old, key, "left")
+    text = lambda c: F.format_string("%.2f", c)
+    event = lambda kind, field, before, after, x=None, y=None: F.struct(
+        F.lit(kind).alias("kind"), F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"),
+        (x if x is not None else F.lit(None).cast("double")).alias("x"), (y if y is not None else F.lit(None).cast("double")).alias("y"),
+    )
+    none = F.lit(None).cast("string")
+    amount = lambda c: F.when(c.isNotNull(), text(c))
+    known = F.coalesce("_known", F.lit(False))
+    events = [
+        F.when(~known, event("CRIADO", price, none, amount(F.col("p")))),
+        F.when(known & (F.round(F.abs(F.col("p") - F.col("_p")), 9) >= tolerance), event("PRECO_ALTERADO", price, amount(F.col("_p")), amount(F.col("p")), F.col("_p"), F.col("p"))),
+        *[F.when(known & (text_hash(F.col(t)) != text_hash(F.col(f"_{t}"))), event(kind, t, text_hash(F.col(f"_{t}")), text_hash(F.col(t)))) for t, kind in texts.items()],
+        F.when(known & F.col("_status").isin(*absent), event("REAPARECEU", status or "", F.col("_status"), none)),
+    ]
+    rows = both.select(key, F.explode(F.array_compact(F.array(*events))).alias("e")).select(key, "e.*")
+    return event_deltas(rows, "x", "y").drop("x", "y")

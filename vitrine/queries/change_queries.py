@@ -174,3 +174,39 @@ QUERIES = {
     "source_yield": (source_yield, SOURCE_YIELD),
     "source_exclusive": (source_exclusive, SOURCE_EXCLUSIVE),
 }
+
+
+def snapshot_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events between the first and the last delivered snapshot, one row per listing."""
+    from vitrine.operators.tables import first_per_key
+
+    rows = table(spark, folder, "imoveis_snapshot").select(listing_key(c("url")).alias("key"), "execucao_id", "preco", F.lower("titulo").alias("titulo"), "entregue_em")
+    at = lambda run: first_per_key(rows.where(c("execucao_id") == run), key=["key"], order=[c("entregue_em").desc(), c("preco").desc(), c("titulo").desc()])
+    events = changes.listing_events(at(401), at(415), key="key", price="preco", texts={"titulo": "DESCRICAO_ALTERADA"})
+    return events.select("key", "kind", "field", F.when(c("field") == "preco", c("after")).alias("after"), "delta", "delta_pct")
+
+
+SNAPSHOT_EVENTS = f"""
+WITH s AS (SELECT {KEY_SQL.format(u="url")} AS key, execucao_id AS r, nullif(preco, 0) AS p, nullif(lower(trim(regexp_replace(titulo, '\\s+', ' ', 'g'))), '') AS t,
+  row_number() OVER (PARTITION BY {KEY_SQL.format(u="url")}, execucao_id ORDER BY entregue_em DESC, preco DESC, lower(titulo) DESC) AS rn FROM imoveis_snapshot),
+a AS (SELECT * FROM s WHERE rn = 1 AND r = 401), b AS (SELECT b.*, a.key IS NOT NULL AS known, a.p AS op, a.t AS ot FROM s b LEFT JOIN a ON a.key = b.key WHERE b.rn = 1 AND b.r = 415)
+SELECT key, 'CRIADO' AS kind, 'preco' AS field, CASE WHEN p IS NOT NULL THEN printf('%.2f', p) END AS after, NULL::DOUBLE AS delta, NULL::DOUBLE AS delta_pct FROM b WHERE NOT known
+UNION ALL SELECT key, 'PRECO_ALTERADO', 'preco', printf('%.2f', p), round(p - op, 2), round(100 * (p - op) / op, 2) FROM b WHERE known AND round(abs(p - op), 9) >= 0.01
+UNION ALL SELECT key, 'DESCRICAO_ALTERADA', 'titulo', NULL, NULL, NULL FROM b WHERE known AND t <> ot
+"""
+QUERIES["snapshot_events"] = (snapshot_events, SNAPSHOT_EVENTS)
+
+
+def daily_minimum(spark: SparkSession, folder: str) -> DataFrame:
+    """Least price of a dwelling on each day over its listings, the last 30 days."""
+    links = table(spark, folder, "imovel_anuncio").select("imovel_id", listing_key(c("url")).alias("key")).distinct()
+    prices = table(spark, folder, "historico_precos").where("preco > 0").select(listing_key(c("url")).alias("key"), "data", "preco")
+    return changes.last_points(links.join(prices, "key"), key=["imovel_id"], day="data", value="preco").select("imovel_id", "data", "preco", "rank")
+
+
+DAILY_MINIMUM = f"""
+WITH l AS (SELECT DISTINCT imovel_id, {KEY_SQL.format(u="url")} AS k FROM imovel_anuncio), p AS (SELECT {KEY_SQL.format(u="url")} AS k, data, preco FROM historico_precos WHERE preco > 0),
+d AS (SELECT imovel_id, data, min(preco) AS preco FROM l JOIN p USING (k) GROUP BY 1, 2)
+SELECT imovel_id, data, preco, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY imovel_id ORDER BY data DESC) AS INT) AS rank FROM d) WHERE rank <= 30
+"""
+QUERIES["daily_minimum"] = (daily_minimum, DAILY_MINIMUM)
