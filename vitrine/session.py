@@ -60,6 +60,8 @@ def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vitrine/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)  # results read it until the session ends
     return spark.read.schema(df.schema).parquet(path), path
 
 
