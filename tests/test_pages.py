@@ -30,3 +30,28 @@ def test_links_from_shared_text(spark):
     html = '<a href="https://wa.example/?text=veja%20https%3A%2F%2Fx.example%2Fimovel%2F7">w</a><a href="//x.example/imovel/8">y</a>'
     got = pages.links(spark.createDataFrame([("https://x.example/l", html)], "u string, h string"), url="u", html="h", containing="/imovel/").collect()
     assert sorted(r["link"] for r in got if not r["link"].startswith("https://wa.")) == ["https://x.example/imovel/7", "https://x.example/imovel/8"]
+
+
+def test_cards(spark):
+    from vitrine.sources.cards import page_cards
+
+    html = '<ul><li><div><a href="/imovel/1">ver</a></div><p>2 quartos</p><p>R$ 1.500</p><img src="/f/1.jpg"></li><li><a href="/imovel/2">só texto</a></li><li><a href="/x">não</a></li></ul>' + "<p>y</p>" * 900
+    got = {r["href"]: (r["text"], r["photo"]) for r in page_cards(spark.createDataFrame([("https://x.example/l", html), ("https://y.example", None)], "u string, h string"), url="u", html="h", containing="/imovel/").collect()}
+    assert got["https://x.example/imovel/1"] == ("ver\n2 quartos\nR$ 1.500", "https://x.example/f/1.jpg")
+    assert got["https://x.example/imovel/2"][0].startswith("ver\n2 quartos") or got["https://x.example/imovel/2"][0] == "só texto"
+
+
+def test_addresses_marks_and_search(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vitrine.functions import places
+    from vitrine.sources.sinks import read_marks, search_url
+
+    names = places.gazetteer(spark.createDataFrame([("Casa Caiada",), ("Boa Viagem",)], "n string"), F.col("n"))
+    rows = spark.createDataFrame([(1, "Rua das Flores\nCasa Caiada, Olinda\n"), (2, "ApartamentoBoa Viagem - Recife - PE"), (3, "Pernambuco - Recife - PE"), (4, None)], "i int, t string")
+    got = {r["i"]: tuple(r["p"]) for r in rows.join(names).select("i", places.place_in_text(F.col("t"), F.col("names"), ["Recife", "Olinda"]).alias("p")).collect()}
+    assert got == {1: ("Rua das Flores", "Casa Caiada", "Olinda"), 2: (None, "Boa Viagem", "Recife"), 3: (None, None, None), 4: (None, None, None)}
+    assert read_marks(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "l.json").write_text('["u1"]')
+    assert [tuple(r) for r in read_marks(spark, str(tmp_path / "l.json")).collect()] == [("u1", "")]
+    assert search_url("https://x/?ps={preco_min}&pf={preco_max}", least=0, most=2500) == "https://x/?pf=2500"

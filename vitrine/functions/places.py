@@ -50,3 +50,25 @@ def place_at_head(text: Column, names: Column) -> Column:
     head = F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(F.substring(text, 1, HEAD))), "[^a-z0-9]+", " "), F.lit(" "))
     at = lambda n: F.position(F.concat(F.lit(" "), F.replace(n["slug"], F.lit("-"), F.lit(" ")), F.lit(" ")), head)
     return _longest(names, lambda n: (F.length(n["slug"]) >= SHORTEST) & (at(n) > 0) & ~F.substr(head, F.greatest(at(n) - BEFORE, F.lit(1)), F.least(at(n), F.lit(BEFORE))).rlike(NEARNESS))
+
+
+def place_in_text(text: Column, names: Column, cities: list[str]) -> Column:
+    """``struct(street, place, city)`` of a listing text: a street line, and ``Place, City`` or ``Place - City`` with a known place."""
+    town = "(" + "|".join(cities) + ")"
+    name = r"([\p{L}][\p{L} .']{2,34})"
+    street = F.nullif(F.regexp_extract(text, r"(?imuU)^((?:R\.|Rua|Av\.|Avenida|Trav\.|Travessa|Estrada|Rod\.|Pra[çc]a|Alameda)[^\n,]{3,70})$", 1), F.lit(""))
+    line, dash = rf"(?iumU)^{name},\s*{town}\s*$", rf"(?iuU){name}\s*-\s*{town}\b"
+    first = lambda g: F.coalesce(F.nullif(F.regexp_extract(text, line, g), F.lit("")), F.nullif(F.regexp_extract(text, dash, g), F.lit("")))
+    place = canonical_place(first(1), names)
+    return F.struct(street.alias("street"), place.alias("place"), F.when(place.isNotNull(), first(2)).alias("city"))
+
+
+def best_place(structured: Column, url: Column, text: Column, names: Column, cities: list[str]) -> Column:
+    """The first that is known: the structured field, the address's slug, the text's address line, ``Bairro: X``, the head of the text."""
+    labelled = canonical_place(F.nullif(F.regexp_extract(text, r"(?iuU)bairro[:\s]+(\p{L}[\p{L} ]{1,29})", 1), F.lit("")), names)
+    return F.coalesce(canonical_place(structured, names), place_in_slug(url, names), place_in_text(text, names, cities)["place"], labelled, place_at_head(text, names))
+
+
+def cities_by_slug(cities: DataFrame) -> DataFrame:
+    """``(slug, city)`` of ``cities`` (``place, city``), for an equi join with ``slug(place)``; of several cities the first by name."""
+    return cities.groupBy(slug(F.col("place")).alias("slug")).agg(F.min("city").alias("city"))

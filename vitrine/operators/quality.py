@@ -40,3 +40,9 @@ def shares_of_best(totals: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``<c>_share``: the value over the column's greatest; the maxima are one broadcast row."""
     best = totals.agg(*[F.max(c).alias(f"_{c}") for c in columns])
     return totals.join(F.broadcast(best), F.lit(True)).withColumns({f"{c}_share": F.try_divide(F.col(c), F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def run_health(stats: DataFrame, *, run: str, status: str, bad: tuple[str, ...] = ("FALHA", "BLOQUEADO", "PARCIAL")) -> DataFrame:
+    """``(run, status, ok, degraded)`` per run: PARCIAL if any source is in a bad state."""
+    per = stats.groupBy(run).agg(F.count_if(F.col(status) == "OK").alias("ok"), F.array_sort(F.collect_set(F.when(F.col(status).isin(*bad), F.col("fonte")))).alias("degraded"))
+    return per.withColumn("status", F.when(F.size("degraded") > 0, "PARCIAL").otherwise("OK"))

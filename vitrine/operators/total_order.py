@@ -36,8 +36,8 @@ def ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     numbered = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(number, schema), "ranked")
     sizes = {r["part"]: r["n"] for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(p, 0)
-    offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), F.col("part"))
-    return numbered.select(*rows.columns, (offset + F.col("at")).alias("rank"))
+    for p in sorted(sizes):
+        offsets.append((p, total))
+        total += sizes[p]
+    starts = rows.sparkSession.createDataFrame(offsets, "part int, start bigint")
+    return numbered.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("start") + F.col("at")).alias("rank"))

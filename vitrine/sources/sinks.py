@@ -26,3 +26,28 @@ def write_snapshot(rows: DataFrame, folder: str, run: int) -> str:
     path = f"{folder.rstrip('/')}/run={run}"
     rows.write.mode("overwrite").parquet(path)
     return path
+
+
+def read_marks(spark, path: str) -> DataFrame:
+    """``(url, data)`` of a JSON file that maps addresses to dates or lists addresses; a missing or unreadable file gives no rows.
+
+    The file is one user's marks, so it is read on the driver.
+    """
+    import json
+    from pathlib import Path
+
+    try:
+        found = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        found = {}
+    pairs = [(str(k), str(v)) for k, v in found.items()] if isinstance(found, dict) else [(str(k), "") for k in found] if isinstance(found, list) else []
+    return spark.createDataFrame(pairs, "url string, data string")
+
+
+def search_url(template: str, *, least: float, most: float) -> str:
+    """A search address with its price bounds filled in; a least price of 0 takes its parameter away."""
+    import re
+
+    if not least:
+        template = re.sub(r"([?&])[^?&=]+=\{preco_min\}(&?)", lambda m: m[1] if m[2] else "", template)
+    return template.replace("{preco_min}", f"{least:g}").replace("{preco_max}", f"{most:g}")
