@@ -65,10 +65,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     breadth-first frontier joins: every edge is read by frontiers that hold a
     vertex once, and the component's label is one minimum, so the largest
     component never takes part in propagation. It is anti-joined away, and the
-    small components that remain are labelled by minimum propagation; a label
-    also moves on to the label of the vertex it names, which halves the
-    distances left. Every round is a written table; only counts reach the
-    driver.
+    small components that remain are labelled by minimum propagation; a smaller
+    label is also told to the vertex that the larger one names, and a vertex
+    takes the label of the vertex its own names, so long chains settle in a
+    number of rounds that grows with the logarithm of their length. Every round
+    is a written table; only counts reach the driver.
     """
     spark = edges.sparkSession
     one_way = edges.where("a is not null and b is not null and a <> b").select("a", "b")
@@ -90,13 +91,15 @@ def _propagate(spark: SparkSession, both: DataFrame) -> DataFrame:
     keep, drop = _rounds(spark)
     labels = keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("label")), "labels")
     while True:
-        heard = both.join(labels, both["b"] == labels["v"]).select(F.col("a").alias("v"), "label")
-        least = labels.unionByName(heard).groupBy("v").agg(F.min("label").alias("label"))
-        hop = least.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        moved = least.join(hop, "label", "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"))
+        told = both.join(labels.select(F.col("v").alias("b"), "label"), "b").join(labels.select(F.col("v").alias("a"), F.col("label").alias("old")), "a").where("label < old")
+        heard = told.select(F.explode(F.array("a", "old")).alias("v"), "label", F.lit(None).cast("bigint").alias("own"))
+        rows = labels.select("v", "label", F.col("label").alias("own")).unionByName(heard)
+        least = rows.groupBy("v").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        hop = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        moved = least.join(hop, "label", "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"), "own")
         nxt = keep(moved, "labels")
-        settled = nxt.alias("n").join(labels.alias("o"), "v").where("n.label <> o.label").isEmpty()
+        settled = nxt.where("label <> own").isEmpty()
         drop(1)
-        labels = nxt
+        labels = nxt.select("v", "label")
         if settled:
             return labels
