@@ -41,7 +41,7 @@ SMOOTHING = 20.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ASIDE = re.compile(r"\([^()\n]{1,120}\)|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»|…[^…\n]{1,120}…")
-_ADDRESS = re.compile(r"\b(?:Rua|R\.|Avenida|Av\.|Travessa|Alameda|Praça|Rodovia|Estrada)(?:\s+(?:d[aeo]s?|e|[A-ZÀ-Ý][\w'’.-]*|\d+))+")
+_ADDRESS = re.compile(r"\b(?:Rua|R\.|Avenida|Av\.|Travessa|Alameda|Praça|Rodovia|Estrada)(?:\s+(?:d[aeo]s?\b|e\b|[A-ZÀ-Ý][\w'’.-]*|\d+))+")
 _END = re.compile(
     r"[.!?…]+[\"')\]]*\s+|;\s*|\n\s*\n|(?<=[.!?…:;])\s*\n|\n(?=\s*(?:[-*•]|\d+[.)]|[A-ZÀ-Ý¡¿]))"
     r"|\s[—–/|•·]\s|[☀-➿\U0001F300-\U0001FAFF]"
