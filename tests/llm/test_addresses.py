@@ -81,3 +81,17 @@ def test_blocks_cut_the_order_without_loss(spark, monkeypatch):
     many = [row(f"z{i}", f"Rua {chr(97 + i % 26)}elo {chr(97 + i // 26)}onte", str(200 + i)) for i in range(120)]
     assert groups(spark, [*ROWS, *many]) == want
     assert groups(spark, []) == []
+
+
+def test_turned_parts_and_kinds_of_street():
+    a = parse("Jacundina Urucurana, Rua 220")
+    assert (a.street_type, a.street, a.number) == ("rua", ("jacundina", "urucurana"), "220")
+    a = parse("Mar Turmalina Prime - Edificio", free_line=True)
+    assert (a.street, a.building) == ((), ("mar", "turmalina", "prime"))
+    assert parse("Cristal Carvalho", free_line=True).building == ("cristal", "carvalho")
+    assert parse("rua dezenve de outburo 15").street == ("19", "outubro")
+
+
+def test_kinds_of_street_part(spark):
+    rows = [row("a", "Rua Alta", "5"), row("b", "Travessa Alta", "5"), row("c", "R. Alta", "5"), row("d", "Av. Jurmas Novas", "7", "Ed. Sol Azul"), row("e", "Av. Jurremas Novas", "7", "Sol Azul")]
+    assert groups(spark, rows) == [("a", "c"), ("d", "e")]

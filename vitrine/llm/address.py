@@ -74,16 +74,23 @@ def _words(segment: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])[-'’](?=[a-z])", "", segment))
 
 
+def _nearest(word: str, known, letters: int) -> str:
+    """The known word that ``word`` is but for one typing error; words shorter than ``letters`` must be right."""
+    if word in known or len(word) < letters or word.isdigit():
+        return word
+    return next((k for k in known if len(k) >= letters and edits(word, k, 1) <= 1), word)
+
+
 def _dates(words: list[str]) -> list[str]:
-    """Number words before ``de <month>`` as digits."""
+    """Number words before ``de <month>`` as digits, the month spelled right."""
     for i, w in enumerate(words):
-        if w == "de" and i + 1 < len(words) and words[i + 1] in MONTHS:
+        if w == "de" and i and i + 1 < len(words) and (month := _nearest(words[i + 1], MONTHS, 4)) in MONTHS:
             j, total = i, 0
-            while j > 0 and (words[j - 1] in NUMBER_WORDS or words[j - 1] == "e" and j < i):
+            while j > 0 and (words[j - 1] == "e" and j < i or _nearest(words[j - 1], NUMBER_WORDS, 4) in NUMBER_WORDS):
                 j -= 1
-                total += NUMBER_WORDS.get(words[j], 0)
-            if total:
-                return [*words[:j], str(total), *words[i:]]
+                total += NUMBER_WORDS.get(_nearest(words[j], NUMBER_WORDS, 4), 0)
+            if total or words[i - 1].isdigit():
+                return [*words[:j], *([str(total)] if total else []), w, month, *words[i + 2 :]]
     return words
 
 
@@ -164,6 +171,13 @@ def _take(a: Address, segment: str, building_first: bool) -> None:
         return
     head, tail = words[0], words[-1]
     if all(w in BUILDING_TYPES for w in words):
+        # "Name - Edificio": the part before it was the building.
+        if a.untyped and not a.building:
+            a.building, a.phase = building_words(list(a.untyped.pop()))
+        return
+    if head in STREET_TYPES and len(words) == 2 and words[1].isdigit():
+        # "Name, Rua 220": type and number of the street named before.
+        a.street_type, a.number = a.street_type or STREET_TYPES[head], a.number or words[1].lstrip("0")
         return
     if head in BUILDING_TYPES and len(words) > 1 or tail in BUILDING_TYPES and len(words) > 1 and tail != "e":
         name, phase = building_words(words)
@@ -236,7 +250,10 @@ def parse(street: str | None, number: str | None = None, building: str | None =
         known, phase = building_words(own)
         if a.building and known == a.building:
             continue
-        if not a.street:
+        if free_line and not a.street and not a.number and not a.building and not a.street_type and len(a.untyped) == 1 and not own[-1].isdigit():
+            # A bare name without a number: a street alone would name no building, so it is read as the building.
+            a.building, a.phase = known, phase
+        elif not a.street:
             if len(own) > 1 and own[-1].isdigit() and own[-2] != "de":
                 a.number = a.number or own[-1].lstrip("0")
                 own = own[:-1]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.address import parse, place, plain, words_alike
+from vitrine.llm.address import edits, parse, place, plain, words_alike
 from vitrine.llm.components import connected_components
 from vitrine.llm.sorted_neighbourhood import neighbours
 from vitrine.session import materialize
@@ -18,13 +18,13 @@ from vitrine.session import materialize
 WINDOW = 12
 #: Rows that must give a neighbourhood before a title's ending is read as that neighbourhood.
 PLACE_ROWS = 3
-FORM = ["city", "place", "street", "number", "building", "phase", "zip"]
+FORM = ["city", "place", "kind", "street", "number", "building", "phase", "zip"]
 
 
 def parsed(rows: DataFrame, *, id: Column, street: Column, number: Column, building: Column, district: Column, city: Column, title: Column, postcode: Column, free_line: bool = False) -> DataFrame:
-    """``(id, city, district, ending, street, number, building, phase, zip)``, one row per input row; '' is unknown.
+    """``(id, city, district, ending, kind, street, number, building, phase, zip)``, one row per input row; '' is unknown.
 
-    ``ending``: the last words of the title. A postal code that ends in zeros
+    ``ending``: the last words of the title; ``kind``: rua, avenida and so on. A postal code that ends in zeros
     stands for the whole town and is unknown.
     """
 
@@ -42,14 +42,14 @@ def parsed(rows: DataFrame, *, id: Column, street: Column, number: Column, build
                     a = memo[key] = parse(st, no, bu, free_line=free_line, places=(dp, tp))
                 digits = "".join(c for c in zp or "" if c.isdigit())
                 code = "" if len(digits) != 8 or digits.endswith("000") and digits[:5] + "000" == digits else digits
-                out.append((plain(ci), dp, " ".join(tp.split()[-5:]), " ".join(a.street), a.number, " ".join(a.building), a.phase, code))
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in columns]], names=["id", "city", "district", "ending", "street", "number", "building", "phase", "zip"])
+                out.append((plain(ci), dp, " ".join(tp.split()[-5:]), a.street_type, " ".join(a.street), a.number, " ".join(a.building), a.phase, code))
+            columns = list(zip(*out, strict=True)) if out else [()] * 9
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in columns]], names=["id", "city", "district", "ending", "kind", "street", "number", "building", "phase", "zip"])
 
     text = lambda c: c.cast("string")
     rows = rows.select(id.alias("id"), text(street).alias("a"), text(number).alias("b"), text(building).alias("c"), text(district).alias("d"), text(city).alias("e"), text(title).alias("f"), text(postcode).alias("g"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, city string, district string, ending string, street string, number string, building string, phase string, zip string")
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {id_type}, city string, district string, ending string, kind string, street string, number string, building string, phase string, zip string")
 
 
 def with_place(rows: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def with_place(rows: DataFrame) -> DataFrame:
 
 
 def _alike(group: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the forms at ``i`` and ``j`` name the same building; numbers and phases must agree exactly."""
+    """Whether the forms at ``i`` and ``j`` name the same building; numbers, phases and kinds of street must agree exactly."""
     code = {c: group.column(c).combine_chunks().dictionary_encode() for c in FORM}
     at = {c: code[c].indices.to_numpy() for c in FORM}
     blank = {c: np.array([v == "" for v in code[c].dictionary.to_pylist()], dtype=bool)[at[c]] for c in FORM}
@@ -74,7 +74,7 @@ def _alike(group: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     either = lambda c: blank[c][i] | blank[c][j]
     zips = ~either("zip")
     area = np.where(zips, same("zip"), same("place") | either("place"))
-    open_ = same("city") & area & (same("number") | either("number"))
+    open_ = same("city") & area & (same("kind") | either("kind")) & (same("number") | either("number"))
     # Something in common is needed: number and street, number and postal code, or the building.
     numbers = ~either("number") & same("number")
     open_ &= (numbers & (~either("street") | zips)) | ~either("building")
@@ -92,7 +92,9 @@ def _alike(group: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = i[n], j[n]
         streets = not (blank["street"][a] or blank["street"][b])
         buildings = not (blank["building"][a] or blank["building"][b])
-        if streets and not words("street", at["street"][a], at["street"][b]):
+        # Where the building's name is the very same, the street may be mistyped on both sides.
+        sure = buildings and at["building"][a] == at["building"][b] and edits(values["street"][at["street"][a]], values["street"][at["street"][b]], 3) <= 3
+        if streets and not sure and not words("street", at["street"][a], at["street"][b]):
             continue
         if buildings and not (at["phase"][a] == at["phase"][b] and words("building", at["building"][a], at["building"][b])):
             continue
