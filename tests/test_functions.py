@@ -50,7 +50,7 @@ def test_places(spark):
     names = places.gazetteer(spark.createDataFrame([("Boa Vista",), ("Boa Viagem",), ("Pina",), ("Várzea",)], "n string"), F.col("n"))
 
     def found(make, value):
-        return spark.createDataFrame([(value,)], "x string").join(names).select(make(F.col("x"), F.col("names")).alias("y")).first()["y"]
+        return spark.createDataFrame([(value,)], "x string").select(make(F.col("x"), names).alias("y")).first()["y"]
 
     assert found(places.place_in_slug, "https://x/apto-pina-recife/1") == "Pina"
     assert found(places.place_in_slug, "https://x/torrelandia") is None

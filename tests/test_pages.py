@@ -49,7 +49,7 @@ def test_addresses_marks_and_search(spark, tmp_path):
 
     names = places.gazetteer(spark.createDataFrame([("Casa Caiada",), ("Boa Viagem",)], "n string"), F.col("n"))
     rows = spark.createDataFrame([(1, "Rua das Flores\nCasa Caiada, Olinda\n"), (2, "ApartamentoBoa Viagem - Recife - PE"), (3, "Pernambuco - Recife - PE"), (4, None)], "i int, t string")
-    got = {r["i"]: tuple(r["p"]) for r in rows.join(names).select("i", places.place_in_text(F.col("t"), F.col("names"), ["Recife", "Olinda"]).alias("p")).collect()}
+    got = {r["i"]: tuple(r["p"]) for r in rows.select("i", places.place_in_text(F.col("t"), names, ["Recife", "Olinda"]).alias("p")).collect()}
     assert got == {1: ("Rua das Flores", "Casa Caiada", "Olinda"), 2: (None, "Boa Viagem", "Recife"), 3: (None, None, None), 4: (None, None, None)}
     assert read_marks(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "l.json").write_text('["u1"]')

@@ -1,7 +1,9 @@
-"""Neighbourhood names in slugs and texts. ``names``: array column of struct(slug, name), a gazetteer."""
+"""Neighbourhood names in slugs and texts. ``names``: what :func:`gazetteer` gives."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,19 @@ SHORTEST = 5
 NEARNESS = r"\b(perto|proxim[oa]s?|vizinh|minutos?|min|km|metros|acesso|caminho|rumo|sentido|entre)\b"
 
 
-def gazetteer(names: DataFrame, name: Column) -> DataFrame:
-    """One row, ``names``: the distinct names as array of struct(slug, name), longest slug first.
+def gazetteer(names: DataFrame, name: Column, most: int = 10_000) -> Column:
+    """The distinct names as a constant array of struct(slug, name), longest slug first.
 
-    A gazetteer is a list of neighbourhoods of the towns covered; it is one
-    row, so it must stay small enough for a row.
+    A gazetteer lists the neighbourhoods of the towns covered; more than
+    ``most`` names are refused (at most one more is read).
     """
     pairs = names.select(slug(name).alias("slug"), name.alias("name")).where("slug <> ''").groupBy("slug").agg(F.min("name").alias("name"))
-    longest_first = F.array_sort(F.collect_list(F.struct((-F.length("slug")).alias("order"), "slug", "name")))
-    return pairs.agg(F.transform(longest_first, lambda x: F.struct(x["slug"].alias("slug"), x["name"].alias("name"))).alias("names"))
+    found = pairs.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a gazetteer holds at most {most} names")
+    ordered = sorted(([r["slug"], r["name"]] for r in found), key=lambda r: (-len(r[0]), r[0]))
+    text = json.dumps([{"slug": s, "name": n} for s, n in ordered])
+    return F.from_json(F.lit(text), "array<struct<slug:string,name:string>>")
 
 
 def _longest(names: Column, keep) -> Column:

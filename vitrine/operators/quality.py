@@ -37,9 +37,9 @@ def demoted(counts: DataFrame, *, value: str, share: float = 0.6) -> DataFrame:
 
 
 def shares_of_best(totals: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``<c>_share``: the value over the column's greatest; the maxima are one broadcast row."""
-    best = totals.agg(*[F.max(c).alias(f"_{c}") for c in columns])
-    return totals.join(F.broadcast(best), F.lit(True)).withColumns({f"{c}_share": F.try_divide(F.col(c), F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])
+    """Adds ``<c>_share``: the value over the column's greatest (one row of maxima, read first)."""
+    best = totals.agg(*[F.max(c).alias(c) for c in columns]).first()
+    return totals.withColumns({f"{c}_share": F.try_divide(F.col(c), F.lit(best[c])) for c in columns})
 
 
 def run_health(stats: DataFrame, *, run: str, status: str, bad: tuple[str, ...] = ("FALHA", "BLOQUEADO", "PARCIAL")) -> DataFrame:

@@ -18,7 +18,7 @@ def delivered_runs(snapshots: DataFrame, runs: DataFrame, run_id: str, runs_id:
     """
     delivered = snapshots.select(F.col(run_id).alias("run")).where("run is not null").distinct()
     known = runs.select(F.col(runs_id).alias("run"), F.col(runs_order).alias("at")).where("at is not null").groupBy("run").agg(F.min("at").alias("at"))
-    return delivered.join(F.broadcast(bounded_lookup(known)), "run").select("run", F.row_number().over(Window.orderBy("at", "run")).alias("seq"))
+    return delivered.join(bounded_lookup(known), "run").select("run", F.row_number().over(Window.orderBy("at", "run")).alias("seq"))
 
 
 def _differs(column: str, tolerance: float) -> Column:

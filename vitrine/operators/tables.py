@@ -33,10 +33,10 @@ def verdict(bounds: list[Bound], needed: list[tuple[str, Column]]) -> Column:
 
 
 def with_profile(rows: DataFrame, profiles: DataFrame, *, key: str, columns: list[str], default: str) -> DataFrame:
-    """``rows`` with the profile of their key, or the default key's where they have none; the profiles are joined by size."""
-    fallback = profiles.where(F.col(key) == default).select(*[F.col(c).alias(f"_{c}") for c in columns]).limit(1)
-    joined = rows.join(profiles.select(key, *columns), key, "left").join(F.broadcast(fallback), F.lit(True), "left")
-    return joined.select(*rows.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in columns])
+    """``rows`` with the profile of their key, or the default key's (one row, read first) where they have none; the profiles are joined by size."""
+    fallback = profiles.where(F.col(key) == default).select(*columns).first()
+    joined = rows.join(profiles.select(key, *columns), key, "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col(c), F.lit(fallback[c] if fallback else None)).alias(c) for c in columns])
 
 
 def filled(rows: DataFrame, extra: DataFrame, *, key: str, columns: list[str], longer: list[str] = ()) -> DataFrame:
@@ -71,19 +71,18 @@ def affinity(rows: DataFrame, *, ranges: dict[str, tuple[str, float, bool]], fla
 
     ``ranges``: criterion -> (column, weight, inverted), scaled between the
     list's least and greatest value; ``flags``: criterion -> (value 0..1,
-    weight). Extremes and the mean are one-row aggregates joined back, no
+    weight). Extremes and the mean are one-row aggregates read first, no
     global window. The score is multiplied by ``penalty``; the badge goes to
     the first ``badges`` eligible rows that reach max(floor, above_mean x mean).
     """
-    extremes = rows.agg(*[f(c).alias(f"_{k}_{s}") for k, (c, _, _) in ranges.items() for s, f in (("lo", F.min), ("hi", F.max))])
-    wide = rows.join(F.broadcast(extremes), F.lit(True))
-    criteria = [(k, w, scaled(F.col(c), F.col(f"_{k}_lo"), F.col(f"_{k}_hi"), inv)) for k, (c, w, inv) in ranges.items()] + [(k, w, v) for k, (v, w) in flags.items()]
+    x = rows.agg(*[f(c).alias(f"{k}_{s}") for k, (c, _, _) in ranges.items() for s, f in (("lo", F.min), ("hi", F.max))]).first()
+    criteria = [(k, w, scaled(F.col(c), F.lit(x[f"{k}_lo"]), F.lit(x[f"{k}_hi"]), inv)) for k, (c, w, inv) in ranges.items()] + [(k, w, v) for k, (v, w) in flags.items()]
     reasons = F.slice(F.array_compact(F.array(*[F.when(v >= 0.7, F.lit(k)) for k, _, v in criteria])), 1, 3)
-    scored = wide.select(*rows.columns, F.bround(weighted_score(criteria) * penalty).cast("int").alias("score"), reasons.alias("reasons"), F.coalesce(eligible, F.lit(False)).alias("_eligible"))
-    mean = scored.agg(F.avg("score").alias("_mean"))
-    marked = scored.join(F.broadcast(mean), F.lit(True)).withColumn("_able", F.col("_eligible") & (F.col("score") >= F.greatest(F.lit(floor), above_mean * F.col("_mean"))))
+    scored = rows.select(*rows.columns, F.bround(weighted_score(criteria) * penalty).cast("int").alias("score"), reasons.alias("reasons"), F.coalesce(eligible, F.lit(False)).alias("_eligible"))
+    mean = scored.agg(F.avg("score")).first()[0] or 0.0
+    marked = scored.withColumn("_able", F.col("_eligible") & (F.col("score") >= max(floor, above_mean * mean)))
     top = marked.where("_able").orderBy(F.desc("score"), *ties).limit(badges).select(*ties, F.lit(True).alias("badge"))
-    return marked.join(F.broadcast(top), ties, "left").withColumn("badge", F.coalesce("badge", F.lit(False))).drop("_eligible", "_able", "_mean")
+    return marked.join(F.broadcast(top), ties, "left").withColumn("badge", F.coalesce("badge", F.lit(False))).drop("_eligible", "_able")
 
 
 def merged_marks(seed: DataFrame, local: DataFrame, *, key: str, value: str) -> DataFrame:

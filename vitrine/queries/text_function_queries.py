@@ -117,8 +117,7 @@ def places_from_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbourhood in each listing's address, the longest name wins."""
     rows = table(spark, folder, "imoveis")
     names = places.gazetteer(rows.groupBy("bairro").count().where("count >= 2 and not contains(bairro, '.')"), c("bairro"))
-    joined = rows.select("url").distinct().join(F.broadcast(names), F.lit(True))
-    return joined.select("url", text.slug(places.place_in_slug(c("url"), c("names"))).alias("bairro_slug"))
+    return rows.select("url").distinct().select("url", text.slug(places.place_in_slug(c("url"), names)).alias("bairro_slug"))
 
 
 PLACES = """
