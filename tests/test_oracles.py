@@ -6,7 +6,6 @@ from tests.oracle import agree
 from vitrine.queries import registry
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"entity_clusters", "match_pairs"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables absent")
 

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 # Java needs (?iuU) for Unicode letter case and white space.
 _FLAGS = "(?iuU)"
 _AMOUNT = r"([\d.,]+)"
+# How listings write prices, rooms, areas, costs and dates.
+PRICE = r"R\$:?\s*([\d.]+,\d{2}|[\d.]+)"
+ROOMS = [r"(\d+)\s*(?:quarto|dormit[oó]rio|dorm)", r"(?:quarto|dormit[oó]rio|dorm)[s]?\s*[\t:]\s*(\d+)", r"\bbed\D{0,6}?(\d+)"]
+BATHROOMS = r"(\d+)\s*(?:ban\.|banheiro)"
+AREA = r"([\d.,]+)\s*m(?:²|2\b)"
+RENT_MARKED = r"R\$\s*([\d.,]+)\s*/\s*aluguel"
+RENT_LABELLED = r"Aluguel\s*R?\$:?\s*([\d.,]+)"
+CONDO = r"(?:condom[íi]nio|cond\.)\s*:?\s*R\$\s*([\d.,]+)"
+TAX = r"IPTU\s*:?\s*R\$\s*([\d.,]+)"
+PACKAGE = r"pacote\s+de\s+loca[çc][aã]o\s*R\$\s*([\d.,]+)"
+DECLARED = r"Aluguel\s*\+\s*Condom[íi]nio\s*R\$\s*([\d.,]+)"
+UPDATED = r"Atualizado\s+em:?\s*(\d{2}/\d{2}/\d{4})"
+CARD_FIVE = r"Mensal\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\s*\n+([\d.,]+)\s*\n+(\d+)\s*\n+Apartamento"
+CARD_THREE = r"([\d.,]+)\s*m²\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\b"
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -23,24 +37,22 @@ def br_number(text: Column) -> Column:
 
 def price(text: Column) -> Column:
     """First amount behind ``R$``."""
-    return br_number(_found(text, r"R\$:?\s*([\d.]+,\d{2}|[\d.]+)"))
+    return br_number(_found(text, PRICE))
 
 
 def rooms(text: Column) -> Column:
     """Number of rooms before its word, behind its label, or behind ``bed``."""
-    word = r"(?:quarto|dormit[oó]rio|dorm)"
-    tries = [rf"(\d+)\s*{word}", rf"{word}s?\s*[\t:]\s*(\d+)", r"\bbed\D{0,6}?(\d+)"]
-    return F.coalesce(*[_found(text, p) for p in tries]).try_cast("int")
+    return F.coalesce(*[_found(text, p) for p in ROOMS]).try_cast("int")
 
 
 def bathrooms(text: Column) -> Column:
     """Number of bathrooms."""
-    return _found(text, r"(\d+)\s*(?:ban\.|banheiro)").try_cast("int")
+    return _found(text, BATHROOMS).try_cast("int")
 
 
 def area(text: Column) -> Column:
     """First number of square metres; a single point before two final digits is decimal, any other point separates thousands."""
-    raw = _found(text, r"([\d.,]+)\s*m(?:²|2\b)")
+    raw = _found(text, AREA)
     decimal = raw.rlike(r"^\d+\.\d{2}$")
     return F.when(raw.contains(","), br_number(raw)).when(decimal, raw.try_cast("double")).otherwise(br_number(raw))
 
@@ -50,7 +62,7 @@ def rent(text: Column) -> Column:
 
     The first label that occurs decides, even if its amount can't be read.
     """
-    marked, labelled = _found(text, rf"R\$\s*{_AMOUNT}\s*/\s*aluguel"), _found(text, rf"Aluguel\s*R?\$:?\s*{_AMOUNT}")
+    marked, labelled = _found(text, RENT_MARKED), _found(text, RENT_LABELLED)
     return F.when(marked.isNotNull(), br_number(marked)).when(labelled.isNotNull(), br_number(labelled)).otherwise(price(text))
 
 
@@ -60,9 +72,9 @@ def cost_parts(text: Column) -> Column:
     A package price is the total, the rent what it leaves (null if nothing).
     Otherwise the total adds up what is known, complete if the condo fee is.
     """
-    condo = br_number(_found(text, rf"(?:condom[íi]nio|cond\.)\s*:?\s*R\$\s*{_AMOUNT}"))
-    tax = br_number(_found(text, rf"IPTU\s*:?\s*R\$\s*{_AMOUNT}"))
-    package = br_number(_found(text, rf"pacote\s+de\s+loca[çc][aã]o\s*R\$\s*{_AMOUNT}"))
+    condo = br_number(_found(text, CONDO))
+    tax = br_number(_found(text, TAX))
+    package = br_number(_found(text, PACKAGE))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     left = package - zero(condo) - zero(tax)
     base = rent(text)
@@ -76,9 +88,8 @@ def declared_cost(text: Column) -> Column:
 
     The declared sum is read and taken out before the parts; it is the total if greater than what the parts add up to.
     """
-    pattern = rf"Aluguel\s*\+\s*Condom[íi]nio\s*R\$\s*{_AMOUNT}"
-    declared = br_number(_found(text, pattern))
-    rest = F.regexp_replace(text, _FLAGS + pattern, " ")
+    declared = br_number(_found(text, DECLARED))
+    rest = F.regexp_replace(text, _FLAGS + DECLARED, " ")
     base, condo, tax = (br_number(_found(rest, rf"{label}\s*R\$\s*{_AMOUNT}")) for label in ("Aluguel", "Condom[íi]nio", "IPTU"))
     total = F.coalesce(base, F.lit(0.0)) + F.coalesce(condo, F.lit(0.0)) + F.coalesce(tax, F.lit(0.0))
     best = F.greatest(total, declared)
@@ -87,7 +98,7 @@ def declared_cost(text: Column) -> Column:
 
 def updated_on(text: Column) -> Column:
     """The date in ``Atualizado em dd/mm/yyyy``; null if absent or no date."""
-    return F.try_to_date(_found(text, r"Atualizado\s+em:?\s*(\d{2}/\d{2}/\d{4})"), "dd/MM/yyyy")
+    return F.try_to_date(_found(text, UPDATED), "dd/MM/yyyy")
 
 
 def json_area(value: Column, unit: Column) -> Column:
@@ -103,8 +114,7 @@ def br_or_plain(text: Column) -> Column:
 
 def card_numbers(text: Column) -> Column:
     """``struct(rooms, bathrooms, floor, area, parking)`` of a card that only lists bare numbers."""
-    five = r"Mensal\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\s*\n+([\d.,]+)\s*\n+(\d+)\s*\n+Apartamento"
-    three = r"([\d.,]+)\s*m²\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\b"
+    five, three = CARD_FIVE, CARD_THREE
     n = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
     whole = lambda p, g, name: n(p, g).try_cast("int").alias(name)
     first = F.struct(whole(five, 1, "rooms"), whole(five, 2, "bathrooms"), whole(five, 3, "floor"), br_number(n(five, 4)).alias("area"), whole(five, 5, "parking"))

@@ -20,6 +20,12 @@ DWELLINGS = ["Apartment", "House", "SingleFamilyResidence", "Residence", "Accomm
 # Words in the addresses of pictures that are page decoration.
 DECORATION = "logo|icone|icon|sprite|avatar|placeholder|whatsapp|facebook|instagram|banner|selo|marca|bandeira|flag|pixel|blank|spacer|loader|watermark"
 PHOTOS = 12
+# Where pages keep structured data and pictures.
+LD_BLOCK = r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
+OG_IMAGE = r"<meta[^>]+(?:property|name)=[\"']og:image[\"'][^>]+content=[\"']([^\"']+)"
+JSON_IMAGE = r"\"image\"\s*:\s*(\[[^\]]{0,6000}\]|\"[^\"]{5,600}\")"
+SHOWN_IMAGE = r"<(?:img|source)[^>]+(?:data-src|data-lazy|data-original|srcset|src)=[\"']([^\"']+)"
+IMAGE_FILE = r"\.(jpe?g|png|webp|avif)(\?|$)"
 
 
 def links(pages: DataFrame, *, url: str, html: str, containing: str) -> DataFrame:
@@ -106,7 +112,7 @@ def structured_listings(pages: DataFrame, *, url: str, html: str) -> DataFrame:
         out = []
         for page in series:
             rows = []
-            for block in re.findall(r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", page or "", re.S | re.I):
+            for block in re.findall(LD_BLOCK, page or "", re.S | re.I):
                 try:
                     rows += [r for x in _walk(json.loads(html_lib.unescape(block))) if (r := _described(x))]
                 except ValueError:
@@ -123,7 +129,7 @@ def structured_listings(pages: DataFrame, *, url: str, html: str) -> DataFrame:
 def _picture(address: str, base: str) -> str | None:
     last = address.split(",")[-1].strip().split(" ")[0] if " " in address.strip() else address.strip()
     full = urljoin(base, last)
-    if not full.startswith("http") or re.search(DECORATION, full, re.I) or not re.search(r"\.(jpe?g|png|webp|avif)(\?|$)", full, re.I):
+    if not full.startswith("http") or re.search(DECORATION, full, re.I) or not re.search(IMAGE_FILE, full, re.I):
         return None
     return full
 
@@ -135,12 +141,12 @@ def gallery(pages: DataFrame, *, url: str, html: str, limit: int = PHOTOS) -> Da
         out = []
         for base, page in zip(urls, texts, strict=True):
             page, base = page or "", base or ""
-            named = re.findall(r"<meta[^>]+(?:property|name)=[\"']og:image[\"'][^>]+content=[\"']([^\"']+)", page, re.I)
-            for block in re.findall(r"\"image\"\s*:\s*(\[[^\]]{0,6000}\]|\"[^\"]{5,600}\")", page):
+            named = re.findall(OG_IMAGE, page, re.I)
+            for block in re.findall(JSON_IMAGE, page):
                 named += re.findall(r"\"(https?:[^\"]+)\"", block)
             anchors = [p for a in named if (p := _picture(html_lib.unescape(a), base))]
             folders = {a.rsplit("/", 1)[0] for a in anchors}
-            shown = re.findall(r"<(?:img|source)[^>]+(?:data-src|data-lazy|data-original|srcset|src)=[\"']([^\"']+)", page, re.I)
+            shown = re.findall(SHOWN_IMAGE, page, re.I)
             more = [p for s in shown if folders and (p := _picture(html_lib.unescape(s), base)) and p.rsplit("/", 1)[0] in folders]
             out.append(list(dict.fromkeys([*anchors, *more]))[:limit])
         return pd.Series(out)
