@@ -60,4 +60,4 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_links(spark, folder).select("url", "ficha_id")
 
 
-QUERIES = {"p3_found": (p3_found, None)}
+QUERIES = {"p3_found": (p3_found, None), "p3_links": (p3_links, None)}
