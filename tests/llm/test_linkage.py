@@ -35,6 +35,35 @@ def test_surroundings_and_vague_spots(spark):
     assert matches(spark, left, right) == {("F1", "L1")}
 
 
+def test_records_without_area_on_either_side(spark):
+    left = [
+        rec("F1", 1, None, 2, 1500.0),
+        rec("F2", 2, None, None, 2000.0),
+        rec("F3", 3, 50.0, 1, 1000.0),
+        rec("F4", 4, None, 3, 3000.0),
+        rec("F5", 5, None, 2, 900.0),
+    ]
+    right = [
+        rec("L1", 1, 70.0, 2, 1450.0),
+        rec("L2", 1, 70.5, 2, 1520.0),
+        rec("L3", 1, 90.0, 3, 1500.0),
+        rec("L4", 1, 70.0, 2, 2500.0),
+        # Two dwellings in reach: the one nearer in price.
+        rec("L5", 2, 80.0, 3, 1990.0),
+        rec("L6", 2, 110.0, 3, 2200.0),
+        # Neither area nor rooms nor a sized listing beside it.
+        rec("L7", 3, None, None, 1010.0),
+        rec("L8", 3, None, 2, 1010.0),
+        # Neither side sized.
+        rec("L9", 4, None, 3, 3050.0),
+        rec("L10", 4, None, 3, 3400.0),
+        rec("L11", 5, 40.0, 2, None),
+    ]
+    assert matches(spark, left, right) == {("F1", "L1"), ("F1", "L2"), ("F2", "L5"), ("F3", "L7"), ("F4", "L9")}
+    got = {(r["l"], r["r"]): r["confidence"] for r in link(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()}
+    assert got["F2", "L5"] < got["F1", "L2"]
+
+
 def test_empty(spark):
     assert matches(spark, [], []) == set()
     assert matches(spark, [rec("F1", 1, 70.0)], []) == set()

@@ -16,6 +16,10 @@ COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "ar
 AREA = 0.03
 #: Relative difference of prices within which listings without area follow their neighbours.
 PRICE = 0.04
+#: Relative difference of prices up to which a record without area may be the same dwelling's as another of its building and rooms.
+UNSIZED_PRICE = 0.15
+#: Confidence of such a pair where all sized records so near in price are of one area, and where only those nearest in price are taken.
+ALONE, NEAREST = 0.9, 0.8
 #: Metres within which two noisy coordinates may be the same building's.
 REACH = 80.0
 #: A spot given for more buildings than this stands for a district or town.
@@ -132,6 +136,33 @@ def own_similarity(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     return both.select("l", "r", (F.col("l_placed") * F.col("r_placed") * (0.5 + 0.2 * (1 - off) + 0.15 * price + 0.15 * rooms)).alias("s"))
 
 
+def unsized_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(l, r, s)``: pairs with a record without area on either side, by building, rooms and price.
+
+    The sized records of both sides in its building, with the same rooms and a
+    price within ``UNSIZED_PRICE``, show which dwellings it may be: if they
+    differ in area by more than ``AREA``, it is paired only with those of the
+    area nearest in price, with the lower confidence. Two records without area
+    must lie within ``PRICE``. The area adds half of what it could.
+    """
+    cols = ["id", "building", "rooms", "area", "price", "placed"]
+    both = left.select(*cols, F.lit("l").alias("side")).unionByName(right.select(*cols, F.lit("r").alias("side")))
+    both = both.where("building is not null and price > 0").withColumn("area", F.when(F.col("area") > 0, F.col("area")))
+    x = both.where("area is null").select("building", *[F.col(c).alias("x_" + c) for c in ("id", "side", "rooms", "price", "placed")], F.explode(_bands(F.col("price"), UNSIZED_PRICE)).alias("band"))
+    y = both.withColumn("band", _band(F.col("price"), UNSIZED_PRICE))
+    off = F.abs(F.log(F.col("x_price") / F.col("price")))
+    met = x.join(y, ["building", "band"]).where(~((F.col("x_side") == F.col("side")) & (F.col("x_id") == F.col("id"))) & _agree("x_rooms", "rooms")).withColumn("off", off).where(F.col("off") <= math.log1p(UNSIZED_PRICE))
+    met = materialize(met, "unsized")
+    sized = met.where("area is not null").groupBy("x_side", "x_id").agg(F.min_by("area", F.struct("off", "area")).alias("nearest"), (F.max("area") / F.min("area") <= 1 + AREA).alias("alone"))
+    same = F.when(F.col("area").isNull(), F.col("off") <= math.log1p(PRICE)).otherwise(_near(F.col("area"), F.col("nearest"), AREA))
+    pairs = met.where("x_side <> side").join(sized, ["x_side", "x_id"], "left").where(same)
+    price = F.greatest(F.lit(0.0), 1 - F.col("off") / 0.5)
+    rooms = F.when(F.col("x_rooms") == F.col("rooms"), 1.0).otherwise(0.5)
+    s = F.col("x_placed") * F.col("placed") * (0.6 + 0.15 * price + 0.15 * rooms) * F.when(F.col("alone"), ALONE).otherwise(NEAREST)
+    on_left = F.col("x_side") == "l"
+    return pairs.groupBy(F.when(on_left, F.col("x_id")).otherwise(F.col("id")).alias("l"), F.when(on_left, F.col("id")).otherwise(F.col("x_id")).alias("r")).agg(F.max(s).alias("s"))
+
+
 def propagate(links: DataFrame, right: DataFrame) -> DataFrame:
     """``(l, r, s)`` with the links that right records without an area inherit, until nothing changes.
 
@@ -169,12 +200,12 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both sides: ``id, building`` (the address group, null if the address names
     none), ``city, street, zip`` ('' if unknown), ``lat, lon, rooms, area,
-    price, floor``; other columns are ignored. Nulls anywhere only weaken a pair; records without area on
-    the left, and those whose building can't be found, have no match. Ids are
-    unique per side.
+    price, floor``; other columns are ignored. Nulls anywhere only weaken a pair; records with neither area
+    nor price on the left, and those whose building can't be found, have no
+    match. Ids are unique per side.
     """
     marked = left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
     both = materialize(with_buildings(marked), "placed")
     l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
-    similar = own_similarity(candidates(l, r), l, r)
+    similar = own_similarity(candidates(l, r), l, r).unionByName(unsized_pairs(l, r))
     return propagate(similar, r).select("l", "r", F.round("s", 4).alias("confidence"))
