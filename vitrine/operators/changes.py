@@ -110,23 +110,32 @@ def without_orphans(children: DataFrame, parents: DataFrame, *, child: str, pare
     return children.where(F.col(child).isNull()).unionByName(children.join(parents.select(F.col(parent).alias(child)).where(f"{child} is not null").distinct(), child, "left_semi"))
 
 
-def listing_events(stored: DataFrame, batch: DataFrame, *, key: str, price: str, texts: dict[str, str], status: str | None = None, absent: tuple[str, ...] = ("SUSPEITO", "INATIVO"), tolerance: float = 0.01) -> DataFrame:
+def listing_events(stored: DataFrame, batch: DataFrame, *, key: str | list[str], price: str, texts: dict[str, str], status: str | None = None, absent: tuple[str, ...] = ("SUSPEITO", "INATIVO"), tolerance: float = 0.01) -> DataFrame:
     """``(key, kind, field, before, after, delta, delta_pct)``: what a batch changes in the stored table, one row per key on both sides.
 
     New keys give CRIADO with their price; known keys PRECO_ALTERADO if both
     prices are known and not 0 and differ by ``tolerance``, one event per text
     column of ``texts`` (column -> kind) whose hash changed between two
     non-empty values, and REAPARECEU if their status was absent. All come from
-    one join, as filtered elements of one array.
+    one join, as filtered elements of one array. ``key`` may be several columns.
     """
+    keys = [key] if isinstance(key, str) else key
+    old = stored.select(*keys, F.lit(True).alias("_known"), _some(F.col(price)).alias("_p"), *[F.col(t).alias(f"_{t}") for t in texts], (F.col(status) if status else F.lit(None).cast("string")).alias("_status"))
+    both = batch.dropna(subset=keys).select(*keys, _some(F.col(price)).alias("p"), *texts).join(old, keys, "left")
+    return _exploded(both, keys, price=price, texts=texts, status=status, absent=absent, tolerance=tolerance)
+
+
+def _some(c: Column) -> Column:
+    return F.nullif(c.cast("double"), F.lit(0.0))
+
+
+def _exploded(both: DataFrame, keys: list[str], *, price: str, texts: dict[str, str], status: str | None = None, absent: tuple[str, ...] = (), tolerance: float = 0.01, gone: Column | None = None) -> DataFrame:
+    """The events of rows that hold both states (``_known, _p, p``, each text and its ``_`` twin, ``_status``); ``gone``: when there is a SUMIU too."""
     from vitrine.functions.text import text_hash
 
-    some = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
-    old = stored.select(key, F.lit(True).alias("_known"), some(F.col(price)).alias("_p"), *[F.col(t).alias(f"_{t}") for t in texts], (F.col(status) if status else F.lit(None).cast("string")).alias("_status"))
-    both = batch.where(F.col(key).isNotNull()).select(key, some(F.col(price)).alias("p"), *texts).join(old, key, "left")
     text = lambda c: F.format_string("%.2f", c)
     event = lambda kind, field, before, after, x=None, y=None: F.struct(
-        F.lit(kind).alias("kind"), F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"),
+        F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"),
         (x if x is not None else F.lit(None).cast("double")).alias("x"), (y if y is not None else F.lit(None).cast("double")).alias("y"),
     )
     none = F.lit(None).cast("string")
@@ -137,6 +146,26 @@ def listing_events(stored: DataFrame, batch: DataFrame, *, key: str, price: str,
         F.when(known & (F.round(F.abs(F.col("p") - F.col("_p")), 9) >= tolerance), event("PRECO_ALTERADO", price, amount(F.col("_p")), amount(F.col("p")), F.col("_p"), F.col("p"))),
         *[F.when(known & (text_hash(F.col(t)) != text_hash(F.col(f"_{t}"))), event(kind, t, text_hash(F.col(f"_{t}")), text_hash(F.col(t)))) for t, kind in texts.items()],
         F.when(known & F.col("_status").isin(*absent), event("REAPARECEU", status or "", F.col("_status"), none)),
+        *([F.when(gone, event("SUMIU", None, none, none))] if gone is not None else []),
     ]
-    rows = both.select(key, F.explode(F.array_compact(F.array(*events))).alias("e")).select(key, "e.*")
+    rows = both.select(*keys, F.explode(F.array_compact(F.array(*events))).alias("e")).select(*keys, "e.*")
     return event_deltas(rows, "x", "y").drop("x", "y")
+
+
+def snapshot_log(rows: DataFrame, *, key: str, seq: str, last: int, price: str, texts: dict[str, str]) -> DataFrame:
+    """``(key, seq, kind, field, before, after, delta, delta_pct)``: :func:`listing_events` between all consecutive snapshots 1..``last``.
+
+    ``rows``: one per key and snapshot it is in. A key that was in an earlier
+    snapshot but not in the one before gives REAPARECEU instead of CRIADO, one
+    that is missing where it was in the one before SUMIU. The first snapshot
+    has no events. Each row meets the one before in one window on the key.
+    """
+    order = Window.partitionBy(key).orderBy(seq)
+    states = rows.select(key, seq, _some(F.col(price)).alias("p"), *texts)
+    states = states.withColumns({f"_{x}": F.lag(x).over(order) for x in ("p", *texts)} | {"_before": F.lag(seq).over(order), "_next": F.lead(seq).over(order)})
+    states = states.withColumns({"_known": F.col("_before") == F.col(seq) - 1, "_status": F.lit(None).cast("string")})
+    gone = (F.col(seq) < last) & F.coalesce(F.col("_next") > F.col(seq) + 1, F.lit(True))
+    events = _exploded(states, [key, seq, "_before"], price=price, texts=texts, gone=gone).where((F.col("kind") == "SUMIU") | (F.col(seq) > 1))
+    back = (F.col("kind") == "CRIADO") & F.col("_before").isNotNull()
+    at = F.when(F.col("kind") == "SUMIU", F.col(seq) + 1).otherwise(F.col(seq))
+    return events.withColumns({seq: at, "kind": F.when(back, "REAPARECEU").otherwise(F.col("kind"))}).drop("_before")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.urls import listing_key
 from vitrine.operators import changes, quality
+from vitrine.operators.snapshot_changes import delivered_runs
 from vitrine.queries.core_problems import KEY_SQL
+from vitrine.session import bounded_lookup
 from vitrine.sources.tables import table
 
 c = F.col
@@ -177,12 +179,14 @@ QUERIES = {
 
 
 def snapshot_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events between the first and the last delivered snapshot, one row per listing."""
+    """Events between the first and the last delivered snapshot, one row per listing; those between all snapshots are in :func:`snapshot_event_log`."""
     from vitrine.operators.tables import first_per_key
 
+    runs = delivered_runs(table(spark, folder, "imoveis_snapshot"), table(spark, folder, "execucao"), "execucao_id", "id", "iniciada_em")
+    first, last = runs.agg(F.min_by("run", "seq"), F.max_by("run", "seq")).first()
     rows = table(spark, folder, "imoveis_snapshot").select(listing_key(c("url")).alias("key"), "execucao_id", "preco", F.lower("titulo").alias("titulo"), "entregue_em")
-    at = lambda run: first_per_key(rows.where(c("execucao_id") == run), key=["key"], order=[c("entregue_em").desc(), c("preco").desc(), c("titulo").desc()])
-    events = changes.listing_events(at(401), at(415), key="key", price="preco", texts={"titulo": "DESCRICAO_ALTERADA"})
+    at = lambda run: first_per_key(rows.where(c("execucao_id") == F.lit(run)), key=["key"], order=[c("entregue_em").desc(), c("preco").desc(), c("titulo").desc()])
+    events = changes.listing_events(at(first), at(last), key="key", price="preco", texts={"titulo": "DESCRICAO_ALTERADA"})
     return events.select("key", "kind", "field", F.when(c("field") == "preco", c("after")).alias("after"), "delta", "delta_pct")
 
 
@@ -197,6 +201,32 @@ UNION ALL SELECT key, 'DESCRICAO_ALTERADA', 'titulo', NULL, NULL, NULL FROM b WH
 QUERIES["snapshot_events"] = (snapshot_events, SNAPSHOT_EVENTS)
 
 
+def snapshot_event_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of each listing between all consecutive delivered snapshots."""
+    snapshots = table(spark, folder, "imoveis_snapshot")
+    runs = bounded_lookup(delivered_runs(snapshots, table(spark, folder, "execucao"), "execucao_id", "id", "iniciada_em"))
+    valid = F.max(F.struct("entregue_em", F.nanvl("preco", F.lit(None).cast("double")).alias("preco"), F.lower("titulo").alias("titulo"), c("visto_na_ultima_execucao").alias("visto"))).alias("row")
+    keyed = snapshots.withColumns({"key": listing_key(c("url")), "run": c("execucao_id")}).where("key is not null").join(runs, "run")
+    rows = keyed.groupBy("key", "seq").agg(valid).where("row.visto = 1").select("key", "seq", "row.preco", "row.titulo")
+    last = runs.agg(F.max("seq")).first()[0] or 0
+    events = changes.snapshot_log(rows, key="key", seq="seq", last=last, price="preco", texts={"titulo": "DESCRICAO_ALTERADA"})
+    return events.join(runs, "seq").select(c("run").alias("execucao_id"), "key", "kind", "field", F.when(c("field") == "preco", c("after")).alias("after"), "delta", "delta_pct")
+
+
+SNAPSHOT_EVENT_LOG = f"""
+WITH d AS (SELECT id AS r, row_number() OVER (ORDER BY min(iniciada_em), id) AS seq FROM execucao WHERE iniciada_em IS NOT NULL AND id IN (SELECT execucao_id FROM imoveis_snapshot) GROUP BY 1),
+v AS (SELECT {KEY_SQL.format(u="url")} AS key, r, seq, CASE WHEN NOT isnan(preco) THEN preco END AS preco, lower(titulo) AS titulo, visto_na_ultima_execucao AS visto, entregue_em FROM imoveis_snapshot JOIN d ON r = execucao_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY key, seq ORDER BY entregue_em DESC NULLS LAST, preco DESC NULLS LAST, titulo DESC NULLS LAST, visto DESC NULLS LAST) AS rn FROM v WHERE key IS NOT NULL),
+s AS (SELECT key, r, seq, nullif(preco, 0) AS p, nullif(trim(regexp_replace(titulo, '\\s+', ' ', 'g')), '') AS t, min(seq) OVER (PARTITION BY key) AS born FROM w WHERE rn = 1 AND visto = 1),
+b AS (SELECT s.*, a.key IS NOT NULL AS known, a.p AS op, a.t AS ot FROM s LEFT JOIN s a ON a.key = s.key AND a.seq = s.seq - 1 WHERE s.seq > 1)
+SELECT r AS execucao_id, key, CASE WHEN seq = born THEN 'CRIADO' ELSE 'REAPARECEU' END AS kind, 'preco' AS field, CASE WHEN p IS NOT NULL THEN printf('%.2f', p) END AS after, NULL::DOUBLE AS delta, NULL::DOUBLE AS delta_pct FROM b WHERE NOT known
+UNION ALL SELECT r, key, 'PRECO_ALTERADO', 'preco', printf('%.2f', p), round(p - op, 2), round(100 * (p - op) / op, 2) FROM b WHERE known AND round(abs(p - op), 9) >= 0.01
+UNION ALL SELECT r, key, 'DESCRICAO_ALTERADA', 'titulo', NULL, NULL, NULL FROM b WHERE known AND t <> ot
+UNION ALL SELECT d.r, s.key, 'SUMIU', NULL, NULL, NULL, NULL FROM s JOIN d ON d.seq = s.seq + 1 WHERE NOT EXISTS (SELECT 1 FROM s n WHERE n.key = s.key AND n.seq = s.seq + 1)
+"""
+QUERIES["snapshot_event_log"] = (snapshot_event_log, SNAPSHOT_EVENT_LOG)
+
+
 def daily_minimum(spark: SparkSession, folder: str) -> DataFrame:
     """Least price of a dwelling on each day over its listings, the last 30 days."""
     links = table(spark, folder, "imovel_anuncio").select("imovel_id", listing_key(c("url")).alias("key")).distinct()
