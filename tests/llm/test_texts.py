@@ -44,6 +44,14 @@ def test_leaked(spark):
     assert run(d.limit(0), i) == [] and run(d, i.limit(0)) == []
 
 
+def test_copies_of_a_document_count_once(spark):
+    docs = [(n, ITEM + " and more") for n in range(15)] + [(100 + n, f"nothing {n} of the kind at all") for n in range(30)]
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id bigint, text string, item string")
+    i = spark.createDataFrame([(10, ITEM, "x")], "item_id bigint, text string, doc string")
+    got = leaked(d, i, doc=F.col("doc_id"), text=F.col("text"), item=F.col("item_id"), item_text=F.col("text")).collect()
+    assert sorted((r["doc"], r["item"]) for r in got) == [(n, 10) for n in range(15)]
+
+
 PT = ["O ônibus para em frente à praça e passa a cada quinze minutos.", "A vaga de garagem é rotativa e o portão demora para abrir.", "Moro aqui faz muitos anos e nunca faltou água na caixa."]
 EN = ["The parking space is tight and the gate takes ages to open.", "I have lived here for years and the water has never run out.", "There is damp behind the wardrobe and nobody came to check it."]
 DE = ["Die Nachbarn von oben machen fast jede Nacht viel Lärm.", "Der Aufzug ist alt, trotzdem ist er noch nie stehen geblieben.", "Ich wohne seit vielen Jahren hier und das Wasser ist nie ausgefallen."]

@@ -23,7 +23,7 @@ CONTAINED = 1 / 3
 PASSAGE = 20
 #: Share of an item's shingles that a document with that part of it keeps at least, after single-word edits; decides the prefix length.
 SURVIVING = 0.02
-#: A sentence found in more than this share of the documents, and in more than this many, stands in very many.
+#: A sentence found in more than this share of the differing documents, and in more than this many, stands in very many.
 COMMON_SHARE, COMMON_DOCUMENTS = 0.01, 10
 #: Distinct item shingles up to which they are broadcast.
 INDEX_ROWS = 400_000
@@ -42,10 +42,16 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(sentence, pa.int32()), pa.array(h, pa.int64())], names=["item", "sentence", "h"])
 
 
+#: Stands beside the shingles of every document, so that the differing documents are counted with them.
+ANY = xxhash.xxh64_intdigest("") - (1 << 63)
+
+
 def _document_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted(set(shingles(words(t)))) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "hs"])
+        read = [words(t) for t in b.column(1).to_pylist()]
+        found = [sorted({ANY, *shingles(w)}) for w in read]
+        copies = [xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63) for w in read]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "copy", "hs"])
 
 
 #: Equal words in a row from which a passage is extended.
@@ -160,8 +166,9 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc: Column, text: Column,
 
     Document and item ids are unique bigints; null ids, null, empty and
     wordless texts are in no result. Whole texts are read. The steps: item
-    shingles are looked up in all documents and counted there; sentences whose
-    middle shingle is in very many documents don't count; an item's remaining
+    shingles are looked up in all documents and counted there, once for all
+    copies with the same words; sentences whose middle shingle is in very many
+    differing documents don't count; an item's remaining
     shingles are ordered by rarity and only the prefix that any containing
     document must meet is joined; a pair must then share enough of them (the
     length bound), and the surviving documents are read again and compared
@@ -171,11 +178,12 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc: Column, text: Column,
     wanted = items.where(item.isNotNull()).select(item.cast("bigint").alias("item"), item_text.alias("item_text"))
     texts = documents.where(doc.isNotNull() & text.isNotNull()).select(doc.cast("bigint").alias("doc"), text.alias("text"))
     index = materialize(wanted.mapInArrow(_item_shingles, "item bigint, sentence int, h bigint"), "item-shingles")
-    keys = bounded_lookup(index.select("h").distinct(), INDEX_ROWS)
-    own = texts.mapInArrow(_document_shingles, "doc bigint, hs array<bigint>").select("doc", F.explode("hs").alias("h"))
+    keys = bounded_lookup(index.select("h").distinct().unionByName(index.sparkSession.createDataFrame([(ANY,)], "h bigint")), INDEX_ROWS)
+    own = texts.mapInArrow(_document_shingles, "doc bigint, copy bigint, hs array<bigint>").select("doc", "copy", F.explode("hs").alias("h"))
     hits = materialize(own.join(keys, "h"), "hits")
-    frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
-    limit = max(COMMON_DOCUMENTS, int(COMMON_SHARE * documents.count()))
+    frequency = hits.select("h", "copy").distinct().groupBy("h").agg(F.count("*").alias("df"))
+    differing = hits.where(F.col("h") == ANY).select("copy").distinct().count()
+    limit = max(COMMON_DOCUMENTS, int(COMMON_SHARE * differing))
     rated = materialize(index.distinct().join(frequency, "h", "left").withColumn("df", F.coalesce("df", F.lit(0))), "rated")
     common = rated.groupBy("item", "sentence").agg(F.expr("percentile(df, 0.5)").alias("middle")).where(F.col("middle") > limit).select("item", "sentence")
     counting = rated.join(common, ["item", "sentence"], "left_anti").groupBy("item", "h").agg(F.first("df").alias("df"))
