@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from vitrine.llm.languages import LANGUAGES, identified, stretches, to_correct
+from vitrine.llm.languages import LANGUAGES, Scorer, identified, stretches, to_correct
 from vitrine.llm.leakage import contained, leaked, passages
 from vitrine.llm.words import mended, sentences, words
 
@@ -62,6 +63,18 @@ def test_stretches():
     assert stretches(None) == [] and stretches("  👍 12 ") == []
 
 
+def test_parts_in_several_languages():
+    class Fixed(Scorer):
+        def each(self, words):
+            return np.array([[-1.0 if c == w else -3.0 for c in "pef"] for w in words])
+
+    parts = lambda text: [(n, "pef"[int(x.argmax())]) for n, x in Fixed(None).parts(list(text))]
+    assert parts("p" * 8 + "e" * 9 + "f" * 10) == [(8, "p"), (9, "e"), (10, "f")]
+    assert parts("p" * 8 + "e" * 9 + "p" * 10) == [(8, "p"), (9, "e"), (10, "p")]
+    assert parts("p" * 8 + "e" * 9) == [(8, "p"), (9, "e")]
+    assert parts("p" * 8 + "e" * 3 + "p" * 8) == [(19, "p")] and parts("p" * 30) == [(30, "p")] and parts("pppe") == [(4, "p")]
+
+
 def test_languages(spark):
     rnd = random.Random(1)
     rows, n = [], 0

@@ -95,18 +95,37 @@ class Scorer:
         return self.each(words).sum(axis=0)
 
     def parts(self, words: list[str]) -> list[tuple[int, np.ndarray]]:
-        """(number of words, log-likelihoods) of a stretch; of its two parts if two languages explain it much better than one."""
+        """(number of words, log-likelihoods) of a stretch, or of its parts if several languages explain it much better than one.
+
+        The best sequence of parts of ``SENTENCE_WORDS`` or more, each change
+        of language costing ``SPLIT_MARGIN``, by dynamic programming.
+        """
         each = self.each(words)
         total = each.sum(axis=0)
-        n = len(words)
-        if n < 2 * SENTENCE_WORDS:
+        n, least = len(words), SENTENCE_WORDS
+        if n < 2 * least:
             return [(n, total)]
-        heads = np.cumsum(each, axis=0)[SENTENCE_WORDS - 1 : n - SENTENCE_WORDS]
-        both = heads.max(axis=1) + (total - heads).max(axis=1)
-        at = int(both.argmax())
-        if both[at] - total.max() < SPLIT_MARGIN:
+        # No part gains half a margin on the best language: no sequence of parts can pay for its changes, of which there are at least half as many.
+        gain = np.vstack([np.zeros(each.shape[1]), np.cumsum(each - each[:, [int(total.argmax())]], axis=0)])
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() < SPLIT_MARGIN / 2:
             return [(n, total)]
-        return [(at + SENTENCE_WORDS, heads[at]), (n - at - SENTENCE_WORDS, total - heads[at])]
+        sums = np.vstack([np.zeros(each.shape[1]), np.cumsum(each, axis=0)])
+        # Of the first j words, by the language of the last part: the best score, where that part starts.
+        score = np.full(sums.shape, -np.inf)
+        start = np.zeros(sums.shape, dtype=np.int64)
+        score[least] = sums[least]
+        for j in range(least + 1, n + 1):
+            score[j], start[j] = score[j - 1] + each[j - 1], start[j - 1]
+            if j >= 2 * least:
+                changed = score[j - least].max() - SPLIT_MARGIN + sums[j] - sums[j - least]
+                better = changed > score[j]
+                score[j][better], start[j][better] = changed[better], j - least
+        out, end = [], n
+        while end:
+            begin = int(start[end][int(score[end].argmax())])
+            out.append((end - begin, sums[end] - sums[begin]))
+            end = begin
+        return out[::-1]
 
 
 def log_table(counts: np.ndarray) -> np.ndarray:
