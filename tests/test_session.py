@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from vitrine import session
 from vitrine.operators.arrow_groups import map_groups
 from vitrine.session import bounded_lookup, discard, materialize_at, shared_dir
@@ -46,3 +48,35 @@ def test_groups_cross_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["g"] is None, r["g"], r["n"], r["ordered"]) for r in got if r["g"] is not None) == [(False, g, 40, True) for g in range(4)]
     assert [(r["n"], r["ordered"]) for r in got if r["g"] is None] == [(40, True)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from vitrine.session import shared_dir
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)))
+
+    assert shared_dir(session(spark_checkpoint_dir="hdfs:///x/", spark_master="yarn")) == "hdfs:///x"
+    assert shared_dir(session(spark_master="local[4]")).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(spark_master=master))
+
+
+def test_only_an_absent_subpackage_is_passed_over(monkeypatch):
+    import __spark_entry__ as e
+
+    def fails(missing):
+        def load(name):
+            raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+
+        return load
+
+    monkeypatch.setattr(e.importlib, "import_module", fails("vitrine.llm"))
+    monkeypatch.setattr(e, "registry", dict)
+    assert e.queries() == {}
+    monkeypatch.setattr(e.importlib, "import_module", fails("tokenizers"))
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()

@@ -40,10 +40,17 @@ def build_session(app: str = "vitrine", cores: str | int = "*", shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of our own where none is set (tests)."""
+    """The shared folder of the cluster, or a folder of our own where none is set and everything runs in one process (tests).
+
+    On a cluster without the setting this is an error: a machine's own folder
+    would hold only what its own executors wrote.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master {master!r})")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="vitrine-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
