@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,6 +54,72 @@ def test_copies_of_a_document_count_once(spark):
     assert sorted((r["doc"], r["item"]) for r in got) == [(n, 10) for n in range(15)]
 
 
+def search(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    found = leaked(d, i, doc=F.col("doc_id"), text=F.col("text"), item=F.col("item_id"), item_text=F.col("text")).collect()
+    return {(r["doc"], r["item"]) for r in found}
+
+
+def test_short_sentences_and_dense_changes(spark):
+    short = "Paga o condomínio. Não aceita pet. Tem duas vagas. Fica perto. Chave na portaria."
+    dense = " ".join(f"d{n}" for n in range(36))
+    docs = [(1, "antes disso " + short + " e depois"), (2, "x " + noisy(dense, 4) + " y"), (3, "tem duas vagas e mais nada"), (4, noisy(dense, 3))]
+    assert search(spark, docs, [(10, short), (11, dense), (12, "duas vagas"), (13, "Tem duas vagas.")]) == {(1, 10), (1, 13), (2, 11), (3, 13)}
+
+
+def test_prefix_and_bounds_lose_nothing(spark):
+    """Equals the comparison of all pairs, over items that share stock phrases and noisy documents."""
+    rnd = random.Random(7)
+    stock = [[f"s{k}_{n}" for n in range(rnd.randrange(2, 7))] for k in range(12)]
+
+    def sentence():
+        w = [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 22))]
+        return w + rnd.choice(stock) if rnd.random() < 0.6 else w
+
+    def changed(w, rate):
+        out = []
+        for x in w:
+            k = rnd.random() / rate if rate else 9
+            out += [] if k < 1 / 3 else [x, "added"] if k < 2 / 3 else ["other"] if k < 1 else [x]
+        return out
+
+    items = {n: [sentence() for _ in range(rnd.randrange(1, 7))] for n in range(60)}
+    docs = {}
+    for n in range(500):
+        parts = [changed(s, rnd.choice([0, 0.05, 0.15, 0.3])) for k in rnd.choices(list(items), k=rnd.randrange(0, 4)) for s in items[k] if rnd.random() < 0.7]
+        parts += [sentence() for _ in range(rnd.randrange(0, 4))]
+        rnd.shuffle(parts)
+        docs[n] = ". ".join(" ".join(p) for p in parts if p)
+    texts = {n: ". ".join(" ".join(s) for s in x) for n, x in items.items()}
+    # Nothing here is in more than ten documents as a sentence of its own, but for short ones.
+    limit, of = 10, {}
+    for n, t in docs.items():
+        of.setdefault(tuple(words(t)), n)
+    runs = [Counter(run for w in of for run in {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) for k in (3, 5)]
+
+    def common(s):
+        if len(s) >= 5:
+            return np.median([runs[1][x] for x in {tuple(s[i : i + 5]) for i in range(len(s) - 4)}]) > limit
+        return min([runs[0][tuple(s[i : i + 3])] for i in range(len(s) - 2)], default=0) > limit
+
+    want = set()
+    for i, t in texts.items():
+        own = sentences(t)
+        skip = {n for n, s in enumerate(own) if common(s)}
+        want |= {(d, i) for d, x in docs.items() if contained(own, skip, words(x)) >= 1 / 3}
+    assert len(want) > 200 and search(spark, list(docs.items()), list(texts.items())) == want
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    from vitrine.llm import leakage
+
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
+    items = [(n, " ".join(f"own{n}x{k}" for k in range(9))) for n in range(12)]
+    docs = [(100 + n, "before " + t + " after") for n, t in items] + [(200, "")]
+    assert search(spark, docs, [*items, (0, "another text under the same number as the first")]) == {(100 + n, n) for n, _ in items}
+
+
 PT = ["O ônibus para em frente à praça e passa a cada quinze minutos.", "A vaga de garagem é rotativa e o portão demora para abrir.", "Moro aqui faz muitos anos e nunca faltou água na caixa."]
 EN = ["The parking space is tight and the gate takes ages to open.", "I have lived here for years and the water has never run out.", "There is damp behind the wardrobe and nobody came to check it."]
 DE = ["Die Nachbarn von oben machen fast jede Nacht viel Lärm.", "Der Aufzug ist alt, trotzdem ist er noch nie stehen geblieben.", "Ich wohne seit vielen Jahren hier und das Wasser ist nie ausgefallen."]

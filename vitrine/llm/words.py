@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
-_TAG = re.compile(r"<[^<>]{1,400}>")
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("[ÂÃâ][\u0080-¿Œ-™]")
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$|[\"')\]])|[\n\r]+")
@@ -42,9 +43,14 @@ def visible(text: str) -> str:
     return mended(text)
 
 
+#: Combining marks.
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+
+
 def folded(text: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    text = text.lower()
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def words(text: str | None) -> list[str]:
