@@ -27,7 +27,8 @@ def run(spark, points, rings):
 
 
 def test_against_ray_casting(spark, monkeypatch):
-    monkeypatch.setattr(regions, "SLAB_POINTS", 50)
+    monkeypatch.setattr(regions, "CELL_POINTS", 20)
+    monkeypatch.setattr(regions, "PAIRS_AT_ONCE", 16)
     rnd = random.Random(8)
     rings = [(f"r{i}{j}", star(0.3 * i, 0.3 * j, 0.14, 9, rnd)) for i in range(4) for j in range(4)]
     rings += [("outer", [(-1, -1), (-1, 2), (2, 2), (2, -1)]), ("holed", [(3, 0), (3, 2), (5, 2), (5, 0), (3, 0)]), ("holed", [(3.5, 0.5), (3.5, 1.5), (4.5, 1.5), (4.5, 0.5)]), ("thin", [(0, 0), (1, 1)])]
@@ -41,3 +42,10 @@ def test_against_ray_casting(spark, monkeypatch):
         want += [(n, name) for name, o in odd.items() if o]
     assert run(spark, points, rings) == sorted(want)
     assert run(spark, [], rings) == [] and run(spark, points, []) == []
+
+
+def test_regions_that_span_many_cells(spark):
+    """An edge far to the left of a point decides about it, in cells that no boundary runs through."""
+    rings = [("wide", [(0, -170), (0, 170), (1, 170), (1, -170)]), ("slanted", [(2, -60), (3, 40), (4, -60)]), ("inner", [(0.2, -5), (0.2, 5), (0.8, 5), (0.8, -5)])]
+    points = [("a", 0.5, 0.0), ("b", 0.5, 100.0), ("c", 0.5, 175.0), ("d", 3.0, 39.0), ("e", 2.1, 39.0), ("f", 3.0, -59.0), ("g", 0.5, 0.0)]
+    assert run(spark, points, rings) == [("a", "inner"), ("a", "wide"), ("b", "wide"), ("d", "slanted"), ("f", "slanted"), ("g", "inner"), ("g", "wide")]

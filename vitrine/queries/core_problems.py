@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.urls import listing_key
 from vitrine.operators.attribute_history import observations, versions
-from vitrine.operators.nearby import near_pairs
+from vitrine.operators.nearby import near_pairs, usable
+from vitrine.operators.regions import containing_regions
 from vitrine.operators.snapshot_changes import snapshot_changes
 from vitrine.sources.tables import table
 
@@ -52,6 +53,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("url_a"), F.col("b").alias("url_b"))
 
 
+#: Degrees of the squares and triangles of p5_regions, and where their corners lie (off the decimals that coarse coordinates have).
+SQUARE, TRIANGLE, CORNER = 0.1, 0.02, 0.00371
+
+
+def p5_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """The square, and the lower left triangle, that each listing lies in, of those that any listing is near."""
+    c = F.col
+    listings = table(spark, folder, "imoveis").where("url is not null").select("url", "latitude", "longitude").where(usable(c("latitude"), c("longitude"))).distinct()
+    cell = lambda name, size: F.floor((c(name) + CORNER) / size).cast("long")
+    at = lambda name, size, n: (c(name) + n) * size - CORNER
+    point = lambda size, y, x: F.struct(at("y", size, y).alias("lat"), at("x", size, x).alias("lon"))
+    kinds = []
+    for kind, size, corners in (("q", SQUARE, ((0, 0), (0, 1), (1, 1), (1, 0))), ("t", TRIANGLE, ((0, 0), (0, 1), (1, 0)))):
+        held = listings.select(cell("latitude", size).alias("y"), cell("longitude", size).alias("x")).distinct()
+        kinds.append(held.select(F.concat_ws(":", F.lit(kind), "y", "x").alias("region"), F.array(*[point(size, y, x) for y, x in corners]).alias("ring")))
+    found = containing_regions(listings, kinds[0].unionByName(kinds[1]), id=c("url"), lat=c("latitude"), lon=c("longitude"), region=c("region"), ring=c("ring"))
+    return found.select(c("id").alias("url"), c("region").alias("regiao"))
+
+
 #: DuckDB macro-free spelling of listing_key.
 KEY_SQL = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(trim({u}), '^[A-Za-z]+://', ''), '^([^/?#]*)', 1)), '^www\.', ''), ':[0-9]*$', '')
  || regexp_replace(regexp_extract(regexp_replace(trim({u}), '^[A-Za-z]+://', ''), '^[^/?#]*([^?#]*)', 1), '/+$', '')
@@ -95,4 +115,12 @@ SELECT DISTINCT g.url AS url_a, m.url AS url_b FROM g JOIN m USING (y, x)
 WHERE g.url < m.url AND 2 * 6371000 * asin(sqrt(pow(sin(radians(g.la - m.la) / 2), 2) + cos(radians(g.la)) * cos(radians(m.la)) * pow(sin(radians(g.lo - m.lo) / 2), 2))) <= 50
 """
 
-QUERIES = {"p1_found": (p1_found, P1_SQL), "p2_found": (p2_found, P2_SQL), "p5_found": (p5_found, P5_SQL)}
+P5_REGIONS_SQL = f"""
+WITH t AS (SELECT DISTINCT url, latitude + {CORNER} AS la, longitude + {CORNER} AS lo FROM imoveis
+           WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0))
+SELECT url, 'q:' || CAST(floor(la / {SQUARE}) AS BIGINT) || ':' || CAST(floor(lo / {SQUARE}) AS BIGINT) AS regiao FROM t
+UNION ALL SELECT url, 't:' || CAST(floor(la / {TRIANGLE}) AS BIGINT) || ':' || CAST(floor(lo / {TRIANGLE}) AS BIGINT) FROM t
+WHERE la / {TRIANGLE} - floor(la / {TRIANGLE}) + lo / {TRIANGLE} - floor(lo / {TRIANGLE}) < 1
+"""
+
+QUERIES = {"p1_found": (p1_found, P1_SQL), "p2_found": (p2_found, P2_SQL), "p5_found": (p5_found, P5_SQL), "p5_regions": (p5_regions, P5_REGIONS_SQL)}
