@@ -10,30 +10,38 @@ from pyspark.sql import functions as F
 from vitrine.operators.nearby import distance_m, usable
 from vitrine.session import discard, materialize, materialize_at
 
-#: What a record must have.
-COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "area", "price", "floor"]
+#: What a record must have; ``fee`` and ``tax`` are the shares of the price that go with a dwelling.
+COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "area", "price", "floor", "fee", "tax"]
 #: Relative difference up to which two areas may be the same dwelling's.
 AREA = 0.03
-#: Relative difference of prices within which listings without area follow their neighbours.
+#: Relative difference of prices within which two records without area are the same dwelling's, and width of a price hub.
 PRICE = 0.04
 #: Relative difference of prices up to which a record without area may be the same dwelling's as another of its building and rooms.
 UNSIZED_PRICE = 0.15
 #: Confidence of such a pair where all sized records so near in price are of one area, and where only those nearest in price are taken.
 ALONE, NEAREST = 0.9, 0.8
-#: Metres within which two noisy coordinates may be the same building's.
-REACH = 80.0
-#: A spot given for more buildings than this stands for a district or town.
-SPOT_BUILDINGS = 3
+#: Metres within which two noisy coordinates may be the same building's, and the distance over which the evidence falls to a third.
+REACH, NEARBY = 80.0, 18.0
+#: Relative differences of prices and areas over which the evidence for a building falls to a third.
+PRICE_NOISE, AREA_NOISE = 0.1, 0.006
+#: Factors by which an equal and a differing fee, tax or floor count for and against a building.
+EQUAL, DIFFERING = 50.0, 0.02
+#: Evidence for a building of which no other record tells.
+NONE_OF_THESE = 0.01
+#: Share of the evidence that must speak for one building.
+PLACED = 0.5
 #: Share of an endpoint's best edge weight below which an edge is pruned.
 PRUNE = 0.5
-#: Confidence of a record's building: named in its address, by its exact coordinate, by its surroundings.
-NAMED, BY_SPOT, BY_SURROUNDINGS = 1.0, 0.95, 0.78
-#: Part of its similarity that a link keeps when it moves on to a neighbour.
-DAMPING = 0.8
-#: Least similarity of a match.
-ACCEPT = 0.3
-#: Rounds after which propagation counts as stable in any case; similarities only grow and are damped, so it stops by itself.
-ROUNDS = 20
+#: Confidence of a record's building named in its address, and factor of that of one inferred from its coordinates; of a pair that shares only a coordinate; of an area taken from listings of the same fee, tax or floor.
+NAMED, INFERRED, UNPLACED, IMPUTED = 1.0, 0.95, 0.6, 0.95
+#: Weight of the neighbours in a link's similarity; below 1, so that rescoring contracts to one solution whatever the start.
+NEIGHBOURS = 0.3
+#: What it says that two right records share a fee, a tax, a floor, a price.
+HUBS = {"e": 1.0, "t": 1.0, "f": 0.9, "p": 0.6}
+#: Greatest change of a similarity in a round after which rescoring is stable.
+STABLE = 1e-3
+#: Least similarity of a match, and least share of the best of a record without area.
+ACCEPT, OF_BEST = 0.3, 0.85
 
 
 def _band(x: Column, width: float) -> Column:
@@ -53,31 +61,34 @@ def _near(a: Column, b: Column, part: float) -> Column:
 
 
 def with_buildings(records: DataFrame) -> DataFrame:
-    """``records`` with ``building`` and ``placed``, how sure it is, for records whose address names none.
+    """``records`` with ``building`` and ``placed``, how sure it is (1 if named in the address, null if unknown).
 
-    First by the exact coordinate, if the named records there are of a single
-    building; then by the surroundings: named records within ``REACH`` metres
-    on a compatible street, with the same rooms and nearly the same area and
-    price, if they are all of one building. A coordinate given for more than
-    ``SPOT_BUILDINGS`` buildings says nothing.
+    A record whose address names no building is held against the buildings
+    within ``REACH`` metres, by their named records on a compatible street that
+    have the same rooms and nearly the same area and price. The evidence for a
+    building is that of its best such record: it falls with the distance from
+    the building and differences in price and area, is divided among the
+    buildings given with that very coordinate, and grows by an equal fee, tax
+    or floor. A building with more than ``PLACED`` of the
+    evidence of all, and of ``NONE_OF_THESE``, is taken, its share being the
+    confidence; no record is left out. Coordinates of at most three decimals are vague and say nothing here.
     """
-    located = usable(F.col("lat"), F.col("lon"))
-    named = records.where("building is not null")
-    open_ = records.where("building is null")
-    spots = materialize(named.where(located).groupBy("lat", "lon").agg(F.count_distinct("building").alias("n"), F.min("building").alias("found")), "spots")
-    by_spot = open_.drop("building").join(spots, ["lat", "lon"], "left").withColumn("building", F.when(F.col("n") == 1, F.col("found")))
-    first = materialize(by_spot, "by-spot")
-    rest = first.where("building is null").drop("found", "building")
+    fine = usable(F.col("lat"), F.col("lon")) & ((F.round("lat", 3) != F.col("lat")) | (F.round("lon", 3) != F.col("lon")))
+    named, open_ = records.where("building is not null"), records.where("building is null")
     cell = lambda c: F.floor(c * 1000).cast("int")
-    # Named records as profiles: a building's equal dwellings at one spot are one row.
-    profile = named.where(located & (F.col("area") > 0)).join(spots.where(f"n <= {SPOT_BUILDINGS}").select("lat", "lon"), ["lat", "lon"])
-    profile = profile.groupBy("building", "lat", "lon", "city", "street", "zip", "rooms", F.round("area", 1).alias("area")).agg(F.avg("price").alias("price"))
-    profile = profile.select(*[F.col(c).alias("p_" + c) for c in profile.columns], cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x"), _band(F.col("area"), AREA).alias("band"))
-    asked = rest.where(located & (F.col("area") > 0) & (F.coalesce("n", F.lit(0)) <= SPOT_BUILDINGS))
+    # Where each building stands, by cell: its coordinates averaged, those it shares with others counting less.
+    near = named.where(fine).select("building", "lat", "lon").distinct()
+    own = near.join(near.groupBy("lat", "lon").agg(F.count("*").alias("sharing")), ["lat", "lon"]).groupBy("building", cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x"))
+    mean = lambda c: (F.sum(F.col(c) / F.col("sharing")) / F.sum(1 / F.col("sharing"))).alias(c)
+    spots = own.agg(mean("lat"), mean("lon"), F.min("sharing").alias("sharing"))
+    # Its dwellings as profiles: equal records are one row.
+    profile = named.where(F.col("area") > 0).groupBy("building", "city", "street", "zip", "rooms", F.round("area", 1).alias("area"), "fee", "tax", "floor").agg(F.avg("price").alias("price"))
+    profile = profile.join(spots, "building")
+    profile = profile.select(*[F.col(c).alias("p_" + c) for c in profile.columns if c not in ("y", "x")], "y", "x", _band(F.col("area"), AREA).alias("band"))
     around = F.sequence(F.lit(-1), F.lit(1))
-    asked = asked.select("id", "city", "street", "zip", "rooms", "area", "price", "lat", "lon", F.explode(_bands(F.col("area"), AREA)).alias("band"), F.explode(F.transform(around, lambda d: cell(F.col("lat")) + d)).alias("y")).withColumn(
-        "x", F.explode(F.transform(around, lambda d: cell(F.col("lon")) + d))
-    )
+    asked = open_.where(fine & (F.col("area") > 0)).withColumn("band", F.explode(_bands(F.col("area"), AREA)))
+    asked = asked.withColumn("y", F.explode(F.transform(around, lambda d: cell(F.col("lat")) + d))).withColumn("x", F.explode(F.transform(around, lambda d: cell(F.col("lon")) + d)))
+    away = distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     met = asked.join(profile, ["y", "x", "band"]).where(
         (F.col("city") == F.col("p_city"))
         & ((F.col("street") == "") | (F.col("p_street") == "") | (F.col("street") == F.col("p_street")))
@@ -85,14 +96,45 @@ def with_buildings(records: DataFrame) -> DataFrame:
         & _agree("rooms", "p_rooms")
         & _near(F.col("area"), F.col("p_area"), AREA)
         & F.coalesce(F.col("p_price") / F.col("price"), F.lit(1.0)).between(0.75, 1.33)
-        & (distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= REACH)
+        & (away <= REACH)
     )
-    around_one = met.groupBy("id").agg(F.count_distinct("p_building").alias("n"), F.min("p_building").alias("building")).where("n = 1").select("id", "building")
-    columns = [*records.columns, "placed"]
-    sure = named.withColumn("placed", F.lit(NAMED)).select(*columns)
-    spotted = first.where("building is not null").withColumn("placed", F.lit(BY_SPOT)).select(*columns)
-    surrounded = rest.join(around_one, "id").withColumn("placed", F.lit(BY_SURROUNDINGS)).select(*columns)
-    return sure.unionByName(spotted).unionByName(surrounded)
+    said = F.exp(-away / NEARBY - F.coalesce(F.abs(F.log(F.col("p_price") / F.col("price"))), F.lit(PRICE_NOISE)) / PRICE_NOISE - F.abs(F.col("area") / F.col("p_area") - 1) / AREA_NOISE) / F.col("p_sharing")
+    for c in ("fee", "tax", "floor"):
+        said = said * F.when(F.col(c) == F.col("p_" + c), EQUAL).when(F.col(c) != F.col("p_" + c), DIFFERING).otherwise(1.0)
+    evidence = met.groupBy("id", "side", F.col("p_building").alias("found")).agg(F.max(said).alias("w"))
+    best = evidence.groupBy("id", "side").agg(F.max(F.struct("w", "found")).alias("top"), F.sum("w").alias("all"))
+    best = best.select("id", "side", "top.found", (F.col("top.w") / (F.col("all") + NONE_OF_THESE)).alias("share")).where(F.col("share") > PLACED)
+    placed = open_.drop("building").join(best, ["id", "side"], "left").withColumns({"building": F.col("found"), "placed": INFERRED * F.col("share")})
+    return named.withColumn("placed", F.lit(NAMED)).unionByName(placed.select(*records.columns, "placed"))
+
+
+def with_areas(records: DataFrame) -> DataFrame:
+    """``records`` with ``surveyed``, how sure the area is, and areas filled in from records of the building that share a fee, a tax, or floor and rooms.
+
+    These go with one dwelling; where the records that share one of them have
+    areas more than ``AREA`` apart, it says nothing.
+    """
+    sized = F.col("area") > 0
+    key = _hubs(("e", "t", "f"))
+    known = records.where(sized & F.col("building").isNotNull()).select(F.explode(key).alias("hub"), "area").groupBy("hub").agg(F.min("area").alias("least"), F.max("area").alias("most")).where(F.col("most") <= F.col("least") * (1 + AREA))
+    asked = records.where(~F.coalesce(sized, F.lit(False)) & F.col("building").isNotNull()).select("id", "side", F.explode(key).alias("hub"))
+    found = asked.join(known, "hub").groupBy("id", "side").agg(F.min("least").alias("least"), F.max("most").alias("most")).where(F.col("most") <= F.col("least") * (1 + AREA))
+    both = records.join(found, ["id", "side"], "left")
+    area = F.when(sized, F.col("area")).otherwise((F.col("least") + F.col("most")) / 2)
+    return both.withColumns({"surveyed": F.when(sized, 1.0).when(area.isNotNull(), IMPUTED), "area": area}).select(*records.columns, "surveyed")
+
+
+def _hubs(kinds: tuple[str, ...] = tuple(HUBS)) -> Column:
+    """Keys of what a record shares with others of its dwelling, within its building."""
+    number = lambda c: F.when(F.col(c) > 0, F.round(c, 2).cast("string"))
+    keys = {
+        "e": [F.concat_ws(",", F.lit("e"), "building", number("fee"))],
+        "t": [F.concat_ws(",", F.lit("t"), "building", number("tax"))],
+        "f": [F.concat_ws(",", F.lit("f"), "building", F.col("rooms").cast("int").cast("string"), F.col("floor").cast("int").cast("string"))],
+        "p": [F.concat_ws(",", F.lit("p"), "building", F.col("rooms").cast("int").cast("string"), (_band(F.col("price"), PRICE) + d).cast("string")) for d in (0, 1)],
+    }
+    known = {"e": F.col("fee") > 0, "t": F.col("tax") > 0, "f": F.col("floor").isNotNull() & F.col("rooms").isNotNull(), "p": (F.col("price") > 0) & F.col("rooms").isNotNull()}
+    return F.array_compact(F.array(*[F.when(known[k], x) for k in kinds for x in keys[k]]))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -107,7 +149,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     spot = F.when(usable(F.col("lat"), F.col("lon")), F.concat_ws(",", F.lit("x"), F.col("lat").cast("string"), F.col("lon").cast("string")))
     building = F.concat_ws(",", F.lit("b"), F.col("building").cast("string"))
     attributes = F.explode(F.array_compact(F.array(building, spot))).alias("attribute")
-    sized = F.col("area") > 0
+    sized = F.col("area") > 0  # The others are paired by :func:`unsized_pairs`.
     l_side = left.where(sized).select(F.col("id").alias("l"), "area", attributes).select("l", "attribute", F.explode(_bands(F.col("area"), AREA)).alias("band"))
     r_side = right.where(sized).select(F.col("id").alias("r"), attributes, _band(F.col("area"), AREA).alias("band"))
     n = left.select("id").unionByName(right.select("id")).count()
@@ -123,17 +165,24 @@ def own_similarity(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     """``(l, r, s)``: similarity of the ends themselves; pairs that contradict each other are left out.
 
     Buildings and rooms must agree and areas lie within ``AREA``; the price
-    only adds, because sources quote older, rounded or total prices.
+    only adds, because sources quote older, rounded or total prices. Where both
+    buildings are unknown the shared coordinate stands for them; what it says
+    is divided among the right record's partners there.
     """
-    cols = ["id", "building", "rooms", "area", "price", "placed"]
+    cols = ["id", "building", "rooms", "area", "price", "placed", "surveyed"]
     a = left.select(*[F.col(c).alias("l_" + c) for c in cols])
     b = right.select(*[F.col(c).alias("r_" + c) for c in cols])
     both = edges.join(a, F.col("l") == F.col("l_id")).join(b, F.col("r") == F.col("r_id"))
-    both = both.where((F.col("l_building") == F.col("r_building")) & _agree("l_rooms", "r_rooms") & _near(F.col("l_area"), F.col("r_area"), AREA))
+    placed = F.col("l_building") == F.col("r_building")
+    neither = F.col("l_building").isNull() & F.col("r_building").isNull()
+    both = both.where((placed | neither) & _agree("l_rooms", "r_rooms") & _near(F.col("l_area"), F.col("r_area"), AREA))
     off = F.abs(F.col("l_area") / F.col("r_area") - 1) / AREA
     price = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.log(F.col("l_price") / F.col("r_price"))) / 0.5), F.lit(0.5))
     rooms = F.when(F.col("l_rooms") == F.col("r_rooms"), 1.0).otherwise(0.5)
-    return both.select("l", "r", (F.col("l_placed") * F.col("r_placed") * (0.5 + 0.2 * (1 - off) + 0.15 * price + 0.15 * rooms)).alias("s"))
+    sure = F.coalesce(F.col("l_placed") * F.col("r_placed"), F.lit(UNPLACED)) * F.col("l_surveyed") * F.col("r_surveyed")
+    rated = both.select("l", "r", neither.alias("neither"), (sure * (0.5 + 0.2 * (1 - off) + 0.15 * price + 0.15 * rooms)).alias("s"))
+    alone = rated.where("neither").groupBy("r").agg(F.count("*").alias("partners"))
+    return rated.join(alone, "r", "left").select("l", "r", (F.col("s") / F.when(F.col("neither"), F.col("partners")).otherwise(1)).alias("s"), F.lit(True).alias("settled"))
 
 
 def unsized_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -160,39 +209,50 @@ def unsized_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     rooms = F.when(F.col("x_rooms") == F.col("rooms"), 1.0).otherwise(0.5)
     s = F.col("x_placed") * F.col("placed") * (0.6 + 0.15 * price + 0.15 * rooms) * F.when(F.col("alone"), ALONE).otherwise(NEAREST)
     on_left = F.col("x_side") == "l"
-    return pairs.groupBy(F.when(on_left, F.col("x_id")).otherwise(F.col("id")).alias("l"), F.when(on_left, F.col("id")).otherwise(F.col("x_id")).alias("r")).agg(F.max(s).alias("s"))
+    return pairs.groupBy(F.when(on_left, F.col("x_id")).otherwise(F.col("id")).alias("l"), F.when(on_left, F.col("id")).otherwise(F.col("x_id")).alias("r")).agg(F.max(s).alias("s"), F.bool_or(on_left).alias("settled"))
 
 
-def propagate(links: DataFrame, right: DataFrame) -> DataFrame:
-    """``(l, r, s)`` with the links that right records without an area inherit, until nothing changes.
+def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
+    """``(l, r, s, settled)``: every link's similarity, refined by its neighbours' until stable.
 
-    Such a record follows the records of its building with the same rooms that
-    share its floor or lie within ``PRICE`` of its price: hubs hold the best
-    similarity of each left record among their members, and a member without
-    area takes the damped maximum. Hubs stand in for pairs of right records, so
-    no group of them is expanded.
+    Neighbours of a right record are those of its building that share its fee,
+    tax, floor or price. A link's support from one of these hubs is the mean
+    similarity of the left record with the hub's other members, those it has no
+    link with counting 0; the best hub counts. In each round a link with
+    neighbours is (1 - ``NEIGHBOURS``) of its own similarity and ``NEIGHBOURS``
+    of its support, so differences shrink by that factor a round and the
+    solution doesn't depend on the order. Hubs stand in for pairs of right
+    records, so no group of them is expanded.
     """
-    hub = F.array_compact(
-        F.array(
-            F.when(F.col("floor").isNotNull(), F.concat_ws(",", F.lit("f"), "building", "rooms", "floor")),
-            *[F.when(F.col("price") > 0, F.concat_ws(",", F.lit("p"), "building", "rooms", (_band(F.col("price"), PRICE) + d).cast("string"))) for d in (0, 1)],
-        )
-    )
-    members = right.where("rooms is not null").select(F.col("id").alias("r"), (F.coalesce("area", F.lit(0.0)) > 0).alias("sized"), F.explode(hub).alias("hub"))
-    members = materialize(members, "hubs")
+    members = right.where("building is not null").select(F.col("id").alias("r"), F.explode(_hubs()).alias("hub")).distinct()
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.lit(0.0)
+    for kind, w in HUBS.items():
+        weight = F.when(F.substring("hub", 1, 1) == kind, w).otherwise(weight)
+    members = members.join(links.select("r").distinct(), "r", "left_semi").join(sizes, "hub").select("r", "hub", "n", weight.alias("w"))
     spark = links.sparkSession
-    current, path = materialize_at(links, "links")
-    for _ in range(ROUNDS):
-        held = current.join(members, "r").groupBy("hub", "l").agg(F.max("s").alias("s"))
-        passed = held.join(members.where("not sized"), "hub").groupBy("l", "r").agg((F.max("s") * DAMPING).alias("s"))
-        grown = current.unionByName(passed.select("l", "r", "s")).groupBy("l", "r").agg(F.max("s").alias("s")).where(f"s >= {ACCEPT}")
-        nxt, next_path = materialize_at(grown, "links")
-        stable = nxt.join(current.select("l", "r", F.col("s").alias("before")), ["l", "r"], "left").where("before is null or s > before + 1e-9").isEmpty()
+    links = links.groupBy("l", "r").agg(F.max("s").alias("own"), F.bool_or("settled").alias("settled"))
+    links = materialize(links, "own-similarity")
+    around = materialize(links.select("l", "r").join(members, "r"), "neighbours")
+    current, path = materialize_at(links.select("l", "r", F.col("own").alias("s")), "links")
+    while True:
+        held = around.join(current, ["l", "r"])
+        total = held.groupBy("l", "hub").agg(F.sum("s").alias("total"))
+        support = held.join(total, ["l", "hub"]).groupBy("l", "r").agg(F.max(F.col("w") * (F.col("total") - F.col("s")) / (F.col("n") - 1)).alias("support"))
+        nxt = links.join(support, ["l", "r"], "left").join(current, ["l", "r"])
+        nxt = nxt.select("l", "r", F.coalesce((1 - NEIGHBOURS) * F.col("own") + NEIGHBOURS * F.col("support"), "own").alias("s"), F.col("s").alias("before"))
+        nxt, next_path = materialize_at(nxt, "links")
+        change = nxt.agg(F.max(F.abs(F.col("s") - F.col("before")))).first()[0] or 0.0
         discard(spark, path)
-        current, path = nxt, next_path
-        if stable:
-            break
-    return current
+        current, path = nxt.select("l", "r", "s"), next_path
+        if change <= STABLE:
+            return current.join(links.select("l", "r", "settled"), ["l", "r"])
+
+
+def accepted(links: DataFrame) -> DataFrame:
+    """``(l, r, s)``: the links that hold; of a right record without area, only those near its best."""
+    best = links.groupBy("r").agg(F.max("s").alias("best"))
+    return links.join(best, "r").where((F.col("s") >= ACCEPT) & (F.col("settled") | (F.col("s") >= OF_BEST * F.col("best")))).select("l", "r", "s")
 
 
 def link(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -200,12 +260,13 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both sides: ``id, building`` (the address group, null if the address names
     none), ``city, street, zip`` ('' if unknown), ``lat, lon, rooms, area,
-    price, floor``; other columns are ignored. Nulls anywhere only weaken a pair; records with neither area
-    nor price on the left, and those whose building can't be found, have no
-    match. Ids are unique per side.
+    price, floor, fee, tax``; other columns are ignored. Nulls anywhere only
+    weaken a pair; a record with neither area nor price, and one whose building
+    is unknown and whose coordinate no other record has, has no match. Ids are
+    unique per side.
     """
     marked = left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
-    both = materialize(with_buildings(marked), "placed")
+    both = materialize(with_areas(materialize(with_buildings(marked), "with-buildings")), "placed")
     l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
     similar = own_similarity(candidates(l, r), l, r).unionByName(unsized_pairs(l, r))
-    return propagate(similar, r).select("l", "r", F.round("s", 4).alias("confidence"))
+    return accepted(rescored(similar, r)).select("l", "r", F.round("s", 4).alias("confidence"))

@@ -45,10 +45,10 @@ def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     where = addresses.groupBy("id").agg(*[F.max(x).alias(x) for x in ("city", "street", "zip")])
     located = materialize(where.join(groups, "id", "left"), "located")
     lat, lon = _number("latitude").alias("lat"), _number("longitude").alias("lon")
-    left = fichas.select(F.concat(F.lit("F"), c("ficha_id").cast("string")).alias("id"), lat, lon, c("quartos").alias("rooms"), F.when(c("area_privativa") > 0, c("area_privativa")).alias("area"), _number("valor_pedido").alias("price"), F.lit(None).cast("int").alias("floor"))
+    left = fichas.select(F.concat(F.lit("F"), c("ficha_id").cast("string")).alias("id"), lat, lon, c("quartos").alias("rooms"), F.when(c("area_privativa") > 0, c("area_privativa")).alias("area"), _number("valor_pedido").alias("price"), F.lit(None).cast("int").alias("floor"), F.lit(None).cast("double").alias("fee"), F.lit(None).cast("double").alias("tax"))
     price = F.coalesce(F.when(_number("preco") > 1, _number("preco")), _number("aluguel"))
     listings = table(spark, folder, "imoveis").where("url is not null").select(
-        F.concat(F.lit("L"), "url").alias("id"), lat, lon, c("quartos").alias("rooms"), _area(_number("area_m2"), c("descricao"), price, c("quartos")).alias("area"), price.alias("price"), c("andar").alias("floor")
+        F.concat(F.lit("L"), "url").alias("id"), lat, lon, c("quartos").alias("rooms"), _area(_number("area_m2"), c("descricao"), price, c("quartos")).alias("area"), price.alias("price"), c("andar").alias("floor"), _number("condominio").alias("fee"), _number("iptu").alias("tax")
     )
     right = listings.dropDuplicates(["id"])
     matches = link(left.join(located, "id"), right.join(located, "id"))
