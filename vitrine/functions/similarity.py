@@ -12,14 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import digits, jaccard, tokens
+from vitrine.functions.text import digits, jaccard, plain_words, tokens
 
-EARTH_M = 6_371_000.0
+# Metres in a degree of latitude, and of longitude at the equator.
+LATITUDE_M, LONGITUDE_M = 110_540.0, 111_320.0
 
 
 def decay(difference: Column, tolerance: float, limit: float) -> Column:
-    """1 up to ``tolerance``, 0 from ``limit`` on, linear between."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (limit - difference) / (limit - tolerance)))
+    """1 up to ``tolerance``, 0 from ``limit`` on, linear between; null for an unknown difference."""
+    return F.when(difference.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (limit - difference) / (limit - tolerance))))
 
 
 def relative(x: Column, y: Column) -> Column:
@@ -29,12 +30,12 @@ def relative(x: Column, y: Column) -> Column:
 
 def flat_distance(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     """Metres by the equirectangular projection at ``lat_a``."""
-    return EARTH_M * F.hypot(F.radians(lat_b - lat_a), F.radians(lon_b - lon_a) * F.cos(F.radians(lat_a)))
+    return F.hypot((lat_a - lat_b) * LATITUDE_M, (lon_a - lon_b) * LONGITUDE_M * F.cos(F.radians(lat_a)))
 
 
 def photo_names(photos: Column) -> Column:
     """What identifies photos across hosts: a long hexadecimal part of the path, else the file's stem."""
-    long_hex = lambda u: F.nullif(F.regexp_extract(F.lower(u), r"/([0-9a-f]{16,})[/.]", 1), F.lit(""))
+    long_hex = lambda u: F.nullif(F.regexp_extract(u, r"/([0-9a-f]{16,})[/.]", 1), F.lit(""))
     stem = lambda u: F.nullif(F.regexp_extract(F.lower(u), r"/([^/?]+)\.(?:jpe?g|webp|png)", 1), F.lit(""))
     return F.array_distinct(F.array_compact(F.transform(photos, lambda u: F.coalesce(long_hex(u), stem(u)))))
 
@@ -47,16 +48,19 @@ def cost(total: Column, price: Column) -> Column:
 def prepared() -> Column:
     """What the comparators need of a listing, worked out once per row instead of once per pair."""
     c = F.col
+    some = lambda x: F.nullif(x, F.lit(""))
+    # Words of a text that is there; one without any is like no other.
+    said = lambda x: F.when(x != "", tokens(x))
     filled = lambda x: F.when(F.size(x) > 0, x)
     return F.struct(
         "latitude", "longitude", "area_m2", "quartos", "suites", "banheiros", "vagas", "site",
-        filled(tokens(c("logradouro"))).alias("street"),
-        digits(c("numero")).alias("number"),
-        filled(tokens(c("condominio_nome"))).alias("building"),
-        filled(F.when(F.length("descricao") >= 60, tokens(c("descricao")))).alias("description"),
-        filled(tokens(c("imobiliaria"))).alias("agency"),
+        said(c("logradouro")).alias("street"),
+        some(c("numero").cast("string")).alias("number"),
+        said(c("condominio_nome")).alias("building"),
+        F.when(F.length("descricao") >= 60, tokens(c("descricao"))).alias("description"),
+        said(c("imobiliaria")).alias("agency"),
         F.right(digits(c("telefone")), F.lit(8)).alias("phone"),
-        F.nullif(F.array_join(F.array_sort(tokens(c("cidade"))), " "), F.lit("")).alias("city"),
+        F.when(c("cidade") != "", plain_words(c("cidade"))).alias("city"),
         filled(photo_names(c("fotos"))).alias("photos"),
         cost(c("custo_mensal_total"), c("preco")).alias("cost"),
     )
@@ -67,9 +71,14 @@ def _position(a: Column, b: Column) -> Column:
     return F.when(d < 50, 1.0).when(d < 150, 0.7).when(d < 400, 0.3).when(d.isNotNull(), 0.0)
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """:func:`jaccard` of two texts' words, 0 if a text that is there has none."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(jaccard(a, b), F.lit(0.0)))
+
+
 def _address(a: Column, b: Column) -> Column:
-    base = jaccard(a["street"], b["street"])
-    return F.when(a["number"] == b["number"], F.least(F.lit(1.0), base + 0.3)).when(a["number"] != b["number"], base * 0.5).otherwise(base)
+    base = _overlap(a["street"], b["street"])
+    return F.when(base.isNull() | a["number"].isNull() | b["number"].isNull(), base).when(a["number"] == b["number"], F.least(F.lit(1.0), base + 0.3)).otherwise(base * 0.5)
 
 
 def _rooms(a: Column, b: Column) -> Column:
@@ -82,7 +91,7 @@ def _rooms(a: Column, b: Column) -> Column:
 
 def _contact(a: Column, b: Column) -> Column:
     phones = a["phone"].isNotNull() & b["phone"].isNotNull()
-    return F.when(phones, (a["phone"] == b["phone"]).cast("double")).otherwise(jaccard(a["agency"], b["agency"]))
+    return F.when(phones, (a["phone"] == b["phone"]).cast("double")).otherwise(_overlap(a["agency"], b["agency"]))
 
 
 COMPARATORS: dict[str, Callable[[Column, Column], Column]] = {
@@ -92,8 +101,8 @@ COMPARATORS: dict[str, Callable[[Column, Column], Column]] = {
     "custo": lambda a, b: decay(relative(a["cost"], b["cost"]), 0.01, 0.15),
     "fotos": lambda a, b: jaccard(a["photos"], b["photos"]),
     "comodos": _rooms,
-    "condominio": lambda a, b: jaccard(a["building"], b["building"]),
-    "descricao": lambda a, b: jaccard(a["description"], b["description"]),
+    "condominio": lambda a, b: _overlap(a["building"], b["building"]),
+    "descricao": lambda a, b: _overlap(a["description"], b["description"]),
     "contato": _contact,
 }
 

@@ -43,18 +43,27 @@ def text_hash(text: Column) -> Column:
     return F.substring(F.sha1(bare), 1, 16)
 
 
-def tokens(text: Column) -> Column:
-    """Distinct words in plain form, abbreviations written out; null or empty text gives []."""
+def _words(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), r"[^a-z0-9\s]", " ")
     words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
     lookup = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.element_at(lookup, w), w)))
+    return F.transform(words, lambda w: F.coalesce(F.element_at(lookup, w), w))
+
+
+def plain_words(text: Column) -> Column:
+    """The words in plain form with single spaces, abbreviations written out; null gives ''."""
+    return F.array_join(_words(text), " ")
+
+
+def tokens(text: Column) -> Column:
+    """Distinct words in plain form, abbreviations written out; null or empty text gives []."""
+    return F.array_distinct(_words(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two arrays of distinct values; null if either is null or empty."""
-    shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / union)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -102,8 +111,8 @@ def digits(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"\D", ""), F.lit(""))
 
 
-# Kinds of property in a title that are not dwellings.
-NOT_DWELLINGS = r"(?iuU)\bsala\s+comercial\b|\bgalp[aã]o\b|\bterreno\b|\bconsult[oó]rio\b|\bestabelecimento\s+comercial\b|\bponto\s+comercial\b"
+# Kinds of property in a title that are not dwellings (one is spelled in Spanish there).
+NOT_DWELLINGS = r"(?iuU)\bsala\s+comercial\b|\bgalp[aã]o\b|\bterreno\b|\bconsult[oó]rio\b|\bestablecimento\s+comercial\b|\bponto\s+comercial\b"
 
 
 def is_dwelling(title: Column) -> Column:

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.similarity import MatchPolicy, compared, cost, photo_names, prepared
-from vitrine.functions.text import digits, slug, tokens
-from vitrine.session import discard, materialize_at
+from vitrine.functions.text import digits, plain_words
+from vitrine.session import discard, materialize, materialize_at
 
-#: Members above which a block is left out: such a key says too little (a property of the method).
+#: Members above which a block is cut by finer keys: such a key says too little (a property of the method).
 BLOCK_CAP = 60
+#: Relative widths of the cost and area bands that cut large blocks: from these differences on, a comparison of cost or area gives nothing.
+FINER = {"custo": 0.15, "area": 0.12}
 
 
 def block_keys() -> Column:
     """Array of the blocking keys of a listing; unknown rooms block together under -1."""
     c = lambda n: F.col(n)
     rooms = F.coalesce(c("quartos"), F.lit(-1)).cast("string")
-    plain = lambda x: F.nullif(F.array_join(tokens(x), " "), F.lit(""))
+    plain = lambda x: F.when(x != "", plain_words(x))
     key = lambda kind, *parts: F.when(_known(*parts), F.concat_ws("|", F.lit(kind), *parts))
     band = F.bround(c("area_m2") / 5) * 5
-    areas = [key("bairro", slug_or_null(c("bairro")), rooms, (band + d).cast("int").cast("string")) for d in (-5, 0, 5)]
-    price = F.floor(cost(c("custo_mensal_total"), c("preco")) / 100).cast("string")
+    areas = [F.when(c("area_m2") != 0, key("bairro", plain(c("bairro")), rooms, (band + d).cast("int").cast("string"))) for d in (-5, 0, 5)]
+    price = F.when(c("custo_mensal_total") != 0, F.bround(c("custo_mensal_total") / 100).cast("int").cast("string"))
     single = [
         key("geo", F.format_number(F.bround("latitude", 3), 3), F.format_number(F.bround("longitude", 3), 3), rooms),
-        key("rua", plain(c("logradouro")), digits(c("numero"))),
+        key("rua", plain(c("logradouro")), F.coalesce(c("numero").cast("string"), F.lit(""))),
         *areas,
         key("condominio", plain(c("condominio_nome")), rooms),
         key("fone", F.right(digits(c("telefone")), F.lit(8)), rooms, price),
@@ -33,9 +38,16 @@ def block_keys() -> Column:
     return F.array_distinct(F.concat(F.array_compact(F.array(*single)), photos))
 
 
-def slug_or_null(c: Column) -> Column:
-    """The slug, null if empty."""
-    return F.nullif(slug(c), F.lit(""))
+def finer_keys() -> list[Column]:
+    """Bands of cost, then of area, for :func:`blocked_pairs`: two listings less than a band's width apart share one; unknown values share their own."""
+    return [F.coalesce(F.when(x > 0, F.transform(F.array(F.lit(0), F.lit(1)), lambda d: (F.floor(F.log(x) / -math.log1p(-w)) + d).cast("string"))), F.array(F.lit("?"))) for x, w in ((cost(F.col("custo_mensal_total"), F.col("preco")), FINER["custo"]), (F.col("area_m2"), FINER["area"]))]
+
+
+def blocked_listings(listings: DataFrame, *, id: str, cap: int | None = BLOCK_CAP) -> DataFrame:
+    """:func:`blocked_pairs` of listings by :func:`block_keys`, large blocks cut by :func:`finer_keys`."""
+    # Written, because every level of keys reads it, and the keys fill a generated class of their own.
+    keyed = materialize(listings.select(id, block_keys().alias("keys"), *[x.alias(f"finer_{n}") for n, x in enumerate(finer_keys())]), "block-keys")
+    return blocked_pairs(keyed, id=id, keys="keys", finer=["finer_0", "finer_1"], cap=cap)
 
 
 def _known(*parts: Column) -> Column:
@@ -45,25 +57,38 @@ def _known(*parts: Column) -> Column:
     return out
 
 
-def blocked_pairs(keyed: DataFrame, *, id: str, keys: str, cap: int | None = BLOCK_CAP) -> DataFrame:
+def blocked_pairs(keyed: DataFrame, *, id: str, keys: str, finer: list[str] = (), cap: int | None = BLOCK_CAP) -> DataFrame:
     """``(a, b)``, a < b: distinct pairs that share a key of at most ``cap`` members.
 
-    Block sizes are map-side combined counts; oversize blocks are cut by a semi
-    join before pairs are formed, so pairs stay linear in the rows. ``cap`` is
-    the method's own bound, None pairs every block.
+    A larger block is cut by the keys of the first ``finer`` column (array of
+    strings), what is still larger by the next one; so of a large block the
+    pairs that also share finer keys are kept, however large it is. Only blocks
+    over the cap by all keys are left out. Block sizes are map-side combined
+    counts and cut before pairs are formed, so pairs stay linear in the rows.
+    ``cap`` is the method's own bound, None pairs every block.
     """
-    rows = keyed.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.explode(keys).alias("key")).distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    if cap is not None:
-        sizes = sizes.where(F.col("n") <= cap)
-    kept = rows.join(sizes.select("key"), "key", "left_semi")
-    a, b = kept.select("key", F.col("id").alias("a")), kept.select("key", F.col("id").alias("b"))
+    rows = keyed.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), *finer, F.explode(keys).alias("key")).distinct()
+    kept = []
+    for column in (*finer, None):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        small = sizes if cap is None else sizes.where(F.col("n") <= cap)
+        kept.append(rows.join(small.select("key"), "key", "left_semi").select("id", "key"))
+        if column is None or cap is None:
+            break
+        large = rows.join(sizes.where(F.col("n") > cap).select("key"), "key", "left_semi")
+        rows = large.withColumn("_f", F.explode(column)).withColumn("key", F.concat_ws("|", "key", F.lit(column), "_f")).drop("_f")
+    held = reduce(DataFrame.unionByName, kept)
+    a, b = held.select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"))
     return a.join(b, "key").where("a < b").select("a", "b").distinct()
 
 
 def scored_pairs(pairs: DataFrame, listings: DataFrame, *, id: str, policy: MatchPolicy | None = None) -> DataFrame:
-    """``(a, b, raw, score, class, signals, veto, n)`` for pairs of listing ids."""
-    return scored_readings(pairs, readings(listings, id=id), policy=policy)
+    """``(a, b, raw, score, class, signals, veto, n)`` for pairs of listing ids.
+
+    Readings and scored pairs are written: what a caller asks of the score
+    would else be pushed down into the comparators, each evaluated many times.
+    """
+    return materialize(scored_readings(pairs, materialize(readings(listings, id=id), "readings"), policy=policy), "scored-pairs")
 
 
 def readings(listings: DataFrame, *, id: str) -> DataFrame:

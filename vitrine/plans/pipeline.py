@@ -70,7 +70,7 @@ def run(stored: DataFrame, batch: DataFrame, *, policy: MatchPolicy | None = Non
     keep = [c for c in batch.columns if c not in (*overwrite, "url")]
     listings = changes.upsert(stored, batch.withColumn("_o", F.lit(0)), key="url", order="_o", overwrite=overwrite, keep_known=keep)
     events = changes.listing_events(stored, batch, key="url", price="preco", texts={"descricao": "DESCRICAO_ALTERADA", "imobiliaria": "ANUNCIANTE_ALTERADO"}, status="status")
-    pairs = resolution.blocked_pairs(batch.select("url", resolution.block_keys().alias("keys")), id="url", keys="keys")
+    pairs = resolution.blocked_listings(batch, id="url")
     scored = resolution.scored_pairs(pairs, batch, id="url", policy=policy)
     members = resolution.clusters(scored, batch, id="url", policy=policy)
     return RunResult(listings, events, *entities_of(batch, members, trust=trust))

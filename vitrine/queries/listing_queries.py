@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import slug
+from vitrine.functions.similarity import MatchPolicy
+from vitrine.functions.text import ABBREVIATIONS, slug
 from vitrine.functions.urls import listing_key
 from vitrine.operators import resolution, tables
 from vitrine.operators.total_order import ranked
@@ -181,21 +184,97 @@ def _located(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def block_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of parts that share name and size, by a blocked self-join."""
-    keyed = table(spark, folder, "part").select("p_partkey", F.array(F.concat_ws("|", "p_brand", "p_type", c("p_size").cast("string"))).alias("keys"))
-    return resolution.blocked_pairs(keyed, id="p_partkey", keys="keys")
+    """Pairs of listings that share a blocking key."""
+    return resolution.blocked_listings(_located(spark, folder), id="url")
+
+
+_ABBREVIATED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items()) + "}"
+
+
+def _words_sql(x: str) -> str:
+    bare = f"regexp_replace(lower(strip_accents({x})), '[^a-z0-9\\s]', ' ', 'g')"
+    return f"list_transform(list_filter(string_split_regex({bare}, '\\s+'), lambda w: w <> ''), lambda w: coalesce({_ABBREVIATED}[w], w))"
+
+
+def _plain_sql(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN array_to_string({_words_sql(x)}, ' ') END"
+
+
+def _said_sql(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN list_distinct({_words_sql(x)}) END"
+
+
+_DIGITS = "nullif(regexp_replace(telefone, '[^0-9]', '', 'g'), '')"
+_PHOTOS = """list_distinct(list_filter(list_transform(fotos, lambda u: coalesce(nullif(regexp_extract(u, '/([0-9a-f]{16,})[/.]', 1), ''),
+ nullif(regexp_extract(lower(u), '/([^/?]+)\\.(?:jpe?g|webp|png)', 1), ''))), lambda u: u IS NOT NULL))"""
 
 
-BLOCK_PAIRS = """
-WITH k AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS k FROM part), s AS (SELECT k FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60)
-SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM k x JOIN k y USING (k) JOIN s USING (k) WHERE x.p_partkey < y.p_partkey
+def _bands_sql(x: str, width: float) -> str:
+    return f"CASE WHEN {x} > 0 THEN [CAST(floor(ln({x}) / {-math.log1p(-width)!r}) + d AS VARCHAR) FOR d IN [0, 1]] ELSE ['?'] END"
+
+
+#: Listings, their blocking keys, and the pairs that share one: blocks of at most 60, larger ones cut by bands of cost, then of area.
+_PAIRS_SQL = f"""i AS (SELECT *, coalesce(nullif(custo_mensal_total, 0), preco) AS custo, {_DIGITS} AS tel, coalesce({_PHOTOS}, []) AS fs,
+ {_plain_sql("logradouro")} AS rua, {_plain_sql("bairro")} AS bai, {_plain_sql("condominio_nome")} AS pre, coalesce(CAST(quartos AS VARCHAR), '-1') AS q
+ FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ultima_confirmacao) AS rn FROM imoveis WHERE url IS NOT NULL) WHERE rn = 1),
+k0 AS (SELECT url, custo, area_m2, unnest(list_distinct(list_filter([
+ 'geo|' || round_even(latitude, 3) || '|' || round_even(longitude, 3) || '|' || q, 'rua|' || rua || '|' || coalesce(numero, ''), 'cond|' || pre || '|' || q,
+ 'fone|' || right(tel, 8) || '|' || q || '|' || CAST(CASE WHEN custo_mensal_total <> 0 THEN round_even(custo_mensal_total / 100, 0) END AS BIGINT)]
+ || [CASE WHEN area_m2 <> 0 THEN 'bairro|' || bai || '|' || q || '|' || CAST(round_even(area_m2 / 5, 0) * 5 + d AS BIGINT) END FOR d IN [-5, 0, 5]]
+ || ['foto|' || f FOR f IN fs], lambda x: x IS NOT NULL))) AS k FROM i),
+s0 AS (SELECT k, count(*) AS n FROM k0 GROUP BY 1),
+k1 AS (SELECT DISTINCT url, area_m2, k || '|c' || unnest({_bands_sql("custo", 0.15)}) AS k FROM k0 SEMI JOIN (SELECT k FROM s0 WHERE n > 60) USING (k)),
+s1 AS (SELECT k, count(*) AS n FROM k1 GROUP BY 1),
+k2 AS (SELECT DISTINCT url, k || '|a' || unnest({_bands_sql("area_m2", 0.12)}) AS k FROM k1 SEMI JOIN (SELECT k FROM s1 WHERE n > 60) USING (k)),
+s2 AS (SELECT k, count(*) AS n FROM k2 GROUP BY 1),
+h AS (SELECT url, k FROM k0 SEMI JOIN (SELECT k FROM s0 WHERE n BETWEEN 2 AND 60) USING (k) UNION ALL SELECT url, k FROM k1 SEMI JOIN (SELECT k FROM s1 WHERE n BETWEEN 2 AND 60) USING (k)
+ UNION ALL SELECT url, k FROM k2 SEMI JOIN (SELECT k FROM s2 WHERE n BETWEEN 2 AND 60) USING (k)),
+p AS (SELECT DISTINCT x.url AS a, y.url AS b FROM h x JOIN h y USING (k) WHERE x.url < y.url)"""
+
+BLOCK_PAIRS = f"WITH {_PAIRS_SQL} SELECT a, b FROM p"
+
+
+def _jaccard_sql(x: str) -> str:
+    shared = f"len(list_intersect(x.{x}, y.{x}))"
+    return f"{shared} / nullif(CAST(len(x.{x}) + len(y.{x}) - {shared} AS DOUBLE), 0)"
+
+
+def _decay_sql(x: str, tolerance: float, limit: float) -> str:
+    difference = f"abs(x.{x} - y.{x}) / greatest(x.{x}, y.{x})"
+    return f"CASE WHEN x.{x} > 0 AND y.{x} > 0 THEN greatest(0.0, least(1.0, ({limit} - {difference}) / ({limit} - {tolerance}))) END"
+
+
+_OVERLAP = {x: f"CASE WHEN x.{x} IS NOT NULL AND y.{x} IS NOT NULL THEN coalesce({_jaccard_sql(x)}, 0) END" for x in ("st", "ed", "ds", "ag")}
+_ROOMS = [f"CASE WHEN x.{f} IS NOT NULL AND y.{f} IS NOT NULL THEN CAST(x.{f} = y.{f} AS INT) END" for f in ("quartos", "suites", "banheiros", "vagas")]
+_SIGNALS = {
+    "geo": "CASE WHEN m < 50 THEN 1.0 WHEN m < 150 THEN 0.7 WHEN m < 400 THEN 0.3 WHEN m IS NOT NULL THEN 0.0 END",
+    "endereco": f"CASE WHEN x.st IS NULL OR y.st IS NULL THEN NULL WHEN x.numero <> '' AND y.numero <> '' THEN CASE WHEN x.numero = y.numero THEN least(1.0, {_OVERLAP['st']} + 0.3) ELSE {_OVERLAP['st']} * 0.5 END ELSE {_OVERLAP['st']} END",
+    "area": _decay_sql("area_m2", 0.02, 0.12),
+    "custo": _decay_sql("custo", 0.01, 0.15),
+    "fotos": f"CASE WHEN len(x.fs) > 0 AND len(y.fs) > 0 THEN {_jaccard_sql('fs')} END",
+    "comodos": f"list_avg([{', '.join(_ROOMS)}])",
+    "condominio": _OVERLAP["ed"],
+    "descricao": _OVERLAP["ds"],
+    "contato": f"CASE WHEN x.tel IS NOT NULL AND y.tel IS NOT NULL THEN CAST(right(x.tel, 8) = right(y.tel, 8) AS INT) ELSE {_OVERLAP['ag']} END",
+}
+_WEIGHTS = MatchPolicy().weights
+MATCH_PAIRS = f"""
+WITH {_PAIRS_SQL},
+r AS (SELECT *, {_said_sql("logradouro")} AS st, {_said_sql("condominio_nome")} AS ed, {_said_sql("imobiliaria")} AS ag, CASE WHEN length(descricao) >= 60 THEN {_said_sql("descricao")} END AS ds, {_plain_sql("cidade")} AS ci FROM i),
+g AS (SELECT p.a, p.b, sqrt(pow((x.latitude - y.latitude) * 110540, 2) + pow((x.longitude - y.longitude) * 111320 * cos(radians(x.latitude)), 2)) AS m FROM p JOIN r x ON x.url = a JOIN r y ON y.url = b
+ WHERE NOT coalesce(x.ci <> y.ci, false) AND NOT coalesce(abs(x.quartos - y.quartos) >= 2, false) AND NOT coalesce(x.site = y.site AND x.site <> '', false)
+ AND NOT coalesce(x.area_m2 > 0 AND y.area_m2 > 0 AND abs(x.area_m2 - y.area_m2) / greatest(x.area_m2, y.area_m2) > 0.25, false)),
+s AS (SELECT a, b, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _SIGNALS.items())} FROM g JOIN r x ON x.url = a JOIN r y ON y.url = b),
+t AS (SELECT *, ({' + '.join(f'coalesce({k} * {w}, 0)' for k, w in _WEIGHTS.items())}) / nullif({' + '.join(f'CASE WHEN {k} IS NOT NULL THEN {w} ELSE 0 END' for k, w in _WEIGHTS.items())}, 0) AS raw,
+ {' + '.join(f'CAST({k} IS NOT NULL AS INT)' for k in _WEIGHTS)} AS n FROM s)
+SELECT a, b, round(raw, 4) AS score, CASE WHEN raw >= 0.88 AND n >= 3 AND NOT coalesce(round(custo, 3) = 0, false) THEN 'MESMO_IMOVEL' WHEN raw >= 0.72 THEN 'PROVAVELMENTE_MESMO' ELSE 'PROVAVELMENTE_DIFERENTE' END AS class, n FROM t WHERE raw >= 0.55
 """
 
 
 def match_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Blocked and scored pairs of listings, different ones left out."""
     rows = _located(spark, folder)
-    pairs = resolution.blocked_pairs(rows.select("url", resolution.block_keys().alias("keys")), id="url", keys="keys")
+    pairs = resolution.blocked_listings(rows, id="url")
     scored = resolution.scored_pairs(pairs, rows, id="url")
     return scored.where("class <> 'DIFERENTE'").select("a", "b", "score", "class", "n")
 
@@ -203,7 +282,7 @@ def match_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def entity_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Constrained clusters of listings of the same dwelling."""
     rows = _located(spark, folder)
-    pairs = resolution.blocked_pairs(rows.select("url", resolution.block_keys().alias("keys")), id="url", keys="keys")
+    pairs = resolution.blocked_listings(rows, id="url")
     scored = resolution.scored_pairs(pairs, rows, id="url")
     return resolution.clusters(scored, rows, id="url")
 
@@ -267,7 +346,7 @@ QUERIES = {
     "affinity_full": (affinity_full, AFFINITY),
     "consolidate_field": (consolidate_field, CONSOLIDATE),
     "block_pairs": (block_pairs, BLOCK_PAIRS),
-    "match_pairs": (match_pairs, None),
+    "match_pairs": (match_pairs, MATCH_PAIRS),
     "entity_clusters": (entity_clusters, None),
     "marks_union": (marks_union, MARKS),
     "best_photos": (best_photos, PHOTOS),
