@@ -118,7 +118,7 @@ def test_neighbours_rescore_every_link_until_stable(spark):
     # L2 is held up by L1 of the same fee, L3 has no neighbour, L4's neighbour has no link.
     assert got["L2"] > got["L3"] > got["L4"] and got["L3"] == pytest.approx(0.6)
     x, y = got["L1"], got["L2"]
-    assert x == pytest.approx(0.7 * 0.9 + 0.3 * y, abs=2e-3) and y == pytest.approx(0.7 * 0.6 + 0.3 * x, abs=2e-3)
+    assert x == pytest.approx(0.7 * 0.9 + 0.3 * y, abs=1e-5) and y == pytest.approx(0.7 * 0.6 + 0.3 * x, abs=1e-5)
 
 
 def test_empty(spark):

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.arrow_groups import map_groups
 from vitrine.operators.nearby import distance_m, usable
-from vitrine.session import discard, materialize, materialize_at
+from vitrine.session import materialize
 
 #: What a record must have; ``fee`` and ``tax`` are the shares of the price that go with a dwelling.
 COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "area", "price", "floor", "fee", "tax"]
@@ -39,7 +43,7 @@ NEIGHBOURS = 0.3
 #: What it says that two right records share a fee, a tax, a floor, a price.
 HUBS = {"e": 1.0, "t": 1.0, "f": 0.9, "p": 0.6}
 #: Greatest change of a similarity in a round after which rescoring is stable.
-STABLE = 1e-3
+STABLE = 1e-6
 #: Least similarity of a match, and least share of the best of a record without area.
 ACCEPT, OF_BEST = 0.3, 0.85
 
@@ -212,6 +216,33 @@ def unsized_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.groupBy(F.when(on_left, F.col("x_id")).otherwise(F.col("id")).alias("l"), F.when(on_left, F.col("id")).otherwise(F.col("x_id")).alias("r")).agg(F.max(s).alias("s"), F.bool_or(on_left).alias("settled"))
 
 
+def _settle(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The similarities of one left record's links, by repeated rescoring; one row per link and hub."""
+    r = group.column("r").combine_chunks().dictionary_encode()
+    link, first = np.unique(r.indices.to_numpy(), return_index=True)
+    of = np.searchsorted(link, r.indices.to_numpy())
+    own = group.column("own").to_numpy()[first]
+    hub = group.column("hub").combine_chunks().dictionary_encode()
+    shared = np.flatnonzero(hub.indices.is_valid().to_numpy(zero_copy_only=False))
+    at, code = of[shared], hub.indices.take(pa.array(shared)).to_numpy()
+    n, w = group.column("n").take(pa.array(shared)).to_numpy(), group.column("w").take(pa.array(shared)).to_numpy()
+    supported = np.zeros(len(own), dtype=bool)
+    supported[at] = True
+    s = own.copy()
+    while True:
+        support = np.zeros(len(own))
+        if len(at):
+            total = np.bincount(code, s[at])
+            np.maximum.at(support, at, w * np.maximum(total[code] - s[at], 0) / (n - 1))
+        new = np.where(supported, (1 - NEIGHBOURS) * own + NEIGHBOURS * support, own)
+        change = float(np.abs(new - s).max())
+        s = new
+        if change <= STABLE:
+            break
+    take = pa.array(first)
+    yield pa.RecordBatch.from_arrays([group.column("l").combine_chunks().take(take), group.column("r").combine_chunks().take(take), pa.array(s), group.column("settled").combine_chunks().take(take)], names=["l", "r", "s", "settled"])
+
+
 def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
     """``(l, r, s, settled)``: every link's similarity, refined by its neighbours' until stable.
 
@@ -221,32 +252,18 @@ def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
     link with counting 0; the best hub counts. In each round a link with
     neighbours is (1 - ``NEIGHBOURS``) of its own similarity and ``NEIGHBOURS``
     of its support, so differences shrink by that factor a round and the
-    solution doesn't depend on the order. Hubs stand in for pairs of right
-    records, so no group of them is expanded.
+    solution doesn't depend on the order. Only links of the same left record
+    support each other, so each one's links are settled on their own, in one
+    pass; hubs stand in for pairs of right records, none of which is expanded.
     """
     members = right.where("building is not null").select(F.col("id").alias("r"), F.explode(_hubs()).alias("hub")).distinct()
     sizes = members.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
     weight = F.lit(0.0)
     for kind, w in HUBS.items():
         weight = F.when(F.substring("hub", 1, 1) == kind, w).otherwise(weight)
-    members = members.join(links.select("r").distinct(), "r", "left_semi").join(sizes, "hub").select("r", "hub", "n", weight.alias("w"))
-    spark = links.sparkSession
+    members = members.join(sizes, "hub").select("r", F.xxhash64("hub").alias("hub"), "n", weight.alias("w"))
     links = links.groupBy("l", "r").agg(F.max("s").alias("own"), F.bool_or("settled").alias("settled"))
-    links = materialize(links, "own-similarity")
-    around = materialize(links.select("l", "r").join(members, "r"), "neighbours")
-    current, path = materialize_at(links.select("l", "r", F.col("own").alias("s")), "links")
-    while True:
-        held = around.join(current, ["l", "r"])
-        total = held.groupBy("l", "hub").agg(F.sum("s").alias("total"))
-        support = held.join(total, ["l", "hub"]).groupBy("l", "r").agg(F.max(F.col("w") * (F.col("total") - F.col("s")) / (F.col("n") - 1)).alias("support"))
-        nxt = links.join(support, ["l", "r"], "left").join(current, ["l", "r"])
-        nxt = nxt.select("l", "r", F.coalesce((1 - NEIGHBOURS) * F.col("own") + NEIGHBOURS * F.col("support"), "own").alias("s"), F.col("s").alias("before"))
-        nxt, next_path = materialize_at(nxt, "links")
-        change = nxt.agg(F.max(F.abs(F.col("s") - F.col("before")))).first()[0] or 0.0
-        discard(spark, path)
-        current, path = nxt.select("l", "r", "s"), next_path
-        if change <= STABLE:
-            return current.join(links.select("l", "r", "settled"), ["l", "r"])
+    return map_groups(links.join(members, "r", "left").select("l", "r", "own", "settled", "hub", "n", "w"), ["l"], [], _settle, "l string, r string, s double, settled boolean")
 
 
 def accepted(links: DataFrame) -> DataFrame:
@@ -266,7 +283,8 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     unique per side.
     """
     marked = left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
+    marked = materialize(marked, "records")
     both = materialize(with_areas(materialize(with_buildings(marked), "with-buildings")), "placed")
     l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
     similar = own_similarity(candidates(l, r), l, r).unionByName(unsized_pairs(l, r))
-    return accepted(rescored(similar, r)).select("l", "r", F.round("s", 4).alias("confidence"))
+    return accepted(materialize(rescored(similar, r), "rescored")).select("l", "r", F.round("s", 4).alias("confidence"))
