@@ -33,7 +33,7 @@ def test_series_drop_and_trend(spark):
 def test_absences(spark):
     seen = spark.createDataFrame([("u1", "s", 1), ("u2", "s", 3), ("u3", "t", 1)], "k string, s string, r bigint")
     runs = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("t", 1), ("t", 2)], "s string, r bigint")
-    got = lambda trusted: {r["k"]: (r["absent"], r["inactive"]) for r in changes.absences(seen, runs, key="k", source="s", run="r", trusted=trusted).collect()}
+    got = lambda trusted: {r["k"]: (r["absent"], r["status"] == "INATIVO") for r in changes.absences(seen, runs, key="k", source="s", run="r", trusted=trusted).collect()}
     assert got(None) == {"u1": (2, True), "u2": (0, False), "u3": (1, False)}
     assert got(runs.limit(0)) == {"u1": (0, False), "u2": (0, False), "u3": (0, False)}
 
@@ -135,3 +135,43 @@ def test_streaming_events(spark, tmp_path):
         q.stop()
     got = sorted((r["value"], r["key"], r["before"]) for r in spark.table("price_events").collect())
     assert [(k, v) for v, k, _ in got] == [("a", 5.0), ("a", 6.0)] and got[1][2] == 5.0
+
+
+def test_sanity_of_a_run(spark):
+    rows = [("a", 1, 30, "OK"), ("a", 2, 30, "OK"), ("a", 3, 30, "OK"), ("a", 4, 2, "OK"), ("a", 5, 0, "OK"), ("a", 6, 28, "OK"), ("a", 7, 0, "BLOQUEADO"), ("b", 1, 0, "OK"), ("b", 2, 5, "FALHA"), ("b", 3, 1, "OK"), ("c", 1, None, "OK")]
+    df = spark.createDataFrame(rows, "fonte string, run int, n int, s string")
+    rated = quality.demoted(quality.recent_median(df, source="fonte", at="run", value="n", healthy=F.col("s") == "OK"), value="n", status=F.col("s"))
+    got = {(r["fonte"], r["run"]): (r["median"], r["status"], r["reason"]) for r in rated.collect()}
+    assert len(got) == len(rows)
+    assert got["a", 1] == (None, "OK", None) and got["a", 4] == (30.0, "PARCIAL", "volume") and got["a", 5] == (30.0, "PARCIAL", "zero") and got["a", 6] == (30.0, "OK", None)
+    assert got["a", 7] == (30.0, "BLOQUEADO", None) and got["b", 1] == (None, "OK", None) and got["b", 3] == (None, "OK", None) and got["c", 1] == (None, "OK", None)
+
+
+def test_lifecycle_of_a_listing(spark):
+    seen = spark.createDataFrame([("u1", "s", 1), ("u2", "s", 1), ("u2", "s", 4), ("u3", "s", 1), ("u3", "s", 3), ("u4", "z", 1), ("u5", "s", 5)], "url string, site string, run bigint")
+    runs = spark.createDataFrame([(s, n) for s in "sz" for n in range(1, 6)], "site string, run bigint")
+    trusted = runs.where("site = 's' and run <> 2")
+    state = lambda t: {r["url"]: (r["absent"], r["status"]) for r in changes.absences(seen, runs, key="url", source="site", run="run", trusted=t).collect()}
+    assert state(trusted) == {"u1": (2, "INATIVO"), "u2": (1, "SUSPEITO"), "u3": (2, "INATIVO"), "u4": (0, "ATIVO"), "u5": (0, "ATIVO")}
+    assert state(None)["u4"] == (2, "INATIVO") and set(state(trusted.limit(0)).values()) == {(0, "ATIVO")}
+    events = sorted((r["url"], r["run"], r["kind"]) for r in changes.lifecycle_events(seen, runs, key="url", source="site", run="run", trusted=trusted).collect())
+    assert events == [("u1", 4, "SUMIU"), ("u2", 4, "REAPARECEU"), ("u3", 5, "SUMIU")]
+
+
+def test_seen_flags_of_untrusted_sources_stay(spark):
+    stored = spark.createDataFrame([("u1", "olx", 1, "x"), ("u2", "olx", 1, "x"), ("u3", "zap", 1, "x"), ("u4", "zap", 0, "x"), ("u5", None, 1, "x")], "url string, site string, visto int, _here string")
+    batch = spark.createDataFrame([("u1",), ("u4",), (None,)], "url string")
+    flags = lambda t: {r["url"]: r["visto"] for r in changes.seen_flags(stored.drop("_here"), batch, key="url", source="site", seen="visto", trusted=t).collect()}
+    assert flags(spark.createDataFrame([("olx",)], "site string")) == {"u1": 1, "u2": 0, "u3": 1, "u4": 1, "u5": 1}
+    assert flags(None) == {"u1": 1, "u2": 0, "u3": 0, "u4": 1, "u5": 0}
+    assert flags(spark.createDataFrame([], "site string")) == {"u1": 1, "u2": 1, "u3": 1, "u4": 1, "u5": 1}
+
+
+def test_yield_puts_the_least_useful_first(spark):
+    stats = spark.createDataFrame([("red1", 1, 9, 3, 0, 10, "OK"), ("red2", 1, 9, 3, 0, 20, "OK"), ("one", 1, 2, 1, 0, 10, "OK"), ("none", 1, 0, 0, 0, 5, "FALHA"), ("old", 0, 1, 0, 1, 7, "OK"), ("skip", 1, 0, 0, 0, 0, "PULADO")], "site string, run int, raw int, useful int, undetermined int, seconds int, status string")
+    links = spark.createDataFrame([("e1", "red1"), ("e1", "red2"), ("e2", "one")], "e string, site string")
+    active = links.groupBy("site").agg(F.count("*").alias("active"))
+    got = {r["site"]: r for r in quality.source_yield(stats, active, quality.exclusive_entities(links, entity="e", source="site"), source="site", run="run").collect()}
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1]["position"])] == ["old", "none", "one", "red2", "red1"]
+    assert (got["one"]["exclusive"], got["red1"]["exclusive"], got["one"]["seconds_per_useful"], got["none"]["seconds_per_useful"]) == (1, 0, 10.0, None)
+    assert got["none"]["failures"] == 1 and got["old"]["status"] is None and got["none"]["status"] == "FALHA"

@@ -86,17 +86,56 @@ def upsert(stored: DataFrame, batch: DataFrame, *, key: str, order: str, overwri
 
 
 def absences(sightings: DataFrame, runs: DataFrame, *, key: str, source: str, run: str, trusted: DataFrame | None, limit: int = 2) -> DataFrame:
-    """``(key, source, absent, inactive)``: trusted runs in a row that lack a key, counted from its last sighting.
+    """``(key, source, absent, status)``: trusted runs in a row that lack a key, counted from its last sighting up to ``limit``.
 
-    ``runs``: ``source, run``, the runs of each source in order; ``trusted``:
-    the ``source, run`` pairs whose absence counts (None: all of them, an empty
-    table: none). An untrusted run neither counts nor resets.
+    ``status``: ATIVO without an absence, INATIVO from ``limit`` on, SUSPEITO
+    between. ``runs``: ``source, run``, the runs of each source in order;
+    ``trusted``: the ``source, run`` pairs whose absence counts (None: all of
+    them, an empty table: none). An untrusted run neither counts nor resets.
     """
     last = sightings.groupBy(key, source).agg(F.max(run).alias("_last"))
+    n = F.least(F.size(_runs_after(F.col("_last"))), F.lit(limit))
+    counted = last.join(_runs(runs, trusted, source, run), source, "left").select(key, source, n.alias("absent"))
+    return counted.withColumn("status", F.when(F.col("absent") == 0, "ATIVO").when(F.col("absent") < limit, "SUSPEITO").otherwise("INATIVO"))
+
+
+def lifecycle_events(sightings: DataFrame, runs: DataFrame, *, key: str, source: str, run: str, trusted: DataFrame | None, limit: int = 2) -> DataFrame:
+    """``(key, source, run, kind)``: SUMIU at the ``limit``-th trusted run in a row that lacks a key, REAPARECEU at a sighting after at least one.
+
+    The states of :func:`absences` over the whole history: each sighting looks
+    at the trusted runs between it and the next one.
+    """
+    seen = sightings.select(key, source, run).distinct().withColumn("_next", F.lead(run).over(Window.partitionBy(key, source).orderBy(run)))
+    gaps = seen.join(_runs(runs, trusted, source, run), source).withColumn("_gap", F.filter(_runs_after(F.col(run)), lambda r: F.col("_next").isNull() | (r < F.col("_next"))))
+    gone = F.when(F.size("_gap") >= limit, F.struct(F.get("_gap", F.lit(limit - 1)).alias("run"), F.lit("SUMIU").alias("kind")))
+    back = F.when((F.size("_gap") > 0) & F.col("_next").isNotNull(), F.struct(F.col("_next").alias("run"), F.lit("REAPARECEU").alias("kind")))
+    return gaps.select(key, source, F.explode(F.array_compact(F.array(gone, back))).alias("e")).select(key, source, F.col("e.run").alias(run), F.col("e.kind").alias("kind"))
+
+
+def _runs(runs: DataFrame, trusted: DataFrame | None, source: str, run: str) -> DataFrame:
+    """The trusted runs of each source in order: as many as the schedule has, whatever the listings."""
     counted = runs if trusted is None else runs.join(trusted.select(source, run).distinct(), [source, run], "left_semi")
-    ordered = counted.select(source, run).distinct().groupBy(source).agg(F.sort_array(F.collect_list(run)).alias("_runs"))
-    n = F.size(F.filter(F.coalesce("_runs", F.array().cast("array<bigint>")), lambda r: r > F.col("_last")))
-    return last.join(ordered, source, "left").select(key, source, n.alias("absent"), (n >= limit).alias("inactive"))
+    return counted.select(source, run).distinct().groupBy(source).agg(F.sort_array(F.collect_list(run)).alias("_runs"))
+
+
+def _runs_after(at: Column) -> Column:
+    return F.filter(F.coalesce("_runs", F.array().cast("array<bigint>")), lambda r: r > at)
+
+
+def seen_flags(stored: DataFrame, batch: DataFrame, *, key: str, source: str, seen: str, trusted: DataFrame | None) -> DataFrame:
+    """``stored`` with the flag of the last run: 1 for keys of ``batch``, 0 for others of trusted sources; other sources keep theirs.
+
+    ``trusted``: the sources (column ``source``) whose answer was whole; None:
+    all of them, an empty table: none.
+    """
+    here = batch.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_here", F.lit(True))
+    both = stored.join(here, key, "left")
+    if trusted is None:
+        gone = F.lit(True)
+    else:
+        both = both.join(trusted.select(source).distinct().withColumn("_trusted", F.lit(True)), source, "left")
+        gone = F.col("_trusted").isNotNull()
+    return both.withColumn(seen, F.when(F.col("_here").isNotNull(), 1).when(gone, 0).otherwise(F.col(seen)).cast("int")).select(*stored.columns)
 
 
 def pruned(table: DataFrame, *, inactive: Column, last_seen: Column, run_date: str, days: int = 180) -> DataFrame:

@@ -89,20 +89,59 @@ FROM s FULL OUTER JOIN b ON s.k = b.k
 """
 
 
-def lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    """Listings by the delivered runs in a row that lack them."""
+def _sightings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sightings of listings, the runs of each source, and those that were healthy."""
     rows = table(spark, folder, "imoveis_snapshot").where("visto_na_ultima_execucao = 1").select(listing_key(c("url")).alias("key"), "site", c("execucao_id").alias("run"))
     healthy = table(spark, folder, "execucao").where("status = 'OK'").select(c("id").alias("run"))
     runs = rows.select("site", "run").distinct()
-    trusted = runs.join(healthy, "run").select("site", "run")
+    return rows, runs, runs.join(healthy, "run").select("site", "run")
+
+
+def lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings by the delivered runs in a row that lack them, and the state they are in."""
+    rows, runs, trusted = _sightings(spark, folder)
     return changes.absences(rows, runs, key="key", source="site", run="run", trusted=trusted)
 
 
+_SIGHTINGS = f"""r AS (SELECT DISTINCT {KEY_SQL.format(u="url")} AS key, site, execucao_id AS run FROM imoveis_snapshot WHERE visto_na_ultima_execucao = 1),
+t AS (SELECT DISTINCT site, run FROM r WHERE run IN (SELECT id FROM execucao WHERE status = 'OK'))"""
+
 LIFECYCLE = f"""
-WITH r AS (SELECT {KEY_SQL.format(u="url")} AS key, site, execucao_id AS run FROM imoveis_snapshot WHERE visto_na_ultima_execucao = 1),
+WITH {_SIGHTINGS},
 l AS (SELECT key, site, max(run) AS last FROM r GROUP BY 1, 2),
-t AS (SELECT DISTINCT site, run FROM r WHERE run IN (SELECT id FROM execucao WHERE status = 'OK'))
-SELECT l.key, l.site, CAST(count(t.run) AS INT) AS absent, count(t.run) >= 2 AS inactive FROM l LEFT JOIN t ON t.site = l.site AND t.run > l.last GROUP BY 1, 2
+n AS (SELECT l.key, l.site, CAST(least(count(t.run), 2) AS INT) AS absent FROM l LEFT JOIN t ON t.site = l.site AND t.run > l.last GROUP BY 1, 2)
+SELECT *, CASE absent WHEN 0 THEN 'ATIVO' WHEN 1 THEN 'SUSPEITO' ELSE 'INATIVO' END AS status FROM n
+"""
+
+
+def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings that went and came back, by the run in which that shows."""
+    rows, runs, trusted = _sightings(spark, folder)
+    return changes.lifecycle_events(rows, runs, key="key", source="site", run="run", trusted=trusted)
+
+
+LIFECYCLE_EVENTS = f"""
+WITH {_SIGHTINGS},
+s AS (SELECT *, lead(run) OVER (PARTITION BY key, site ORDER BY run) AS nxt FROM r),
+g AS (SELECT s.key, s.site, s.nxt, t.run, row_number() OVER (PARTITION BY s.key, s.site, s.run ORDER BY t.run) AS n FROM s JOIN t ON t.site = s.site AND t.run > s.run AND (s.nxt IS NULL OR t.run < s.nxt))
+SELECT key, site, run, 'SUMIU' AS kind FROM g WHERE n = 2 UNION ALL SELECT key, site, nxt, 'REAPARECEU' FROM g WHERE n = 1 AND nxt IS NOT NULL
+"""
+
+
+def trust_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The seen flag of every stored listing after the last snapshot, whose absences count only for sources trusted at least 0.9."""
+    runs = delivered_runs(table(spark, folder, "imoveis_snapshot"), table(spark, folder, "execucao"), "execucao_id", "id", "iniciada_em")
+    last = runs.agg(F.max_by("run", "seq")).first()[0]
+    stored = table(spark, folder, "imoveis").select(listing_key(c("url")).alias("key"), "site", "visto_na_ultima_execucao").distinct()
+    batch = table(spark, folder, "imoveis_snapshot").where((c("execucao_id") == F.lit(last)) & (c("visto_na_ultima_execucao") == 1)).select(listing_key(c("url")).alias("key"))
+    return changes.seen_flags(stored, batch, key="key", source="site", seen="visto_na_ultima_execucao", trusted=table(spark, folder, "fonte").where("confianca >= 0.9"))
+
+
+TRUST_GATE = f"""
+WITH b AS (SELECT DISTINCT {KEY_SQL.format(u="url")} AS key FROM imoveis_snapshot WHERE visto_na_ultima_execucao = 1
+ AND execucao_id = (SELECT id FROM execucao WHERE id IN (SELECT execucao_id FROM imoveis_snapshot) ORDER BY iniciada_em DESC, id DESC LIMIT 1)),
+s AS (SELECT DISTINCT {KEY_SQL.format(u="url")} AS key, site, visto_na_ultima_execucao AS v FROM imoveis)
+SELECT key, site, CAST(CASE WHEN key IN (SELECT key FROM b) THEN 1 WHEN site IN (SELECT site FROM fonte WHERE confianca >= 0.9) THEN 0 ELSE v END AS INT) AS visto_na_ultima_execucao FROM s
 """
 
 
@@ -126,13 +165,47 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
+def _source_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source in each run: listings delivered, those within a search profile, those that can't be told; a run that failed delivered none."""
+    e = table(spark, folder, "execucao").select(c("id").alias("run"), "iniciada_em", "status", F.unix_timestamp("encerrada_em") - F.unix_timestamp("iniciada_em"))
+    runs = F.array(*[F.struct(F.lit(r[0]).alias("run"), F.lit(r[1]).alias("at"), F.lit(r[2]).alias("status"), F.lit(r[3]).alias("length")) for r in quality.latest_runs(e, run="run", n=RUNS).join(e, "run").collect()])
+    named = table(spark, folder, "fonte").select("site", F.explode(runs).alias("r")).select("site", "r.*")
+    rows = table(spark, folder, "imoveis_snapshot")
+    unknown = c("preco").isNull() | c("quartos").isNull()
+    counted = rows.groupBy("site", c("execucao_id").alias("run")).agg(F.count("*").alias("raw"), F.count_if((c("preco") <= 2500) & (c("quartos") >= 2)).alias("useful"), F.count_if(unknown).alias("undetermined"))
+    return named.join(counted, ["site", "run"], "left").na.fill(0, ["raw", "useful", "undetermined"]).withColumn("seconds", F.floor(c("length") / 40)).drop("length")
+
+
+#: Runs that the sources are judged by; a schedule has few.
+RUNS = 100
+
+_SOURCE_RUNS = """e AS (SELECT id AS run, iniciada_em AS at, status, CAST(floor(date_diff('second', iniciada_em, encerrada_em) / 40) AS BIGINT) AS seconds FROM execucao),
+k AS (SELECT site, execucao_id AS run, count(*) AS raw, count(*) FILTER (WHERE preco <= 2500 AND quartos >= 2) AS useful, count(*) FILTER (WHERE preco IS NULL OR quartos IS NULL) AS undetermined FROM imoveis_snapshot GROUP BY 1, 2),
+n AS (SELECT f.site, e.*, coalesce(raw, 0) AS raw, coalesce(useful, 0) AS useful, coalesce(undetermined, 0) AS undetermined FROM fonte f CROSS JOIN e LEFT JOIN k USING (site, run))"""
+
+
 def sanity_demotion(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs in which a source delivered nothing, or far less than the median of its last five healthy runs."""
+    stats = _source_runs(spark, folder)
+    rated = quality.recent_median(stats, source="site", at="run", value="raw", healthy=c("status") == "OK")
+    return quality.demoted(rated, value="raw", status=c("status")).select("site", "run", "raw", "median", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+SANITY = f"""
+WITH {_SOURCE_RUNS},
+m AS (SELECT a.*, (SELECT median(raw) FROM (SELECT raw FROM n b WHERE b.site = a.site AND b.run < a.run AND b.status = 'OK' AND b.raw > 0 ORDER BY b.run DESC LIMIT 5)) AS median FROM n a)
+SELECT site, run, raw, CAST(median AS DOUBLE) AS median, CASE WHEN status = 'OK' AND (raw = 0 AND median IS NOT NULL OR raw < 0.6 * median) THEN 'PARCIAL' ELSE status END AS status,
+ CASE WHEN status = 'OK' AND raw = 0 AND median IS NOT NULL THEN 'zero' WHEN status = 'OK' AND raw < 0.6 * median THEN 'volume' ELSE '' END AS reason FROM m
+"""
+
+
+def sanity_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Days on which a user's events fall far below the median of the five before."""
     rated = quality.recent_median(_daily(spark, folder), source="user_id", at="day", value="n")
     return quality.demoted(rated, value="n").select("user_id", "day", "n", "median", "status")
 
 
-SANITY = """
+SANITY_DAILY = """
 WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
 m AS (SELECT *, CAST(median(n) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS median FROM d)
 SELECT user_id, day, n, median, CASE WHEN n < 0.6 * median THEN 'PARCIAL' ELSE 'OK' END AS status FROM m
@@ -140,18 +213,24 @@ SELECT user_id, day, n, median, CASE WHEN n < 0.6 * median THEN 'PARCIAL' ELSE '
 
 
 def source_yield(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, seen rows and failures of each source over the last runs."""
-    seen = F.when(c("visto_na_ultima_execucao") == 1, 1).otherwise(0)
-    stats = table(spark, folder, "imoveis_snapshot").groupBy("site", "execucao_id").agg(F.count("*").alias("brutos"), F.sum(seen).alias("vistos"))
-    totals = quality.source_totals(stats, source="site", run="execucao_id", sums=["brutos", "vistos"], failed=c("vistos") == 0, skipped=F.lit(False), n=5)
-    return quality.shares_of_best(totals, ["vistos"]).select("site", "runs", "brutos", "vistos", "failures", F.round("vistos_share", 6).alias("vistos_share"))
-
-
-SOURCE_YIELD = """
-WITH s AS (SELECT site, execucao_id AS r, count(*) AS brutos, count(*) FILTER (WHERE visto_na_ultima_execucao = 1) AS vistos FROM imoveis_snapshot GROUP BY 1, 2),
-t AS (SELECT site, count(*) AS runs, CAST(sum(brutos) AS BIGINT) AS brutos, CAST(sum(vistos) AS BIGINT) AS vistos, count(*) FILTER (WHERE vistos = 0) AS failures
-      FROM s WHERE r IN (SELECT r FROM (SELECT DISTINCT r FROM s) ORDER BY r DESC LIMIT 5) GROUP BY 1)
-SELECT *, round(vistos / CAST((SELECT max(vistos) FROM t) AS DOUBLE), 6) AS vistos_share FROM t
+    """What each source costs and brings over the last ten runs and in the current stock, the worst first."""
+    listings = table(spark, folder, "imoveis").where("visto_na_ultima_execucao = 1").select(listing_key(c("url")).alias("key"), "site").distinct()
+    entity = table(spark, folder, "imovel_anuncio").groupBy(listing_key(c("url")).alias("key")).agg(F.min("imovel_id").alias("imovel_id"))
+    exclusive = quality.exclusive_entities(listings.join(entity, "key"), entity="imovel_id", source="site")
+    active = listings.groupBy("site").agg(F.count("*").alias("active"))
+    return quality.source_yield(_source_runs(spark, folder).drop("at"), active, exclusive, source="site", run="run")
+
+
+SOURCE_YIELD = f"""
+WITH {_SOURCE_RUNS},
+l AS (SELECT DISTINCT {KEY_SQL.format(u="url")} AS key, site FROM imoveis WHERE visto_na_ultima_execucao = 1),
+i AS (SELECT {KEY_SQL.format(u="url")} AS key, min(imovel_id) AS imovel_id FROM imovel_anuncio GROUP BY 1),
+x AS (SELECT site, count(*) AS exclusive FROM (SELECT imovel_id, min(site) AS site FROM l JOIN i USING (key) GROUP BY 1 HAVING count(DISTINCT site) = 1) GROUP BY 1),
+t AS (SELECT site, count(*) AS runs, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(useful) AS BIGINT) AS useful, CAST(sum(undetermined) AS BIGINT) AS undetermined, CAST(sum(seconds) AS BIGINT) AS seconds,
+ count(*) FILTER (WHERE status IN ('FALHA', 'BLOQUEADO')) AS failures FROM n WHERE run IN (SELECT run FROM e ORDER BY run DESC LIMIT 10) AND status <> 'PULADO' GROUP BY 1),
+a AS (SELECT site, count(*) AS active FROM l GROUP BY 1),
+y AS (SELECT t.*, coalesce(active, 0) AS active, coalesce(exclusive, 0) AS exclusive, (SELECT status FROM e ORDER BY run DESC LIMIT 1) AS status, CASE WHEN useful > 0 THEN round(seconds / useful, 1) END AS seconds_per_useful FROM t LEFT JOIN a USING (site) LEFT JOIN x USING (site))
+SELECT *, CAST(row_number() OVER (ORDER BY useful, exclusive, seconds DESC, site) AS INT) AS position FROM y
 """
 
 
@@ -171,6 +250,9 @@ QUERIES = {
     "series_trend": (series_trend, SERIES_TREND),
     "upsert_listings": (upsert_listings, UPSERT),
     "lifecycle": (lifecycle, LIFECYCLE),
+    "lifecycle_events": (lifecycle_events, LIFECYCLE_EVENTS),
+    "trust_gate": (trust_gate, TRUST_GATE),
+    "sanity_daily": (sanity_daily, SANITY_DAILY),
     "retention": (retention, RETENTION),
     "sanity_demotion": (sanity_demotion, SANITY),
     "source_yield": (source_yield, SOURCE_YIELD),
