@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from vitrine.llm.languages import LANGUAGES, Scorer, identified, stretches, to_correct
+from vitrine.llm import languages
+from vitrine.llm.languages import LANGUAGES, SMOOTHING, Scorer, identified, log_priors, log_table, stretches, to_correct
 from vitrine.llm.leakage import contained, leaked, passages
 from vitrine.llm.words import mended, sentences, words
 
@@ -128,6 +129,9 @@ DE = ["Die Nachbarn von oben machen fast jede Nacht viel Lärm.", "Der Aufzug is
 def test_stretches():
     assert stretches("Tem mofo no quarto. (before the flood) Fim 🙂 Vim da Rua das Flores Azuis hoje") == [["tem", "mofo", "no", "quarto"], ["fim"], ["vim", "da", "hoje"]]
     assert stretches(None) == [] and stretches("  👍 12 ") == []
+    # A long aside is a stretch of its own, however long.
+    long = " ".join(["wort"] * 300)
+    assert stretches(f"Tem mofo ({long}) no quarto.") == [["tem", "mofo"], ["wort"] * 300, ["no", "quarto"]]
 
 
 def test_parts_in_several_languages():
@@ -142,6 +146,45 @@ def test_parts_in_several_languages():
     assert parts("p" * 8 + "e" * 3 + "p" * 8) == [(19, "p")] and parts("p" * 30) == [(30, "p")] and parts("pppe") == [(4, "p")]
 
 
+def test_reading_many_stretches_at_once_equals_one_by_one():
+    rnd = random.Random(3)
+    words_ = [f"{a}{b}" for a in "aeioukw" for b in ("sa", "the", "une", "ch", "no")]
+    scorer = Scorer(log_table(np.random.default_rng(1).gamma(0.2, 20, (languages.BUCKETS, len(LANGUAGES)))))
+    some = [[rnd.choice(words_) for _ in range(rnd.choice([1, 3, 9, 10, 25, 80]))] for _ in range(300)]
+    got = scorer.read(some)
+    assert sum(len(p) > 1 for p in got) > 20
+    for s, parts in zip(some, got, strict=True):
+        want = scorer.parts(s)
+        assert [n for n, _ in parts] == [n for n, _ in want] and all(np.allclose(x, y) for (_, x), (_, y) in zip(parts, want, strict=True))
+    assert scorer.read([]) == []
+
+
+def test_priors_are_a_hierarchy_without_the_document_itself():
+    k = len(LANGUAGES)
+    row = lambda **n: np.array([[float(n.get(c, 0)) for c in LANGUAGES]])
+    own = row(pt=1)
+    overall = row(pt=600, es=300, en=100)[0]
+    none = np.zeros((1, k))
+    base = np.exp(log_priors(own, overall, none, none, none))[0]
+    assert abs(base.sum() - 1) < 1e-9 and abs(base[0] - 600 / 1005) < 1e-9
+    # The only document of its host and label tells nothing about itself.
+    assert np.allclose(np.exp(log_priors(own, overall, own, own, own)), base)
+    # An unknown host takes after its suffix, a known one after itself.
+    spanish = np.exp(log_priors(none, overall, row(es=200), none, none))[0]
+    assert spanish[1] > 0.9 and np.exp(log_priors(none, overall, row(es=200), row(en=500), none))[0][2] > 0.9
+    assert abs(spanish[0] - SMOOTHING * (601 / 1006) / (200 + SMOOTHING)) < 1e-9
+
+
+def test_languages_with_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(languages, "TRAIN_DOCUMENTS", 60)
+    rnd = random.Random(4)
+    rows = [(n, " ".join(rnd.choices(sents, k=3)), label, "site", None) for k, (sents, label) in enumerate(((PT, "pt"), (EN, "en"), (DE, "de"))) for n in range(100 * k, 100 * k + 60)]
+    df = spark.createDataFrame([*rows, (900, PT[0], "en", None, None), (901, "", None, None, None)], "doc_id bigint, text string, lang string, source string, url string")
+    c = F.col
+    found = identified(df, doc=c("doc_id"), text=c("text"), label=c("lang"), host=c("source"), address=c("url"))
+    assert [(r["doc"], r["language"]) for r in to_correct(found).collect()] == [(900, "pt")]
+
+
 def test_languages(spark):
     rnd = random.Random(1)
     rows, n = [], 0

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.words import folded, visible
-from vitrine.session import materialize
+from vitrine.session import bounded_lookup, materialize
 
 LANGUAGES = ["pt", "es", "en", "fr", "it", "de"]
 # Codes and names of the languages, as labels may give them.
@@ -38,9 +38,13 @@ TEACH_MARGIN, OTHER_MARGIN = 4.0, 3.0
 SPLIT_MARGIN = 8.0
 #: Strength of the parent in the smoothed priors, in documents.
 SMOOTHING = 20.0
+#: Labelled documents that teach the model at most; of more, those with the least hashes of their id.
+TRAIN_DOCUMENTS = 20_000
+#: Words a scorer remembers.
+KNOWN_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_ASIDE = re.compile(r"\([^()\n]{1,120}\)|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»|…[^…\n]{1,120}…")
+_ASIDE = re.compile(r"\([^()\n]+\)|\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|…[^…\n]+…")
 _ADDRESS = re.compile(r"\b(?:Rua|R\.|Avenida|Av\.|Travessa|Alameda|Praça|Rodovia|Estrada)(?:\s+(?:d[aeo]s?\b|e\b|[A-ZÀ-Ý][\w'’.-]*|\d+))+")
 _END = re.compile(
     r"[.!?…]+[\"')\]]*\s+|;\s*|\n\s*\n|(?<=[.!?…:;])\s*\n|\n(?=\s*(?:[-*•]|\d+[.)]|[A-ZÀ-Ý¡¿]))"
@@ -60,8 +64,8 @@ def stretches(text: str | None) -> list[list[str]]:
         return []
     text = visible(text)
     text = _ASIDE.sub(lambda m: " " if len(_WORD.findall(m[0])) <= ASIDE_WORDS else ". " + m[0][1:-1] + ". ", text)
-    text = _ADDRESS.sub(" ", text)
-    return [w for s in _END.split(text) if (w := _WORD.findall(folded(s)))]
+    text = _ADDRESS.sub(" ", text).replace("\0", " ")
+    return [w for s in folded("\0".join(_END.split(text))).split("\0") if (w := _WORD.findall(s))]
 
 
 def features(word: str) -> np.ndarray:
@@ -76,23 +80,40 @@ class Scorer:
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGUAGES)))
 
     def each(self, words: list[str]) -> np.ndarray:
         """One row per word."""
-        known = self.known
-        if len(known) > 300_000:
+        known, at = self.known, []
+        if len(known) > KNOWN_WORDS:
             known.clear()
-        rows = []
         for w in words:
-            v = known.get(w)
-            if v is None:
-                v = known[w] = self.table[features(w)].mean(axis=0) * WORD_WEIGHT
-            rows.append(v)
-        return np.array(rows)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return self.each(words).sum(axis=0)
+            i = known.get(w)
+            if i is None:
+                i = known[w] = len(known)
+                if i >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[i] = self.table[features(w)].mean(axis=0) * WORD_WEIGHT
+            at.append(i)
+        return self.rows[at]
+
+    def read(self, stretches: list[list[str]]) -> list[list[tuple[int, np.ndarray]]]:
+        """:meth:`parts` of every stretch; those that one language explains well enough are told apart all at once."""
+        if not stretches:
+            return []
+        n = np.array([len(s) for s in stretches])
+        starts = np.cumsum(n) - n
+        each = self.each([w for s in stretches for w in s])
+        totals = np.add.reduceat(each, starts)
+        of = np.repeat(np.arange(len(n)), n)
+        gain = np.cumsum(each - each[np.arange(len(each)), totals.argmax(axis=1)[of], None], axis=0)
+        gain -= np.vstack([np.zeros(gain.shape[1]), gain])[starts][of]
+        # The least sum so far within each stretch: every stretch lies below all before it.
+        below = of[:, None] * (gain.max() - gain.min() + 1.0)
+        least = np.minimum(np.minimum.accumulate(gain - below, axis=0) + below, 0.0)
+        rise = np.maximum.reduceat((gain - least).max(axis=1), starts)
+        return [self.parts(s) if k >= 2 * SENTENCE_WORDS and r >= SPLIT_MARGIN / 2 - 1e-6 else [(int(k), t)] for s, k, r, t in zip(stretches, n, rise, totals, strict=True)]
 
     def parts(self, words: list[str]) -> list[tuple[int, np.ndarray]]:
         """(number of words, log-likelihoods) of a stretch, or of its parts if several languages explain it much better than one.
@@ -183,13 +204,19 @@ def declared(label: Column) -> Column:
 
 
 def trained(texts: DataFrame) -> np.ndarray:
-    """The log-probability table, from ``label, text`` of the whole corpus.
+    """The log-probability table, from ``doc, label, text`` of at most about ``TRAIN_DOCUMENTS`` labelled documents.
 
-    A first table is counted from the labels as they are; with it every
-    stretch of every text, labelled or not, is read, and those that clearly
-    prefer one language are counted anew under it. Counting combines within
-    each task, so a task sends at most one number per bucket and language.
+    A first table is counted from the labels as they are; with it every stretch
+    of the sample is read, and those that clearly prefer one language are
+    counted anew under it. Counting combines within each task, so a task sends
+    at most one number per bucket and language.
     """
+    labelled = texts.where("label is not null")
+    scale = 1 << 30
+    share = min(1.0, TRAIN_DOCUMENTS / max(1, labelled.count()))
+    texts = labelled.where(F.pmod(F.xxhash64("doc"), F.lit(scale)) < int(share * scale))
+    if share < 1:
+        texts = materialize(texts.select("label", "text"), "language-sample")
 
     def by_label(b: pa.RecordBatch, counter: Counter) -> None:
         for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -197,7 +224,7 @@ def trained(texts: DataFrame) -> np.ndarray:
                 counter.add(s, label)
 
     rows = texts.select("label", "text")
-    first = log_table(_collected(rows.where("label is not null").mapInArrow(lambda x: _counted(x, by_label), "bucket int, language int, n double")))
+    first = log_table(_collected(rows.mapInArrow(lambda x: _counted(x, by_label), "bucket int, language int, n double")))
     held = rows.sparkSession.sparkContext.broadcast(first)
 
     def by_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +234,7 @@ def trained(texts: DataFrame) -> np.ndarray:
             for text in b.column(1).to_pylist():
                 for s in stretches(text):
                     if len(s) >= SENTENCE_WORDS:
-                        v = score(s)
+                        v = score.each(s).sum(axis=0)
                         best = int(v.argmax())
                         if v[best] - np.partition(v, -2)[-2] >= TEACH_MARGIN:
                             counter.add(s, best)
@@ -219,12 +246,34 @@ def trained(texts: DataFrame) -> np.ndarray:
     return second
 
 
-def _smoothed(docs: DataFrame, keys: list[str], parent: Column) -> DataFrame:
-    """Per key the log of the language shares of its documents, drawn towards ``parent`` (an array of shares)."""
-    n = [F.sum(F.when(F.col("main") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(LANGUAGES))]
-    counted = docs.where("main is not null").groupBy(*keys).agg(*n, F.count("*").alias("n"))
-    shares = F.array(*[F.log((F.col(f"n{i}") + SMOOTHING * F.element_at(parent, i + 1)) / (F.col("n") + SMOOTHING)) for i in range(len(LANGUAGES))])
-    return counted.select(*keys, shares.alias("log_prior"))
+def _counts(docs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Per key the number of documents of each main language, as an array; broadcast if there are few keys."""
+    counted = docs.where("main is not null").groupBy(*keys).agg(F.array(*[F.count_if(F.col("main") == i).cast("double") for i in range(len(LANGUAGES))]).alias(name))
+    return bounded_lookup(counted)
+
+
+def log_priors(own: np.ndarray, overall: np.ndarray, suffix: np.ndarray, host: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Log shares of the languages expected of each document, from counts (one row per document; ``overall`` one row for all).
+
+    A hierarchy: a host's share within a suffix is smoothed towards the
+    suffix's, that towards the share of all documents, each with the strength
+    of ``SMOOTHING`` documents; what documents of the same declared label are
+    adds its own factor, smoothed towards all. ``own``: the document's own main
+    language (1 in its column), which is left out everywhere.
+    """
+    def shares(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        rest = np.maximum(counts - own, 0.0)
+        return (rest + SMOOTHING * parent) / (rest.sum(axis=1, keepdims=True) + SMOOTHING)
+
+    rest = np.maximum(overall[None, :] - own, 0.0) + 1.0
+    all_ = rest / rest.sum(axis=1, keepdims=True)
+    by_suffix = shares(suffix, all_)
+    return np.log(shares(host, by_suffix)) + np.log(shares(label, all_)) - np.log(all_)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
 def identified(documents: DataFrame, *, doc: Column, text: Column, label: Column, host: Column, address: Column) -> DataFrame:
@@ -237,66 +286,82 @@ def identified(documents: DataFrame, *, doc: Column, text: Column, label: Column
     document, ``address``: its URL. Null and empty texts have no stretches;
     rows with a null id are left out; any other column may be null.
 
-    The likelihood of a stretch is fused with what the document declares, with
-    the suffix of its address and with its host, each as the log of a share of
-    languages counted over all documents and smoothed towards the share one
-    level up (host and suffix towards all documents).
+    The texts are read once, after the model is fitted on a bounded sample
+    (:func:`trained`). The likelihood of a stretch is fused with what the
+    document declares, the suffix of its address and its host, whose shares of
+    languages are counted over all documents (:func:`log_priors`).
     """
     # Declared language, suffix and host are kept with the compact scores; texts are never shuffled.
     suffix = F.regexp_extract(F.regexp_extract(address, r"^[a-zA-Z]+://([^/?#:]+)", 1), r"\.([a-zA-Z]+)$", 1)
     rows = documents.where(doc.isNotNull()).select(doc.cast("bigint").alias("doc"), declared(label).alias("label"), F.coalesce(host, F.lit("")).alias("host"), F.lower(F.coalesce(suffix, F.lit(""))).alias("suffix"), text.alias("text"))
     held = rows.sparkSession.sparkContext.broadcast(trained(rows))
+    k = len(LANGUAGES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        kind = pa.list_(pa.struct([("words", pa.int32()), ("ll", pa.list_(pa.float64()))]))
         for b in batches:
-            read = [[{"words": n, "ll": ll} for s in stretches(t) for n, ll in scorer.parts(s)] for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(read, kind)], names=["doc", "label", "host", "suffix", "read"])
-
-    scored = materialize(rows.mapInArrow(score, "doc bigint, label int, host string, suffix string, read array<struct<words:int,ll:array<double>>>"), "language-scores")
-    k = len(LANGUAGES)
-    sentences = F.filter("read", lambda s: s["words"] >= SENTENCE_WORDS)
-    total = F.aggregate(sentences, F.array(*[F.lit(0.0)] * k), lambda acc, s: F.zip_with(acc, s["ll"], lambda x, y: x + y))
-    firsts = scored.withColumn("sentences", sentences).withColumn("total", total).withColumn("main", F.when(F.size("sentences") > 0, F.array_position("total", F.array_max("total")).cast("int") - 1))
-    docs = materialize(firsts.select("doc", "label", "host", "suffix", "main"), "language-mains")
-    n_all = docs.where("main is not null").groupBy("main").count().collect()
-    known = sum(r["count"] for r in n_all) or 1
-    share = {r["main"]: r["count"] / known for r in n_all}
-    overall = F.array(*[F.lit((share.get(i, 0.0) * known + 1.0) / (known + k)) for i in range(k)])
-    by_host = _smoothed(docs, ["host"], overall).withColumnRenamed("log_prior", "h")
-    by_suffix = _smoothed(docs, ["suffix"], overall).withColumnRenamed("log_prior", "x")
-    by_label = _smoothed(docs.where("label is not null"), ["label"], overall).withColumnRenamed("log_prior", "d")
-    base = F.transform(overall, lambda p: F.log(p))
-    fused = firsts.join(by_host, "host", "left").join(by_suffix, "suffix", "left").join(by_label, "label", "left")
-    # Each source of evidence adds what it says beyond the overall shares.
-    beyond = lambda c: F.zip_with(F.coalesce(F.col(c), base), base, lambda p, o: p - o)
-    plus = lambda a, b: F.zip_with(a, b, lambda p, o: p + o)
-    fused = fused.withColumn("prior", plus(plus(base, beyond("h")), plus(beyond("x"), beyond("d"))))
-    posterior = F.transform(
-        "read",
-        lambda s: F.struct(s["words"].alias("words"), F.zip_with(s["ll"], F.col("prior"), lambda p, o: p + o).alias("lp")),
-    )
-    fused = fused.withColumn("post", posterior)
-    labelled = F.transform(
-        "post",
-        lambda s: F.struct(
-            s["words"].alias("words"),
-            (F.array_position(s["lp"], F.array_max(s["lp"])).cast("int") - 1).alias("language"),
-            (1 / F.aggregate(s["lp"], F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max(s["lp"])))).alias("confidence"),
-            F.array_max(s["lp"]).alias("best"),
-            s["lp"].alias("lp"),
-        ),
-    )
-    fused = fused.withColumn("stretches", labelled)
-    own = F.filter("stretches", lambda s: s["words"] >= SENTENCE_WORDS)
-    clear = F.filter(own, lambda s: (s["language"] == F.col("main")) | (s["best"] - F.element_at(s["lp"], F.col("main") + 1) >= OTHER_MARGIN))
-    present = F.array_distinct(F.transform(clear, lambda s: s["language"]))
-    # A document all of whose sentences are unclear keeps its main language.
-    present = F.when((F.size(present) == 0) & F.col("main").isNotNull(), F.array("main")).otherwise(present)
-    rated = F.transform(present, lambda n: F.struct(n.alias("language"), F.coalesce(F.array_max(F.transform(F.filter(own, lambda s: s["language"] == n), lambda s: s["confidence"])), F.lit(0.5)).alias("confidence")))
-    slim = F.transform("stretches", lambda s: F.struct(s["words"].alias("words"), s["language"].alias("language"), s["confidence"].alias("confidence")))
-    return fused.select("doc", "label", rated.alias("languages"), slim.alias("stretches"))
+            per_doc = [stretches(t) for t in b.column(4).to_pylist()]
+            read = iter(scorer.read([s for d in per_doc for s in d]))
+            parts = [[p for _ in d for p in next(read)] for d in per_doc]
+            flat = [p for d in parts for p in d]
+            ll = np.array([v for _, v in flat]).reshape(-1, k)
+            sums = [sum((v for n, v in d if n >= SENTENCE_WORDS), np.zeros(k)) for d in parts]
+            main = [int(v.argmax()) if any(n >= SENTENCE_WORDS for n, _ in d) else None for d, v in zip(parts, sums, strict=True)]
+            ends = np.cumsum([0, *[len(d) for d in parts]]).astype(np.int32)
+            words = pa.ListArray.from_arrays(ends, pa.array([n for n, _ in flat], pa.int32()))
+            scores = pa.ListArray.from_arrays(ends * k, pa.array(ll.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(main, pa.int32()), words, scores], names=["doc", "label", "host", "suffix", "main", "words", "ll"])
+
+    scored = materialize(rows.mapInArrow(score, "doc bigint, label int, host string, suffix string, main int, words array<int>, ll array<double>"), "language-scores")
+    docs = scored.select("label", "host", "suffix", "main")
+    overall = np.zeros(k)
+    for r in docs.where("main is not null").groupBy("main").count().collect():
+        overall[r["main"]] = r["count"]
+    none = F.array(*[F.lit(0.0)] * k)
+    fused = scored.join(_counts(docs, ["suffix", "host"], "h"), ["suffix", "host"], "left").join(_counts(docs, ["suffix"], "x"), "suffix", "left").join(_counts(docs.where("label is not null"), ["label"], "d"), "label", "left")
+    fused = fused.select("doc", "label", "main", "words", "ll", *[F.coalesce(c, none).alias(c) for c in ("h", "x", "d")])
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.struct([("language", pa.int32()), ("confidence", pa.float64())])
+        triple = pa.struct([("words", pa.int32()), ("language", pa.int32()), ("confidence", pa.float64())])
+        for b in batches:
+            main = b.column(2).to_pylist()
+            counts = [b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for c in (5, 6, 7)]
+            own = np.zeros((b.num_rows, k))
+            for i, m in enumerate(main):
+                if m is not None:
+                    own[i, m] = 1.0
+            prior = log_priors(own, overall, counts[1], counts[0], counts[2])
+            lengths = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(b.num_rows), lengths)
+            n = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            lp = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            total = np.zeros((b.num_rows, k))
+            np.add.at(total, of[n >= SENTENCE_WORDS], lp[n >= SENTENCE_WORDS])
+            lp = lp + prior[of]
+            language = lp.argmax(axis=1) if len(lp) else np.zeros(0, dtype=int)
+            confidence = _softmax(lp).max(axis=1) if len(lp) else np.zeros(0)
+            whole = _softmax(total + prior) if b.num_rows else total
+            ends = np.cumsum([0, *lengths])
+            languages, read = [], []
+            for i, m in enumerate(main):
+                rows = range(ends[i], ends[i + 1])
+                best: dict[int, float] = {}
+                clear: list[int] = []
+                for j in rows:
+                    if n[j] >= SENTENCE_WORDS:
+                        x = int(language[j])
+                        best[x] = max(best.get(x, 0.0), float(confidence[j]))
+                        if x not in clear and (x == m or lp[j, x] - lp[j, m] >= OTHER_MARGIN):
+                            clear.append(x)
+                # A document all of whose sentences are unclear keeps its main language, as sure as the whole text is.
+                if not clear and m is not None:
+                    clear, best = [m], {m: float(whole[i, m])} | best
+                languages.append([{"language": x, "confidence": best[x]} for x in clear])
+                read.append([{"words": int(n[j]), "language": int(language[j]), "confidence": float(confidence[j])} for j in rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(languages, pa.list_(pair)), pa.array(read, pa.list_(triple))], names=["doc", "label", "languages", "stretches"])
+
+    return fused.mapInArrow(fuse, "doc bigint, label int, languages array<struct<language:int,confidence:double>>, stretches array<struct<words:int,language:int,confidence:double>>")
 
 
 def to_correct(found: DataFrame) -> DataFrame:
