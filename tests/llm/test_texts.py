@@ -150,7 +150,7 @@ def test_reading_many_stretches_at_once_equals_one_by_one():
     rnd = random.Random(3)
     words_ = [f"{a}{b}" for a in "aeioukw" for b in ("sa", "the", "une", "ch", "no")]
     scorer = Scorer(log_table(np.random.default_rng(1).gamma(0.2, 20, (languages.BUCKETS, len(LANGUAGES)))))
-    some = [[rnd.choice(words_) for _ in range(rnd.choice([1, 3, 9, 10, 25, 80]))] for _ in range(300)]
+    some = [[rnd.choice(words_) for _ in range(rnd.choice([1, 3, 9, 10, 25, 80, 150]))] for _ in range(900)]
     got = scorer.read(some)
     assert sum(len(p) > 1 for p in got) > 20
     for s, parts in zip(some, got, strict=True):
