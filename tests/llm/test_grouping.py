@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import numpy as np
@@ -49,6 +50,20 @@ def test_giant_chain_nulls_and_empty(spark):
     assert components(spark, [], [3]) == {3: 3}
 
 
+def test_long_chain_takes_few_tables(spark, monkeypatch):
+    from vitrine.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize_at", lambda df, label, f=module.materialize_at: written.append(label) or f(df, label))
+    ids = list(range(20_000))
+    random.Random(1).shuffle(ids)
+    chain = list(zip(ids, ids[1:], strict=False))
+    bush = [(100_000 + i // 3, 100_000 + i) for i in range(1, 3_000)]
+    got = components(spark, chain + bush, [])
+    assert {got[i] for i in ids} == {0} and {got[100_000 + i] for i in range(3_000)} == {100_000}
+    assert len(written) < 60
+
+
 def test_star_edges_stand_for_all_pairs(spark):
     rows = [("h", 3), ("h", 1), ("h", 2), ("h", 2), ("g", 9), (None, 4), ("h", None)]
     got = star_edges(spark.createDataFrame(rows, "hub string, m bigint"), hub="hub", member="m").collect()

@@ -35,23 +35,31 @@ def _rounds(spark: SparkSession):
     return keep, drop
 
 
-def _giant(both: DataFrame) -> tuple[DataFrame, list[str]] | None:
-    """``v`` of the component of the vertex with the highest degree, by frontier joins; the paths it lies in."""
+#: Least share of the vertices reached that a frontier must add for the search to go on; so hops grow with the logarithm of what is reached.
+GROWTH = 0.25
+
+
+def _core(both: DataFrame) -> DataFrame | None:
+    """``v`` reached from the vertex with the highest degree by frontier joins, as long as the frontier grows with what is reached.
+
+    Where one component holds most vertices that is all of it or nearly so;
+    along a chain the search stops after a few hops.
+    """
     spark = both.sparkSession
     top = both.groupBy("a").count().orderBy(F.desc("count"), "a").limit(1).collect()
     if not top:
         return None
-    seed = spark.createDataFrame([(top[0]["a"],)], "v bigint")
-    frontier, path = materialize_at(seed, "giant")
-    reached, paths = frontier, [path]
+    frontier, path = materialize_at(spark.createDataFrame([(top[0]["a"],)], "v bigint"), "core")
+    reached, paths, n = frontier, [path], 1
     while True:
         step = both.join(frontier, both["a"] == frontier["v"], "left_semi").select(F.col("b").alias("v")).distinct()
-        nxt, path = materialize_at(step.join(reached, "v", "left_anti"), "giant")
+        frontier, path = materialize_at(step.join(reached, "v", "left_anti"), "core")
         paths.append(path)
-        if nxt.isEmpty():
-            return reached, paths
-        frontier = nxt
+        added = frontier.count()
+        n += added
         reached = spark.read.schema("v bigint").parquet(*paths)
+        if added < GROWTH * n:
+            return reached
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -61,30 +69,33 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     ``vertices``: ``v``. A vertex without edges is its own component; null
     ends are ignored; empty inputs give no rows.
 
-    First the component of the vertex with the highest degree is peeled off by
-    breadth-first frontier joins: every edge is read by frontiers that hold a
-    vertex once, and the component's label is one minimum, so the largest
-    component never takes part in propagation. It is anti-joined away, and the
-    small components that remain are labelled by minimum propagation; a smaller
-    label is also told to the vertex that the larger one names, and a vertex
-    takes the label of the vertex its own names, so long chains settle in a
-    number of rounds that grows with the logarithm of their length. Every round
-    is a written table; only counts reach the driver.
+    First the core of the giant component is peeled off by breadth-first
+    frontier joins from the vertex with the highest degree: every edge is read
+    by frontiers that hold a vertex once, and the core takes no further part
+    but as one vertex where it has edges left to others. The components that
+    remain are labelled by minimum propagation; a smaller label is also told to
+    the vertex that the larger one names, and a vertex takes the label of the
+    vertex its own names, so long chains settle in a number of rounds that
+    grows with the logarithm of their length. Every hop and round is a written
+    table; only counts and the core's label reach the driver.
     """
     spark = edges.sparkSession
     one_way = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     keep, _ = _rounds(spark)
     both = keep(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     ids = vertices.where("v is not null").select("v").unionByName(both.select(F.col("a").alias("v"))).distinct()
-    found = _giant(both)
-    if found is None:
+    core = _core(both)
+    if core is None:
         return ids.select("v", F.col("v").alias("label"))
-    giant, _ = found
-    peeled = giant.select("v", F.lit(giant.agg(F.min("v")).first()[0]).cast("bigint").alias("label"))
-    rest = keep(both.join(giant, both["a"] == giant["v"], "left_anti"), "rest")
+    least = core.agg(F.min("v")).first()[0]
+    inside = lambda end: core.select(F.col("v").alias(end), F.lit(least).cast("bigint").alias("c" + end))
+    cut = both.join(inside("a"), "a", "left").join(inside("b"), "b", "left").where("ca is null or cb is null")
+    rest = keep(cut.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "rest")
     labels = _propagate(spark, rest)
+    own = labels.where(F.col("v") == least).first()
+    peeled = core.select("v", F.lit(own["label"] if own else least).cast("bigint").alias("label"))
     alone = ids.join(both.select(F.col("a").alias("v")).distinct(), "v", "left_anti").select("v", F.col("v").alias("label"))
-    return peeled.unionByName(labels).unionByName(alone)
+    return peeled.unionByName(labels.where(F.col("v") != least)).unionByName(alone)
 
 
 def _propagate(spark: SparkSession, both: DataFrame) -> DataFrame:
