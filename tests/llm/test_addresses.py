@@ -95,3 +95,25 @@ def test_turned_parts_and_kinds_of_street():
 def test_kinds_of_street_part(spark):
     rows = [row("a", "Rua Alta", "5"), row("b", "Travessa Alta", "5"), row("c", "R. Alta", "5"), row("d", "Av. Jurmas Novas", "7", "Ed. Sol Azul"), row("e", "Av. Jurremas Novas", "7", "Sol Azul")]
     assert groups(spark, rows) == [("a", "c"), ("d", "e")]
+
+
+def test_blocks_find_what_the_window_leaves_apart(spark, monkeypatch):
+    from vitrine.llm import address_groups
+
+    monkeypatch.setattr(address_groups, "WINDOW", 1)
+    monkeypatch.setattr(sorted_neighbourhood, "KEY_BLOCK", 3)
+    zips = [row(f"n{i:02}", f"Rua {w} Longa", "12", None, zip_="50001234") for i, w in enumerate(["Abobora", "Abobrra", "Aboobra", "Aobbora", "Qbobora", "Abobora", "Abobroa"])]
+    apart = [row(f"m{i}", f"Rua {w} Longa", "12", None, zip_="50001234") for i, w in enumerate(["Banana", "Cereja", "Damasco", "Figo"])]
+    found = groups(spark, [*zips, *apart])
+    assert {(a, b) for a, b in found if a[0] == b[0] == "n"} == {(f"n{i:02}", f"n{j:02}") for i in range(7) for j in range(i + 1, 7)}
+    assert not [p for p in found if "m" in p[0] + p[1]]
+
+
+def test_units_part_dwellings_only_when_asked(spark):
+    rows = [row("a", "Rua Alta", "5 apto 1"), row("b", "R. Alta", "5 apto 1"), row("c", "Rua Alta", "5 apto 2"), row("d", "Rua Alta", "5 - Bl. B"), row("e", "Rua Alta", "5")]
+    assert len(groups(spark, rows)) == 10
+    df = spark.createDataFrame([(*r, "x") for r in rows], FIELDS)
+    c = F.col
+    read = parsed(df, id=c("url"), street=c("logradouro"), number=c("numero"), building=c("condominio_nome"), district=c("bairro"), city=c("cidade"), title=c("titulo"), postcode=c("cep"))
+    strict = pairs_within(building_groups(read, units=True), "building_group", "id").collect()
+    assert [(r["a"], r["b"]) for r in strict] == [("a", "b")]

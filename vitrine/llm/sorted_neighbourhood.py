@@ -1,4 +1,4 @@
-"""Multi-pass sorted neighbourhoods over a distributed total order."""
+"""Multi-pass sorted neighbourhoods over a distributed total order, and whole blocks beside them."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from vitrine.operators.total_order import ranked
 
 #: Ranks per block: what one comparison task holds.
 BLOCK = 4096
+#: Rows of one key up to which they are compared at once; more are split into pairs of blocks.
+KEY_BLOCK = 512
 
 
 def neighbours(rows: DataFrame, *, keys: list[str], id: str, fields: list[str], window: int, compare: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -47,3 +49,31 @@ def neighbours(rows: DataFrame, *, keys: list[str], id: str, fields: list[str],
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
 
     return map_groups(spread, ["block"], ["rank"], search, "a bigint, b bigint").distinct()
+
+
+def blocked(rows: DataFrame, *, key: str, id: str, fields: list[str], compare: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(a, b)``, a < b: ids of all pairs of rows that share ``key`` and pass ``compare``, however far apart they sort.
+
+    Keys must tell few records together. One with more than ``KEY_BLOCK`` rows
+    is split into blocks and every pair of blocks is compared on its own, so no
+    task grows with the data and no pair is lost.
+    """
+    keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(id).alias("id"), *fields)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / KEY_BLOCK).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    spread = keyed.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others)).select("key", "id", *fields, "own", "o.x", "o.y")
+
+    def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        apart = ids[i] < ids[j] if x == y else ids[i] != ids[j]
+        i, j = i[apart], j[apart]
+        if len(i):
+            ok = compare(group, i, j)
+            pairs = np.stack([ids[i[ok]], ids[j[ok]]])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
+
+    return map_groups(spread, ["key", "x", "y"], [], search, "a bigint, b bigint").distinct()
