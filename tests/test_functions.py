@@ -37,6 +37,32 @@ def test_rent_and_costs(spark):
     assert one(spark, money.cost_parts, "nada") is None
     k = one(spark, money.declared_cost, "Aluguel + Condomínio R$ 4.104 Aluguel R$ 3.000 Condomínio R$ 900 IPTU R$ 100")
     assert (k["total"], k["complete"]) == (4104.0, True)
+    k = one(spark, money.declared_cost, "Aluguel R$ 1.800/mês · Condomínio R$ - · IPTU R$ -- · Aluguel + Condomínio R$ 1.801/mês")
+    assert (k["rent"], k["condo"], k["total"], k["complete"]) == (1800.0, None, 1801.0, False)
+    k = one(spark, money.declared_cost, "Aluguel + Condomínio R$ 1.801")
+    assert (k["rent"], k["total"], k["complete"]) == (None, 1801.0, False)
+    assert one(spark, money.declared_cost, "Condomínio R$ 300") is None and one(spark, money.declared_cost, None) is None
+
+
+def test_totals_details_and_visits(spark):
+    assert one(spark, money.total_price, "R$ 1.700 Preço de Condomínio R$ 100 Valor do IPTU R$ 400") == 2200.0
+    assert one(spark, money.total_price, "Pacote de locação R$ 2.200") == 2200.0
+    assert one(spark, money.total_price, "Condomínio") is None and one(spark, money.total_price, None) is None
+    d = one(spark, money.detail, "Apartamento\nPreços:\n R$: 1.500,00\nBairro: Boa Vista\n3 quartos\n70m²")
+    assert tuple(d) == ("Boa Vista", 1500.0, 3, 70.0)
+    assert one(spark, money.detail, "Aluguel R$ 900")["price"] == 900.0
+    rows = spark.createDataFrame([(True, 1.0, 1.0), (False, 3000.0, 1.0), (None, 0.0, 2000.0), (False, None, None), (False, None, 2600.0)], "k boolean, t double, p double")
+    assert [r["v"] for r in rows.select(money.worth_visiting(F.col("k"), F.col("t"), F.col("p"), 2500.0).alias("v")).collect()] == [False, False, True, True, False]
+
+
+def test_cities_scopes_and_photos(spark):
+    assert one(spark, places.city_in_slug, "https://x/aluguel-jaboatao_apto") == "Jaboatão dos Guararapes"
+    assert one(spark, places.city_in_slug, "https://x/olinda/recife/1") == "Olinda" and one(spark, places.city_in_slug, "https://x/olindas") is None and one(spark, places.city_in_slug, None) is None
+    rows = spark.createDataFrame([(1, " Recife ", "ESPINHEIRO"), (2, "Recife", "Boa Viagem"), (3, "Recife", None), (4, None, "Espinheiro"), (5, "Recife", "")], "i int, c string, b string")
+    allowed = spark.createDataFrame([("Recife", "Espinheiro"), ("Recife", None), ("Olinda", "Boa Viagem")], "cidade string, bairro string")
+    assert {r["i"]: r["no_recorte"] for r in places.in_scope(rows, allowed, city="c", place="b").collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert one(spark, urls.photo_list, '["http://a/1.jpg", 3, null, "b"]') == ["http://a/1.jpg"] and one(spark, urls.photo_list, "http://a/2.jpg") == ["http://a/2.jpg"]
+    assert one(spark, urls.photo_list, "{bad") == [] and one(spark, urls.photo_list, None) == []
 
 
 def test_dates_and_cards(spark):
@@ -59,6 +85,8 @@ def test_places(spark):
     assert found(places.place_at_head, "Boa Vista Apartamento") == "Boa Vista"
     assert found(places.place_at_head, "a 10 minutos de Boa Viagem") is None
     assert found(places.place_at_head, None) is None
+    # The name counts where it stands again without a word of nearness before it.
+    assert found(places.place_at_head, "a 10 minutos de Boa Viagem centro comercial e praia. Boa Viagem") == "Boa Viagem"
 
 
 def test_text(spark):

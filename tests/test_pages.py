@@ -26,6 +26,17 @@ def test_embedded_objects(spark):
     assert [(r["page"], r["a"]) for r in got] == [("p", 1)]
 
 
+def test_preview_rows(spark):
+    html = r'"listingPreview": {"url": "/imovel/1", "location": "Boa Viagem, Recife/PE", "price": "4.576", "area": "87", "bedrooms": 3, "image": "a.jpg", "title": "t"}, "singleProperty": 1 "listingPreview": {"location": "x"}, "singleProperty": 1 "listingPreview": {"url": "https://y/2"}, "singleProperty": 1'
+    df = spark.createDataFrame([("p", html)], "u string, h string")
+    found = pages.embedded_objects(df, url="u", html="h", name="listingPreview", until="singleProperty")
+    got = {r["url"]: r for r in pages.preview_rows(found, base="https://x.example/", photos="https://img.example/", city="Olinda").collect()}
+    assert set(got) == {"https://x.example/imovel/1", "https://y/2"}
+    r = got["https://x.example/imovel/1"]
+    assert (r["bairro"], r["cidade"], r["preco"], r["area_m2"], r["quartos"], r["custo_completo"], r["fotos"]) == ("Boa Viagem", "Recife", 4576.0, 87.0, 3, False, ["https://img.example/a.jpg"])
+    assert (got["https://y/2"]["cidade"], got["https://y/2"]["bairro"], got["https://y/2"]["fotos"]) == ("Olinda", None, [])
+
+
 def test_links_from_shared_text(spark):
     html = '<a href="https://wa.example/?text=veja%20https%3A%2F%2Fx.example%2Fimovel%2F7">w</a><a href="//x.example/imovel/8">y</a>'
     got = pages.links(spark.createDataFrame([("https://x.example/l", html)], "u string, h string"), url="u", html="h", containing="/imovel/").collect()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Java needs (?iuU) for Unicode letter case and white space.
 _FLAGS = "(?iuU)"
-_AMOUNT = r"([\d.,]+)"
 # How listings write prices, rooms, areas, costs and dates.
 PRICE = r"R\$:?\s*([\d.]+,\d{2}|[\d.]+)"
 ROOMS = [r"(\d+)\s*(?:quarto|dormit[oó]rio|dorm)", r"(?:quarto|dormit[oó]rio|dorm)[s]?\s*[\t:]\s*(\d+)", r"\bbed\D{0,6}?(\d+)"]
@@ -19,6 +18,12 @@ CONDO = r"(?:condom[íi]nio|cond\.)\s*:?\s*R\$\s*([\d.,]+)"
 TAX = r"IPTU\s*:?\s*R\$\s*([\d.,]+)"
 PACKAGE = r"pacote\s+de\s+loca[çc][aã]o\s*R\$\s*([\d.,]+)"
 DECLARED = r"Aluguel\s*\+\s*Condom[íi]nio\s*R\$\s*([\d.,]+)"
+DECLARED_RENT = r"Aluguel\s*R\$\s*([\d.,]+)"
+DECLARED_CONDO = r"Condom[íi]nio\s*R\$\s*([\d.,]+)"
+DECLARED_TAX = r"IPTU\s*R\$\s*([\d.,]+)"
+ADDED_CONDO = r"(?:condom[íi]nio|cond\.)\s*R\$\s*([\d.,]+)"
+DETAIL_PRICE = r"(Pre[çc]os?:\s*\**R\$:?\s*[\d.,]+)"
+DETAIL_PLACE = r"Bairro:\**\s*([^\n]+)"
 UPDATED = r"Atualizado\s+em:?\s*(\d{2}/\d{2}/\d{4})"
 CARD_FIVE = r"Mensal\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\s*\n+([\d.,]+)\s*\n+(\d+)\s*\n+Apartamento"
 CARD_THREE = r"([\d.,]+)\s*m²\s*\n+(\d+)\s*\n+(\d+)\s*\n+(\d+)\b"
@@ -86,14 +91,37 @@ def cost_parts(text: Column) -> Column:
 def declared_cost(text: Column) -> Column:
     """``struct(rent, condo, tax, total, complete)`` for texts that also declare rent and condo fee as one amount.
 
-    The declared sum is read and taken out before the parts; it is the total if greater than what the parts add up to.
+    The first declared sum is read and taken out before the parts; it is the
+    total if greater than what the parts add up to. Null if neither a rent nor
+    a declared sum is there.
     """
+    whole = _found(text, f"({DECLARED})")
     declared = br_number(_found(text, DECLARED))
-    rest = F.regexp_replace(text, _FLAGS + DECLARED, " ")
-    base, condo, tax = (br_number(_found(rest, rf"{label}\s*R\$\s*{_AMOUNT}")) for label in ("Aluguel", "Condom[íi]nio", "IPTU"))
+    at = F.coalesce(F.position(whole, text), F.lit(0))
+    rest = F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(whole)))).otherwise(text)
+    base, condo, tax = (br_number(_found(rest, p)) for p in (DECLARED_RENT, DECLARED_CONDO, DECLARED_TAX))
     total = F.coalesce(base, F.lit(0.0)) + F.coalesce(condo, F.lit(0.0)) + F.coalesce(tax, F.lit(0.0))
-    best = F.greatest(total, declared)
-    return F.when(base.isNotNull(), F.struct(base.alias("rent"), condo.alias("condo"), tax.alias("tax"), best.alias("total"), condo.isNotNull().alias("complete")))
+    parts = F.struct(base.alias("rent"), condo.alias("condo"), tax.alias("tax"), F.greatest(total, declared).alias("total"), condo.isNotNull().alias("complete"))
+    return F.when(base.isNotNull() | declared.isNotNull(), parts)
+
+
+def total_price(text: Column) -> Column:
+    """What a dwelling costs a month: the package price, else rent, condo fee and tax as far as given; null without a rent."""
+    package, base = br_number(_found(text, PACKAGE)), rent(text)
+    added = [F.coalesce(br_number(_found(text, p)), F.lit(0.0)) for p in (ADDED_CONDO, DECLARED_TAX)]
+    return F.when(package != 0, package).when(base != 0, base + added[0] + added[1])
+
+
+def detail(text: Column) -> Column:
+    """``struct(place, price, rooms, area)`` of a detail page's text with its line breaks: the price behind ``Preço:``, else the rent."""
+    marked = _found(text, DETAIL_PRICE)
+    return F.struct(F.trim(_found(text, DETAIL_PLACE)).alias("place"), F.when(marked.isNotNull(), price(marked)).otherwise(rent(text)).alias("price"), rooms(text).alias("rooms"), area(text).alias("area"))
+
+
+def worth_visiting(complete: Column, total: Column, asked: Column, most: float) -> Column:
+    """Whether a detail page can change what is known: the cost is incomplete and what is known isn't above ``most`` already."""
+    known = F.coalesce(F.when(total != 0, total), asked)
+    return ~F.coalesce(complete, F.lit(False)) & F.coalesce(known <= most, F.lit(True))
 
 
 def updated_on(text: Column) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import slug, strip_accents
 
+# Slugs of the cities covered, the beginning of one with several spellings.
+CITIES = {
+    "jaboatao-dos-guararapes": "Jaboatão dos Guararapes", "jaboatao": "Jaboatão dos Guararapes", "olinda": "Olinda", "recife": "Recife", "paulista": "Paulista", "camaragibe": "Camaragibe",
+}
+JABOATAO = ("jaboat", "Jaboatão dos Guararapes")
 #: Characters at the head of a text in which a neighbourhood may stand.
 HEAD = 90
 #: Characters before a name in which a word of nearness voids it.
@@ -52,10 +57,17 @@ def canonical_place(text: Column, names: Column) -> Column:
 
 
 def place_at_head(text: Column, names: Column) -> Column:
-    """The longest name in the first ``HEAD`` characters that no word of nearness precedes."""
-    head = F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(F.substring(text, 1, HEAD))), "[^a-z0-9]+", " "), F.lit(" "))
-    at = lambda n: F.position(F.concat(F.lit(" "), F.replace(n["slug"], F.lit("-"), F.lit(" ")), F.lit(" ")), head)
-    return _longest(names, lambda n: (F.length(n["slug"]) >= SHORTEST) & (at(n) > 0) & ~F.substr(head, F.greatest(at(n) - BEFORE, F.lit(1)), F.least(at(n), F.lit(BEFORE))).rlike(NEARNESS))
+    """The longest name in the first ``HEAD`` characters that stands there once without a word of nearness before it."""
+    head = F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(F.substring(text, 1, HEAD))), "[^a-z0-9]+", "  "), F.lit(" "))
+    framed = lambda n: F.concat(F.lit(" "), F.replace(n["slug"], F.lit("-"), F.lit("  ")), F.lit(" "))
+
+    def here(n: Column) -> Column:
+        # What stands between the occurrences; each is judged by what comes before it.
+        parts = F.split(head, framed(n))
+        before = lambda i: F.right(F.regexp_replace(F.call_function("array_join", F.slice(parts, 1, i), framed(n)), " +", " "), F.lit(BEFORE))
+        return F.exists(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)), lambda i: ~before(i).rlike(NEARNESS))
+
+    return _longest(names, lambda n: (F.length(n["slug"]) >= SHORTEST) & F.contains(head, framed(n)) & here(n))
 
 
 def place_in_text(text: Column, names: Column, cities: list[str]) -> Column:
@@ -66,7 +78,24 @@ def place_in_text(text: Column, names: Column, cities: list[str]) -> Column:
     line, dash = rf"(?iumU)^{name},\s*{town}\s*$", rf"(?iuU){name}\s*-\s*{town}\b"
     first = lambda g: F.coalesce(F.nullif(F.regexp_extract(text, line, g), F.lit("")), F.nullif(F.regexp_extract(text, dash, g), F.lit("")))
     place = canonical_place(first(1), names)
-    return F.struct(street.alias("street"), place.alias("place"), F.when(place.isNotNull(), first(2)).alias("city"))
+    city = F.when(F.lower(first(2)).startswith(JABOATAO[0]), F.lit(JABOATAO[1])).otherwise(first(2))
+    return F.struct(street.alias("street"), place.alias("place"), F.when(place.isNotNull(), city).alias("city"))
+
+
+def city_in_slug(url: Column, cities: dict[str, str] | None = None) -> Column:
+    """The city that an address names between separators; of several, the first of ``cities`` (slug -> name)."""
+    framed = F.concat(F.lit("/"), F.regexp_replace(F.lower(url), "[/_-]", "/"), F.lit("/"))
+    return F.coalesce(*[F.when(F.contains(framed, F.lit("/" + s.replace("-", "/") + "/")), F.lit(n)) for s, n in (cities or CITIES).items()])
+
+
+def in_scope(rows: DataFrame, allowed: DataFrame, *, city: str, place: str) -> DataFrame:
+    """``rows`` with ``no_recorte``: whether their city (spelled as listed) and neighbourhood (in any spelling) are in ``allowed``, by an equi join.
+
+    ``allowed``: ``cidade, bairro``. An unknown neighbourhood is in no scope.
+    """
+    listed = allowed.select(F.trim("cidade").alias("_city"), slug(F.col("bairro")).alias("_slug")).where("_slug <> ''").distinct().withColumn("_in", F.lit(True))
+    keyed = rows.withColumns({"_city": F.trim(F.col(city)), "_slug": slug(F.col(place))})
+    return keyed.join(listed, ["_city", "_slug"], "left").withColumn("no_recorte", F.coalesce("_in", F.lit(False))).drop("_city", "_slug", "_in")
 
 
 def best_place(structured: Column, url: Column, text: Column, names: Column, cities: list[str]) -> Column:

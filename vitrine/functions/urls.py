@@ -53,3 +53,10 @@ def page_url(base: Column, page: Column, parameter: str = "pagina") -> Column:
     """Address of a result page: fills ``{n}`` if the base has it, else appends ``parameter``; page 1 is the base."""
     joined = F.concat(base, F.when(base.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit(f"{parameter}="), page.cast("string"))
     return F.when(base.contains("{n}"), F.replace(base, F.lit("{n}"), page.cast("string"))).when(page <= 1, base).otherwise(joined)
+
+
+def photo_list(raw: Column) -> Column:
+    """The photo addresses in a JSON list or a single address; anything else gives an empty list."""
+    several = F.from_json(raw, "array<string>")
+    one = F.when(raw.startswith("http"), F.array(raw))
+    return F.filter(F.coalesce(several, one, F.array().cast("array<string>")), lambda u: F.coalesce(u.startswith("http"), F.lit(False)))

@@ -196,7 +196,114 @@ CARDS = """
 SELECT l_orderkey AS href, CAST(max(CAST(l_quantity AS INT)) AS INT) AS n, CAST(min(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END) AS VARCHAR) AS photo FROM lineitem GROUP BY 1
 """
 
+def listing_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rooms, areas, bathrooms and prices read from the listings' own titles and descriptions."""
+    said = F.concat_ws("\n", "titulo", "descricao")
+    rows = table(spark, folder, "imoveis").select("url", said.alias("t")).where("url is not null").distinct()
+    return rows.select("url", money.rooms(c("t")).alias("quartos"), money.area(c("t")).alias("area"), money.bathrooms(c("t")).alias("banheiros"), money.price(c("t")).alias("preco"))
+
+
+def _br_sql(x: str) -> str:
+    return f"TRY_CAST(replace(replace(regexp_replace(trim({x}), '[.,]+$', ''), '.', ''), ',', '.') AS DOUBLE)"
+
+
+_GET = "nullif(regexp_extract({}, '(?i){}', 1), '')"
+_ROOMS = "coalesce(" + ", ".join(_GET.format("t", p) for p in (r"(\d+)\s*(?:quarto|dormit[oóOÓ]rio|dorm)", r"(?:quarto|dormit[oóOÓ]rio|dorm)[s]?\s*[\t:]\s*(\d+)", r"\bbed\D{0,6}?(\d+)")) + ")"
+_AREA = _GET.format("t", r"([\d.,]+)\s*m(?:²|2\b)")
+LISTING_TEXTS = f"""
+WITH l AS (SELECT DISTINCT url, concat_ws(chr(10), titulo, descricao) AS t FROM imoveis WHERE url IS NOT NULL),
+x AS (SELECT url, t, {_ROOMS} AS q, {_AREA} AS a FROM l)
+SELECT url, TRY_CAST(q AS INT) AS quartos, CASE WHEN contains(a, ',') THEN {_br_sql("a")} WHEN regexp_full_match(a, '\\d+\\.\\d{{2}}') THEN TRY_CAST(a AS DOUBLE) ELSE {_br_sql("a")} END AS area,
+ TRY_CAST({_GET.format("t", r"(\d+)\s*(?:ban\.|banheiro)")} AS INT) AS banheiros, {_br_sql(_GET.format("t", r"R\$:?\s*([\d.]+,\d{2}|[\d.]+)").replace("{2}", "{2}"))} AS preco FROM x
+"""
+
+
+def offered_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every writing of an amount in the conflicts, read as a price."""
+    rows = table(spark, folder, "conflito").where("campo <> 'bairro'").select(F.explode(F.map_values("valores")).alias("escrito")).where("escrito is not null").distinct()
+    return rows.select("escrito", money.price(c("escrito")).alias("preco"), money.br_or_plain(c("escrito")).alias("numero"))
+
+
+OFFERED = f"""
+WITH v AS (SELECT DISTINCT unnest(map_values(valores)) AS escrito FROM conflito WHERE campo <> 'bairro'), n AS (SELECT *, {_GET.format("escrito", r"([\d.,]+)")} AS r FROM v WHERE escrito IS NOT NULL)
+SELECT escrito, {_br_sql(_GET.format("escrito", r"R\$:?\s*([\d.]+,\d{2}|[\d.]+)"))} AS preco, CASE WHEN contains(r, ',') THEN {_br_sql("r")} ELSE TRY_CAST(r AS DOUBLE) END AS numero FROM n
+"""
+
+
+def declared_costs(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost texts as portals write them, made of the listings' own rents, fees and taxes, read back."""
+    rows = table(spark, folder, "imoveis").where("url is not null").groupBy("url").agg(*[F.max(x).alias(x) for x in ("aluguel", "condominio", "iptu")])
+    whole = lambda x: F.when(c(x) >= 1, F.floor(x).cast("bigint"))
+    some = lambda label, v: F.when(v.isNotNull(), F.concat(F.lit(f"{label} R$ "), v.cast("string"))).otherwise(F.lit(f"{label} R$ -"))
+    rent, condo, tax = whole("aluguel"), whole("condominio"), whole("iptu")
+    text = F.concat_ws(" · ", some("Aluguel", rent), some("Condomínio", condo), some("IPTU", tax), F.when(condo.isNotNull(), F.concat(F.lit("Aluguel + Condomínio R$ "), (F.coalesce(rent, F.lit(0)) + condo + 1).cast("string"), F.lit("/mês"))))
+    read = rows.select("url", text.alias("t")).select("url", money.declared_cost(c("t")).alias("k"), money.total_price(c("t")).alias("soma"))
+    return read.select("url", "k.rent", "k.condo", "k.tax", "k.total", "k.complete", "soma")
+
+
+DECLARED_COSTS = """
+WITH r AS (SELECT url, CASE WHEN max(aluguel) >= 1 THEN floor(max(aluguel)) END AS a, CASE WHEN max(condominio) >= 1 THEN floor(max(condominio)) END AS k, CASE WHEN max(iptu) >= 1 THEN floor(max(iptu)) END AS i FROM imoveis WHERE url IS NOT NULL GROUP BY 1)
+SELECT url, CAST(a AS DOUBLE) AS rent, CAST(CASE WHEN a IS NOT NULL OR k IS NOT NULL THEN k END AS DOUBLE) AS condo, CAST(CASE WHEN a IS NOT NULL OR k IS NOT NULL THEN i END AS DOUBLE) AS tax,
+ CAST(CASE WHEN a IS NOT NULL OR k IS NOT NULL THEN greatest(coalesce(a, 0) + coalesce(k, 0) + coalesce(i, 0), coalesce(a, 0) + k + 1) END AS DOUBLE) AS total,
+ CASE WHEN a IS NOT NULL OR k IS NOT NULL THEN k IS NOT NULL END AS complete,
+ -- Without a rent the first amount of the text is taken for it.
+ CAST(coalesce(a, k, i) + coalesce(k, 0) + coalesce(i, 0) AS DOUBLE) AS soma FROM r
+"""
+
+
+def cities_from_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """City that each listing's address names, and the kind of portal page as a second list of slugs."""
+    rows = table(spark, folder, "imoveis").select("url").where("url is not null").distinct()
+    return rows.select("url", places.city_in_slug(c("url"), {"passo-do-xareu": "Passo do Xaréu", "praia-da-umburana": "Praia da Umburana", "riacho-da-piacaba": "Riacho da Piaçaba"}).alias("cidade"))
+
+
+CITIES = """
+WITH u AS (SELECT DISTINCT url, '/' || regexp_replace(lower(url), '[/_-]', '/', 'g') || '/' AS s FROM imoveis WHERE url IS NOT NULL)
+SELECT url, CASE WHEN contains(s, '/passo/do/xareu/') THEN 'Passo do Xaréu' WHEN contains(s, '/praia/da/umburana/') THEN 'Praia da Umburana' WHEN contains(s, '/riacho/da/piacaba/') THEN 'Riacho da Piaçaba' END AS cidade FROM u
+"""
+
+
+def places_in_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbourhood at the head of each title and description, mentions of what is near left out."""
+    rows = table(spark, folder, "imoveis")
+    names = places.gazetteer(rows.groupBy("bairro").count().where("count >= 2 and not contains(bairro, '.')"), c("bairro"))
+    said = rows.select(F.explode(F.array("titulo", F.concat_ws(" ", F.lit("A 10 minutos de"), "titulo"), "descricao")).alias("texto")).where("texto is not null").distinct()
+    return said.select("texto", text.slug(places.place_at_head(c("texto"), names)).alias("bairro_slug"))
+
+
+_NEAR = r"\b(perto|proxim[oa]s?|vizinh|minutos?|min|km|metros|acesso|caminho|rumo|sentido|entre)\b"
+TITLE_PLACES = f"""
+WITH g AS (SELECT DISTINCT trim(regexp_replace(strip_accents(lower(bairro)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT bairro FROM imoveis GROUP BY 1 HAVING count(*) >= 2 AND NOT contains(bairro, '.'))),
+t AS (SELECT DISTINCT texto, ' ' || regexp_replace(strip_accents(lower(substr(texto, 1, 90))), '[^a-z0-9]+', '  ', 'g') || ' ' AS h FROM (SELECT unnest([titulo, 'A 10 minutos de ' || titulo, descricao]) AS texto FROM imoveis) WHERE texto IS NOT NULL),
+m AS (SELECT texto, s, ' ' || replace(s, '-', '  ') || ' ' AS f, string_split(h, ' ' || replace(s, '-', '  ') || ' ') AS p FROM t JOIN g ON length(s) >= 5 AND contains(h, ' ' || replace(s, '-', '  ') || ' ')),
+k AS (SELECT texto, s FROM m WHERE len(list_filter(range(1, len(p)), lambda i: NOT regexp_matches(right(regexp_replace(list_reduce(p[1:i], lambda x, y: x || f || y), ' +', ' ', 'g'), 26), '{_NEAR}'))) > 0),
+b AS (SELECT texto, s, row_number() OVER (PARTITION BY texto ORDER BY length(s) DESC, s) AS rn FROM k)
+SELECT t.texto, coalesce(b.s, '') AS bairro_slug FROM t LEFT JOIN b ON b.texto = t.texto AND rn = 1
+"""
+
+
+def display_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Dwellings within the neighbourhoods shown, per city, with those outside and those that can't be told."""
+    allowed = table(spark, folder, "imovel").groupBy("cidade", "bairro").count().where("count >= 5 and not contains(lower(bairro), 'jardim')")
+    rows = places.in_scope(table(spark, folder, "imovel").select("id", "cidade", "bairro").distinct(), allowed, city="cidade", place="bairro")
+    unknown = F.coalesce(c("bairro"), F.lit("")) == ""
+    return rows.groupBy(F.coalesce(F.trim("cidade"), F.lit("")).alias("cidade")).agg(F.count_if("no_recorte").alias("exibidos"), F.count_if(~c("no_recorte") & ~unknown).alias("fora"), F.count_if(unknown).alias("sem_bairro"))
+
+
+DISPLAY_SCOPE = """
+WITH s AS (SELECT DISTINCT id, cidade, bairro, coalesce(trim(regexp_replace(strip_accents(lower(bairro)), '[^a-z0-9]+', '-', 'g'), '-'), '') AS k FROM imovel),
+a AS (SELECT DISTINCT trim(cidade) AS cidade, trim(regexp_replace(strip_accents(lower(bairro)), '[^a-z0-9]+', '-', 'g'), '-') AS k FROM (SELECT cidade, bairro FROM imovel GROUP BY 1, 2 HAVING count(*) >= 5 AND NOT contains(lower(bairro), 'jardim'))),
+j AS (SELECT s.*, a.k IS NOT NULL AND s.k <> '' AS d FROM s LEFT JOIN a ON a.cidade = trim(s.cidade) AND a.k = s.k)
+SELECT coalesce(trim(cidade), '') AS cidade, count(*) FILTER (WHERE d) AS exibidos, count(*) FILTER (WHERE NOT d AND coalesce(bairro, '') <> '') AS fora, count(*) FILTER (WHERE coalesce(bairro, '') = '') AS sem_bairro FROM j GROUP BY 1
+"""
+
 QUERIES = {
+    "listing_texts": (listing_texts, LISTING_TEXTS),
+    "offered_amounts": (offered_amounts, OFFERED),
+    "declared_costs": (declared_costs, DECLARED_COSTS),
+    "cities_from_urls": (cities_from_urls, CITIES),
+    "places_in_titles": (places_in_titles, TITLE_PLACES),
+    "display_scope": (display_scope, DISPLAY_SCOPE),
     "price_parse": (price_parse, PRICE),
     "rooms_area_parse": (rooms_area_parse, ROOMS_AREA),
     "cost_breakdown": (cost_breakdown, COST),

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.money import br_number
 from vitrine.functions.urls import canonical_url
 
 # Kinds of structured objects that describe a dwelling.
@@ -182,3 +183,24 @@ def fetch_outcome(status: Column, body_is_challenge: Column, timed_out: Column)
         .when(status.between(400, 499), "http_4xx")
         .when(status >= 500, "http_5xx")
     )
+
+
+def preview_rows(objects: DataFrame, *, base: str, photos: str, city: str | None = None) -> DataFrame:
+    """Listing rows of the previews that :func:`embedded_objects` finds; previews without an address are left out.
+
+    ``base``: what relative addresses go on; ``photos``: prefix of image paths;
+    ``city``: the one to take where the place names none. A preview tells the
+    rent only, so the cost is incomplete.
+    """
+    get = lambda name, kind="string": F.try_variant_get("object", f"$.{name}", kind)
+    place, rest = F.split_part(get("location"), F.lit(","), F.lit(1)), F.split_part(get("location"), F.lit(","), F.lit(2))
+    two = F.contains(get("location"), F.lit(","))
+    town = F.when(two, F.nullif(F.trim(F.split_part(rest, F.lit("/"), F.lit(1))), F.lit("")))
+    link, rent = get("url"), br_number(get("price"))
+    absolute = F.when(link.rlike("^[a-zA-Z]+://"), link).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(link, "^/+", "")))
+    return objects.where(link != "").select(
+        "page", absolute.alias("url"), get("title").alias("titulo_origem"), F.when(two, F.trim(place)).alias("bairro"), F.coalesce(town, F.lit(city)).alias("cidade"), get("street").alias("logradouro"),
+        get("bedrooms", "int").alias("quartos"), get("bathrooms", "int").alias("banheiros"), get("garages", "int").alias("vagas"), br_number(get("area")).alias("area_m2"),
+        rent.alias("aluguel"), rent.alias("preco"), rent.alias("custo_mensal_total"), F.lit(False).alias("custo_completo"),
+        F.when(get("image") != "", F.array(F.concat(F.lit(photos), get("image")))).otherwise(F.array().cast("array<string>")).alias("fotos"),
+    )
