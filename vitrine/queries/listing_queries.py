@@ -156,26 +156,38 @@ SELECT s_suppkey, score, concat_ws(',', CASE WHEN custo >= 0.7 THEN 'custo' END,
 """
 
 
+FIELDS = ["preco", "area_m2", "quartos", "bairro", "cidade", "condominio_nome"]
+
+
+def _offers(spark: SparkSession, folder: str) -> DataFrame:
+    """The listings of each dwelling (the smallest one linked to it), numbered by the number in their address."""
+    entity = table(spark, folder, "imovel_anuncio").groupBy(listing_key(c("url")).alias("key")).agg(F.min("imovel_id").alias("entity"))
+    rows = _located(spark, folder).withColumn("key", listing_key(c("url")))
+    return rows.join(entity, "key").withColumn("ord", F.regexp_extract("url", r"(\d{6})", 1).cast("bigint"))
+
+
 def consolidate_field(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantity and return flag of each part over its suppliers, with the criterion that settled them."""
-    l = table(spark, folder, "lineitem")
-    ord_ = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    kinds = [("l_quantity", F.format_string("%.2f", "l_quantity")), ("l_returnflag", c("l_returnflag"))]
-    values = l.select(c("l_partkey").alias("entity"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in kinds])).alias("x"), c("l_suppkey").cast("string").alias("source"), F.xxhash64(ord_).alias("ord"))
-    out = resolution.consolidated(values.select("entity", "x.field", "x.value", "source", "ord"), numeric=["l_quantity"])
-    # Ties between first values follow the input order, which SQL has no match for: values are compared where the criterion fixes them.
-    fixed = F.when(c("criterion").isNull() | (c("criterion") != "fonte_mais_confiavel"), c("value"))
-    return out.select("entity", "field", F.coalesce("criterion", F.lit("")).alias("criterion"), fixed.alias("value"))
-
-
-CONSOLIDATE = """
-WITH v AS (SELECT l_partkey AS entity, 'l_quantity' AS field, printf('%.2f', l_quantity) AS value, l_quantity AS amount FROM lineitem UNION ALL SELECT l_partkey, 'l_returnflag', l_returnflag, NULL FROM lineitem),
-n AS (SELECT entity, field, value, count(*) AS n FROM v GROUP BY 1, 2, 3),
+    """One value of each field of each dwelling over its listings, with the criterion that settled it; sources weigh by their trust."""
+    written = {f: F.format_string("%.1f", c(f).cast("double")) if f in FIELDS[:3] else c(f) for f in FIELDS}
+    values = _offers(spark, folder).select("entity", c("site").alias("source"), "ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(c(f).isNotNull(), v).alias("value")) for f, v in written.items()])).alias("x"))
+    trust = table(spark, folder, "fonte").select(c("site").alias("source"), c("confianca").alias("trust"))
+    out = resolution.consolidated(values.select("entity", "x.field", "x.value", "source", "ord"), numeric=FIELDS[:3], trust=trust)
+    return out.select("entity", "field", F.coalesce("criterion", F.lit("")).alias("criterion"), "value")
+
+
+_OFFERS_SQL = f"""y AS (SELECT {KEY_SQL.format(u="url")} AS k, min(imovel_id) AS entity FROM imovel_anuncio GROUP BY 1),
+l AS (SELECT *, CAST(regexp_extract(url, '([0-9]{{6}})', 1) AS BIGINT) AS ord, {KEY_SQL.format(u="url")} AS k FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ultima_confirmacao) AS rn FROM imoveis WHERE url IS NOT NULL) WHERE rn = 1)"""
+
+CONSOLIDATE = f"""
+WITH {_OFFERS_SQL},
+v AS (SELECT entity, ord, coalesce(f.confianca, 0.8) AS trust, unnest([{', '.join(f"{{'field': '{x}', 'value': {f'printf({chr(39)}%.1f{chr(39)}, CAST({x} AS DOUBLE))' if x in FIELDS[:3] else x}, 'amount': {f'round(CAST(printf({chr(39)}%.1f{chr(39)}, CAST({x} AS DOUBLE)) AS DOUBLE), 2)' if x in FIELDS[:3] else 'CAST(NULL AS DOUBLE)'}}}" for x in FIELDS)}]) AS x FROM l JOIN y USING (k) LEFT JOIN fonte f ON f.site = l.site),
+g AS (SELECT entity, ord, trust, x.field AS field, x.value AS value, x.amount AS amount, coalesce(CAST(x.amount AS VARCHAR), x.value) AS same FROM v WHERE x.value IS NOT NULL AND x.value <> ''),
+n AS (SELECT entity, field, same, count(*) AS n, arg_min(value, ord) AS value FROM g GROUP BY 1, 2, 3),
 t AS (SELECT entity, field, max(n) AS top, count(*) AS d, arg_max(value, n) AS best FROM n GROUP BY 1, 2),
 u AS (SELECT t.*, (SELECT count(*) FROM n WHERE n.entity = t.entity AND n.field = t.field AND n.n = t.top) AS ties FROM t),
-m AS (SELECT entity, field, median(amount) AS med FROM v GROUP BY 1, 2)
+m AS (SELECT entity, field, median(amount) AS med, arg_min(value, {{'a': -trust, 'b': ord}}) AS sure FROM g GROUP BY 1, 2)
 SELECT entity, field, CASE WHEN d = 1 THEN '' WHEN top > 1 AND ties = 1 THEN 'maioria' WHEN med IS NOT NULL THEN 'mediana' ELSE 'fonte_mais_confiavel' END AS criterion,
- CASE WHEN d = 1 OR (top > 1 AND ties = 1) THEN best WHEN med IS NOT NULL THEN printf('%.2f', med) END AS value FROM u JOIN m USING (entity, field)
+ CASE WHEN d = 1 OR (top > 1 AND ties = 1) THEN best WHEN med IS NOT NULL THEN printf('%.2f', med) ELSE sure END AS value FROM u JOIN m USING (entity, field)
 """
 
 
