@@ -19,7 +19,9 @@ def listing_addresses(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of listings in the same building."""
-    groups = materialize(building_groups(listing_addresses(spark, folder)), "buildings")
+    # Written, because the neighbourhoods are counted over the readings before they are used.
+    addresses = materialize(listing_addresses(spark, folder), "addresses")
+    groups = materialize(building_groups(addresses), "buildings")
     return pairs_within(groups, "building_group", "id").select(F.col("a").alias("url_a"), F.col("b").alias("url_b")).distinct()
 
 

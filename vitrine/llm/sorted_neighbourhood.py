@@ -18,7 +18,22 @@ BLOCK = 4096
 KEY_BLOCK = 512
 
 
-def neighbours(rows: DataFrame, *, keys: list[str], id: str, fields: list[str], window: int, compare: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+#: Pairs compared at once.
+PAIRS_AT_ONCE = 1 << 19
+
+Compare = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _alike_pairs(group: pa.Table, ids: np.ndarray, pairs: list[np.ndarray], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """The ids of the pairs of row positions that pass ``compare``."""
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+    if len(i):
+        ok = compare(group, i, j)
+        a, b = ids[i[ok]], ids[j[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def neighbours(rows: DataFrame, *, keys: list[str], id: str, fields: list[str], window: int, compare: Compare) -> DataFrame:
     """``(a, b)``, a < b: ids of the pairs that lie within ``window`` of each other in any pass and pass ``compare``.
 
     ``rows``: one row per record and pass, with the sort key in ``keys``;
@@ -36,22 +51,18 @@ def neighbours(rows: DataFrame, *, keys: list[str], id: str, fields: list[str],
         ids = group.column("id").to_numpy()
         first = group.column("block")[0].as_py() * BLOCK
         ranks = group.column("rank").to_numpy()
-        found: list[np.ndarray] = []
+        pairs = []
         for lag in range(1, window + 1):
             i = np.arange(0, len(ids) - lag)
             # The later row decides which block compares the pair.
             i = i[(ranks[i + lag] >= first) & (ids[i] != ids[i + lag])]
-            if len(i):
-                ok = compare(group, i, i + lag)
-                found.append(np.stack([ids[i[ok]], ids[i[ok] + lag]]))
-        if found:
-            pairs = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
+            pairs.append(np.stack([i, i + lag]))
+        yield from _alike_pairs(group, ids, pairs, compare)
 
     return map_groups(spread, ["block"], ["rank"], search, "a bigint, b bigint").distinct()
 
 
-def blocked(rows: DataFrame, *, key: str, id: str, fields: list[str], compare: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def blocked(rows: DataFrame, *, key: str, id: str, fields: list[str], compare: Compare) -> DataFrame:
     """``(a, b)``, a < b: ids of all pairs of rows that share ``key`` and pass ``compare``, however far apart they sort.
 
     Keys must tell few records together. One with more than ``KEY_BLOCK`` rows
@@ -62,18 +73,27 @@ def blocked(rows: DataFrame, *, key: str, id: str, fields: list[str], compare: C
     sizes = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / KEY_BLOCK).cast("int").alias("_n"))
     own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    spread = keyed.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others)).select("key", "id", *fields, "own", "o.x", "o.y")
+    spread = keyed.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others))
+    # Small keys share a bucket, so that comparing is worth its start.
+    buckets = max(1, keyed.count() // BLOCK)
+    cell = F.xxhash64("key", "o.x", "o.y")
+    spread = spread.select("id", *fields, "own", "o.x", "o.y", cell.alias("cell"), F.pmod(cell, F.lit(buckets)).alias("bucket"))
 
     def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        apart = ids[i] < ids[j] if x == y else ids[i] != ids[j]
-        i, j = i[apart], j[apart]
-        if len(i):
-            ok = compare(group, i, j)
-            pairs = np.stack([ids[i[ok]], ids[j[ok]]])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
-
-    return map_groups(spread, ["key", "x", "y"], [], search, "a bigint, b bigint").distinct()
+        ids, own, cells = (group.column(c).to_numpy() for c in ("id", "own", "cell"))
+        one = group.column("x").to_numpy() == group.column("y").to_numpy()
+        pairs, held, lag = [], 0, 1
+        while True:
+            i = np.flatnonzero(cells[lag:] == cells[:-lag]) if lag < len(ids) else np.zeros(0, dtype=np.int64)
+            if not len(i):
+                break
+            # Of two blocks only the pairs across.
+            i = i[(ids[i] != ids[i + lag]) & (one[i] | (own[i] != own[i + lag]))]
+            pairs.append(np.stack([i, i + lag]))
+            held, lag = held + len(i), lag + 1
+            if held > PAIRS_AT_ONCE:
+                yield from _alike_pairs(group, ids, pairs, compare)
+                pairs, held = [], 0
+        yield from _alike_pairs(group, ids, pairs, compare)
+
+    return map_groups(spread, ["bucket"], ["cell", "id"], search, "a bigint, b bigint").distinct()
