@@ -175,3 +175,25 @@ def test_yield_puts_the_least_useful_first(spark):
     assert [s for s, _ in sorted(got.items(), key=lambda x: x[1]["position"])] == ["old", "none", "one", "red2", "red1"]
     assert (got["one"]["exclusive"], got["red1"]["exclusive"], got["one"]["seconds_per_useful"], got["none"]["seconds_per_useful"]) == (1, 0, 10.0, None)
     assert got["none"]["failures"] == 1 and got["old"]["status"] is None and got["none"]["status"] == "FALHA"
+
+
+def test_unknown_values_are_no_criteria(spark):
+    rows = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, None)], "i int, x double")
+    got = {r["i"]: r["s"] for r in rows.select("i", tables.scaled(F.col("x"), F.lit(10.0), F.lit(20.0), inverted=True).alias("s")).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: None}
+
+
+def test_view_of_a_dwelling(spark):
+    from vitrine.plans.view import listing_view, marked, scored
+
+    none = "id bigint, titulo string, bairro string, cidade string, quartos double, area_m2 double, preco double, custo_mensal_total double, custo_completo boolean, primeiro_visto date, ultimo_visto date"
+    dwellings = spark.createDataFrame([(1, None, "Centro", "Recife", 3.0, 50.0, 2000.0, 0.0, True, date(2026, 5, 2), date(2026, 5, 12)), (2, "t", None, None, None, None, None, 900.0, None, None, None)], none)
+    offers = spark.createDataFrame([(1, "u1", "a", 2000.0, ["f"], None, 1, None, None), (1, "u2", "b", 1800.0, ["f", "g"], "Rua A", None, None, 4), (None, "u3", "a", 1.0, None, None, None, None, None)], "id bigint, url string, site string, preco double, fotos array<string>, logradouro string, banheiros int, vagas int, andar int")
+    history = spark.createDataFrame([(1, date(2026, 8, 1), 2500.0), (1, date(2026, 8, 20), 2000.0), (1, date(2026, 8, 1), 2600.0)], "id bigint, day date, price double")
+    allowed = spark.createDataFrame([("Recife", "centro")], "cidade string, bairro string")
+    view = scored(listing_view(dwellings, offers, history, allowed=allowed, new_since="2026-05-01", conflicts=spark.createDataFrame([(1, "preco")], "id bigint, campo string")), rooms=3)
+    got = {r["id"]: r for r in marked(view, favourites=spark.createDataFrame([(2,)], "id bigint"), discarded=spark.createDataFrame([], "id bigint")).collect()}
+    one, two = got[1], got[2]
+    assert (one["titulo"], one["preco"], one["url"], one["sites"], one["fontes"], one["economia"], one["fotos"], one["logradouro"], one["banheiros"], one["andar"]) == ("Apartamento", 1800.0, "u2", ["a", "b"], 2, 200.0, ["f", "g"], "Rua A", 1, 4)
+    assert (one["queda"], one["queda_pct"], one["preco_m2"], one["dias"], one["novo"], one["no_recorte"], one["conflitos"], one["atende"]) == (700.0, 28, 36.0, 10, True, True, ["preco"], True)
+    assert (two["preco"], two["url"], two["sites"], two["fontes"], two["queda"], two["no_recorte"], two["novo"], two["favorito"], two["descartado"], two["atende"]) == (900.0, "#", [], 1, None, False, False, True, False, False)

@@ -32,9 +32,9 @@ def usable(lat: Column, lon: Column) -> Column:
 
 
 def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    """Great-circle distance on a sphere, in metres."""
+    """Great-circle distance on a sphere, in metres; null if a coordinate is."""
     h = F.pow(F.sin(F.radians(lat_b - lat_a) / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(F.radians(lon_b - lon_a) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

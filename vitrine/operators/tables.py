@@ -55,7 +55,8 @@ def first_per_key(rows: DataFrame, *, key: list[str], order: list[Column]) -> Da
 
 def scaled(column: Column, least: Column, most: Column, inverted: bool = False) -> Column:
     """Position within a range, clamped to 0..1; null if the range is empty or the value unknown."""
-    x = F.when(most > least, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (column - least) / (most - least))))
+    # greatest and least pass over nulls, so an unknown value is left out first.
+    x = F.when((most > least) & column.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (column - least) / (most - least))))
     return 1 - x if inverted else x
 
 

@@ -13,7 +13,9 @@ from vitrine.functions.urls import listing_key
 from vitrine.operators import resolution, tables
 from vitrine.operators.total_order import ranked
 from vitrine.plans.listing_query import ListingQuery, facet, pulse, scope_counts
+from vitrine.plans.view import listing_view, marked, scored
 from vitrine.queries.core_problems import KEY_SQL
+from vitrine.session import materialize
 from vitrine.sources.sinks import json_rows
 from vitrine.sources.tables import table
 
@@ -56,37 +58,52 @@ SELECT i.id, coalesce(i.preco, r.preco) AS preco, coalesce(i.area_m2, r.area_m2)
 """
 
 
-def _view(spark: SparkSession, folder: str) -> DataFrame:
-    """The listing view over the dwellings: what the interactive query reads."""
-    v = table(spark, folder, "imovel").dropDuplicates(["id"])
-    return v.select(
-        "id",
-        F.coalesce("titulo", F.lit("")).alias("titulo"),
-        F.coalesce("bairro", F.lit("")).alias("bairro"),
-        F.coalesce("cidade", F.lit("")).alias("cidade"),
-        F.lit("").alias("logradouro"),
-        F.array().cast("array<string>").alias("sites"),
-        "preco",
-        F.when(c("area_m2") > 0, F.round(c("preco") / c("area_m2"), 2)).alias("preco_m2"),
-        "area_m2",
-        "quartos",
-        F.datediff("ultimo_visto", "primeiro_visto").alias("dias"),
-        c("qtd_fontes").alias("fontes"),
-        F.coalesce("quartos", F.lit(0.0)).alias("score"),
-        (c("primeiro_visto") >= "2026-05-01").alias("novo"),
-        F.when(c("id") % 3 == 0, 10.0).alias("queda"),
-        F.coalesce(c("quartos") >= 4, F.lit(False)).alias("melhor"),
-        F.coalesce(c("quartos") >= 3, F.lit(False)).alias("atende"),
-        (slug(c("bairro")) != "centro").alias("no_recorte"),
-        (c("id") % 10 == 0).alias("favorito"),
-        (c("id") % 17 == 0).alias("descartado"),
-    )
+#: Day from which a dwelling is new, and the least rooms wanted, in the queries below.
+NEW_SINCE, ROOMS = "2026-05-01", 3
 
 
-_VIEW = """v AS (SELECT id, coalesce(titulo, '') AS titulo, coalesce(bairro, '') AS bairro, coalesce(cidade, '') AS cidade, preco, CASE WHEN area_m2 > 0 THEN round(preco / area_m2, 2) END AS preco_m2, area_m2, quartos,
- date_diff('day', primeiro_visto, ultimo_visto) AS dias, qtd_fontes AS fontes, coalesce(quartos, 0) AS score, primeiro_visto >= DATE '2026-05-01' AS novo, CASE WHEN id % 3 = 0 THEN 10.0 END AS queda,
- coalesce(quartos >= 4, false) AS melhor, coalesce(quartos >= 3, false) AS atende, trim(regexp_replace(strip_accents(lower(bairro)), '[^a-z0-9]+', '-', 'g'), '-') IS DISTINCT FROM 'centro' AS no_recorte,
- id % 10 = 0 AS favorito, id % 17 = 0 AS descartado FROM imovel)"""
+def _view(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing view over the dwellings, their listings, prices and conflicts: what the interactive query reads."""
+    links = table(spark, folder, "imovel_anuncio").select(c("imovel_id").alias("id"), listing_key(c("url")).alias("key")).distinct()
+    listings = _located(spark, folder).withColumn("key", listing_key(c("url")))
+    offers = links.join(listings, "key").select("id", "url", "site", F.when(c("preco") > 0, c("preco")).alias("preco"), "fotos", "logradouro", "banheiros", "vagas", "andar")
+    prices = table(spark, folder, "historico_precos").where("preco > 0").select(listing_key(c("url")).alias("key"), c("data").alias("day"), c("preco").alias("price"))
+    allowed = table(spark, folder, "imovel").groupBy("cidade", "bairro").count().where("count >= 5 and not contains(lower(bairro), 'jardim')")
+    conflicts = table(spark, folder, "conflito").select(c("imovel_id").alias("id"), "campo").distinct()
+    rows = listing_view(table(spark, folder, "imovel").dropDuplicates(["id"]), offers, links.join(prices, "key"), allowed=allowed, new_since=NEW_SINCE, conflicts=conflicts)
+    ids = table(spark, folder, "imovel").select("id")
+    # Marks are kept by the reader's own tool; every tenth and seventeenth dwelling stands in for them.
+    return marked(scored(materialize(rows, "view"), rooms=ROOMS), favourites=ids.where("id % 10 = 0"), discarded=ids.where("id % 17 = 0"))
+
+
+_SCALED = "CASE WHEN {hi} > {lo} THEN 1 - greatest(0.0, least(1.0, ({x} - {lo}) / ({hi} - {lo}))) END"
+_VIEW = f"""k AS (SELECT DISTINCT imovel_id AS id, {KEY_SQL.format(u="url")} AS k FROM imovel_anuncio),
+li AS (SELECT *, {KEY_SQL.format(u="url")} AS k, CASE WHEN preco > 0 THEN preco END AS p FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ultima_confirmacao) AS rn FROM imoveis WHERE url IS NOT NULL) WHERE rn = 1),
+o AS (SELECT id, min(p) AS pmin, max(p) AS pmax, count(DISTINCT site) AS f, count(*) AS anuncios, list_sort(list_distinct(list(site))) AS sites, arg_min(logradouro, {{'a': coalesce(p, 1e18), 'b': url}}) FILTER (WHERE logradouro IS NOT NULL) AS logradouro FROM k JOIN li USING (k) GROUP BY 1),
+hd AS (SELECT id, data, min(preco) AS preco FROM k JOIN (SELECT {KEY_SQL.format(u="url")} AS k, data, preco FROM historico_precos WHERE preco > 0 AND data IS NOT NULL) USING (k) GROUP BY 1, 2),
+hr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY data DESC) AS rn FROM hd),
+al AS (SELECT DISTINCT trim(cidade) AS cidade, trim(regexp_replace(strip_accents(lower(bairro)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT cidade, bairro FROM imovel GROUP BY 1, 2 HAVING count(*) >= 5 AND NOT contains(lower(bairro), 'jardim'))),
+b0 AS (SELECT i.id, coalesce(i.titulo, 'Apartamento') AS titulo, coalesce(i.bairro, '') AS bairro, coalesce(i.cidade, '') AS cidade, coalesce(o.logradouro, '') AS logradouro, coalesce(o.sites, []) AS sites, coalesce(o.pmin, nullif(i.custo_mensal_total, 0), i.preco) AS preco, i.area_m2, i.quartos,
+ coalesce(date_diff('day', i.primeiro_visto, i.ultimo_visto), 0) AS dias, coalesce(i.custo_completo, false) AS custo_completo, greatest(coalesce(o.f, 1), 1) AS fontes, coalesce(o.anuncios, 0) AS anuncios, coalesce(round(o.pmax - o.pmin, 2), 0) AS economia,
+ coalesce(i.primeiro_visto >= DATE '{NEW_SINCE}', false) AS novo, hr.preco AS antes, al.s IS NOT NULL AS no_recorte, i.id % 10 = 0 AS favorito, i.id % 17 = 0 AS descartado, coalesce(i.quartos >= {ROOMS}, false) AS atende
+ FROM imovel i LEFT JOIN o ON o.id = i.id LEFT JOIN hr ON hr.id = i.id AND hr.rn = 2 LEFT JOIN al ON al.cidade = trim(i.cidade) AND al.s <> '' AND al.s = trim(regexp_replace(strip_accents(lower(i.bairro)), '[^a-z0-9]+', '-', 'g'), '-')),
+b1 AS (SELECT *, CASE WHEN area_m2 > 0 THEN round(preco / area_m2, 2) END AS preco_m2, CASE WHEN antes > preco THEN round(antes - preco, 2) END AS queda FROM b0),
+ex AS (SELECT min(preco) AS c0, max(preco) AS c1, min(preco_m2) AS m0, max(preco_m2) AS m1 FROM b1),
+cr AS (SELECT b1.*, {_SCALED.format(x="preco", lo="c0", hi="c1")} AS s1, {_SCALED.format(x="preco_m2", lo="m0", hi="m1")} AS s2, CASE WHEN no_recorte THEN 1.0 ELSE 0.35 END::DOUBLE AS s3,
+ CASE WHEN custo_completo THEN 0.6 ELSE 0.0 END::DOUBLE + CASE WHEN fontes > 1 THEN 0.4 ELSE 0.0 END::DOUBLE AS s4, CASE WHEN novo THEN 0.6 ELSE 0.0 END::DOUBLE + CASE WHEN queda > 0 THEN 0.4 ELSE 0.0 END::DOUBLE AS s5 FROM b1, ex),
+sc AS (SELECT *, CAST(round_even(100 * (CASE WHEN preco IS NOT NULL THEN coalesce(s1, 0) * 1.0::DOUBLE ELSE 0 END + CASE WHEN preco_m2 IS NOT NULL THEN coalesce(s2, 0) * 0.8::DOUBLE ELSE 0 END + s3 * 1.0::DOUBLE + s4 * 0.5::DOUBLE + s5 * 0.3::DOUBLE)
+ / (CASE WHEN preco IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN preco_m2 IS NOT NULL THEN 0.8::DOUBLE ELSE 0 END + 1.8::DOUBLE) * CASE WHEN atende THEN 1.0 ELSE 0.55 END::DOUBLE, 0) AS INT) AS score FROM cr),
+tp AS (SELECT id FROM sc WHERE atende AND no_recorte AND score >= greatest(45, 1.25 * (SELECT avg(score) FROM sc)) ORDER BY score DESC, id LIMIT 3),
+v AS (SELECT *, id IN (SELECT id FROM tp) AS melhor FROM sc)"""
+
+
+def listing_view_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the listing view with their score."""
+    return _view(spark, folder).select("id", "titulo", "bairro", "logradouro", "preco", "preco_m2", "dias", "fontes", "anuncios", "economia", "novo", "queda", "no_recorte", "score", "melhor", "atende", "favorito", F.array_join("sites", "|").alias("portais"))
+
+
+VIEW_ROWS = f"""WITH {_VIEW} SELECT id, titulo, bairro, logradouro, preco, preco_m2, CAST(dias AS INT) AS dias, CAST(fontes AS INT) AS fontes, CAST(anuncios AS INT) AS anuncios, CAST(economia AS DOUBLE) AS economia, novo, queda, no_recorte, score, melhor, atende, favorito,
+ array_to_string(sites, '|') AS portais FROM v"""
 
 
 def _ranked(query: str):
@@ -347,10 +364,11 @@ JSON_DOCS = """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_nam
 QUERIES = {
     "verdict3": (verdict3, VERDICT3),
     "fill_from_best": (fill_from_best, FILL),
+    "listing_view": (listing_view_rows, VIEW_ROWS),
     "query_relevance": (_ranked(""), _ranked_sql("no_recorte", _RELEVANCE)),
     "query_price": (_ranked("ordem=preco&min=1500&quartos=2"), _ranked_sql("no_recorte AND preco >= 1500 AND quartos >= 2", "coalesce(preco, 1e9)")),
     "query_m2": (_ranked("ordem=m2&sinais=multi"), _ranked_sql("no_recorte AND fontes >= 2", "coalesce(preco_m2, 1e9)")),
-    "query_area": (_ranked("ordem=area&q=Apto&escopo=outros"), _ranked_sql("NOT no_recorte AND lower(titulo || ' ' || bairro || ' ' || cidade) LIKE '%apto%'", "coalesce(area_m2, 0) DESC")),
+    "query_area": (_ranked("ordem=area&q=Apto&escopo=outros"), _ranked_sql("NOT no_recorte AND lower(titulo || ' ' || bairro || ' ' || cidade || ' ' || logradouro || ' ' || array_to_string(sites, ' ')) LIKE '%apto%'", "coalesce(area_m2, 0) DESC")),
     "query_time": (_ranked("ordem=tempo&sinais=novos,quedas&escopo=favoritos"), _ranked_sql("favorito AND novo AND queda > 0", "coalesce(dias, 0)")),
     "market_pulse": (market_pulse, PULSE),
     "scope_counts": (scopes, SCOPES),
