@@ -181,7 +181,8 @@ def own_similarity(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     neither = F.col("l_building").isNull() & F.col("r_building").isNull()
     both = both.where((placed | neither) & _agree("l_rooms", "r_rooms") & _near(F.col("l_area"), F.col("r_area"), AREA))
     off = F.abs(F.col("l_area") / F.col("r_area") - 1) / AREA
-    price = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.log(F.col("l_price") / F.col("r_price"))) / 0.5), F.lit(0.5))
+    apart = F.abs(F.log(F.col("l_price") / F.col("r_price")))
+    price = F.when(apart.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - apart / 0.5))
     rooms = F.when(F.col("l_rooms") == F.col("r_rooms"), 1.0).otherwise(0.5)
     sure = F.coalesce(F.col("l_placed") * F.col("r_placed"), F.lit(UNPLACED)) * F.col("l_surveyed") * F.col("r_surveyed")
     rated = both.select("l", "r", neither.alias("neither"), (sure * (0.5 + 0.2 * (1 - off) + 0.15 * price + 0.15 * rooms)).alias("s"))
