@@ -13,6 +13,8 @@ from vitrine.operators.arrow_groups import map_groups
 
 #: Pieces aimed at per group; a group's unused space is at most about half a container more than one big group's.
 GROUP_PIECES = 50_000
+#: Sizes of containers at most.
+KINDS = 1_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -61,10 +63,14 @@ def pack(items: DataFrame, containers: DataFrame, *, group_pieces: int = GROUP_P
     ``group_pieces`` pieces each, packed independently; ids and piece numbers
     decide the cell, so equal inputs give equal packings. Items of null or
     negative size count as 0; ids may repeat (each row is an item); containers
-    without a positive capacity and null ids are left out.
+    without a positive capacity and null ids are left out. The containers are a
+    list of at most ``KINDS`` sizes, each of which all items are packed for;
+    more are refused.
     """
     sizes = items.where("id is not null").select("id", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).alias("size"))
-    kinds = containers.where("container is not null and capacity > 0").select("container", F.col("capacity").cast("bigint").alias("capacity")).distinct().collect()
+    kinds = containers.where("container is not null and capacity > 0").select("container", F.col("capacity").cast("bigint").alias("capacity")).distinct().limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
+        raise ValueError(f"at most {KINDS} sizes of containers")
     spark = items.sparkSession
     if not kinds:
         return spark.createDataFrame([], "container int, cell bigint, bin bigint, id bigint, piece int, start bigint, size bigint")

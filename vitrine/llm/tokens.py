@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary file of the tokenizer; it must lie at this path on every executor.
+#: Vocabulary file of the tokenizer at the driver; it is sent along with the job.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters handed to the tokenizer at once.
 CHARS_AT_ONCE = 1 << 20
 
 
 def _load(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -28,8 +27,13 @@ def _load(path: str):
 def token_counts(docs: DataFrame, *, id: Column, text: Column, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id, size)``: tokens of each whole text; null and empty texts have none. One row per input row."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _load(tokenizer)
+        from pyspark import SparkFiles
+
+        t = _load(SparkFiles.get(name))
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             sizes: list[int] = []
