@@ -67,21 +67,24 @@ def weighted_score(criteria: list[tuple[str, float, Column]]) -> Column:
     return 100 * F.try_divide(above, below)
 
 
-def affinity(rows: DataFrame, *, ranges: dict[str, tuple[str, float, bool]], flags: dict[str, tuple[Column, float]], penalty: Column, eligible: Column, badges: int = 3, floor: float = 45.0, above_mean: float = 1.25, ties: list[str]) -> DataFrame:
+def affinity(rows: DataFrame, *, ranges: dict[str, tuple[str, float, bool]], flags: dict[str, tuple[Column, float]], penalty: Column, eligible: Column, badges: int = 3, floor: float = 45.0, above_mean: float = 1.25, ties: list[str], preferred: Column | None = None) -> DataFrame:
     """``rows`` with ``score``, ``reasons`` and ``badge``, relative to the list itself.
 
     ``ranges``: criterion -> (column, weight, inverted), scaled between the
     list's least and greatest value; ``flags``: criterion -> (value 0..1,
     weight). Extremes and the mean are one-row aggregates read first, no
     global window. The score is multiplied by ``penalty``; the badge goes to
-    the first ``badges`` eligible rows that reach max(floor, above_mean x mean).
+    the first ``badges`` eligible rows that reach max(floor, above_mean x mean),
+    or, if badges are restricted to ``preferred`` rows, to the first of those,
+    whatever their score.
     """
     x = rows.agg(*[f(c).alias(f"{k}_{s}") for k, (c, _, _) in ranges.items() for s, f in (("lo", F.min), ("hi", F.max))]).first()
     criteria = [(k, w, scaled(F.col(c), F.lit(x[f"{k}_lo"]), F.lit(x[f"{k}_hi"]), inv)) for k, (c, w, inv) in ranges.items()] + [(k, w, v) for k, (v, w) in flags.items()]
     reasons = F.slice(F.array_compact(F.array(*[F.when(v >= 0.7, F.lit(k)) for k, _, v in criteria])), 1, 3)
     scored = rows.select(*rows.columns, F.bround(weighted_score(criteria) * penalty).cast("int").alias("score"), reasons.alias("reasons"), F.coalesce(eligible, F.lit(False)).alias("_eligible"))
     mean = scored.agg(F.avg("score")).first()[0] or 0.0
-    marked = scored.withColumn("_able", F.col("_eligible") & (F.col("score") >= max(floor, above_mean * mean)))
+    good = F.col("score") >= max(floor, above_mean * mean) if preferred is None else F.coalesce(preferred, F.lit(False))
+    marked = scored.withColumn("_able", F.col("_eligible") & good)
     top = marked.where("_able").orderBy(F.desc("score"), *ties).limit(badges).select(*ties, F.lit(True).alias("badge"))
     return marked.join(F.broadcast(top), ties, "left").withColumn("badge", F.coalesce("badge", F.lit(False))).drop("_eligible", "_able")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.urls import listing_key
-from vitrine.operators import changes, quality
+from vitrine.operators import bookkeeping, changes, quality
 from vitrine.operators.snapshot_changes import delivered_runs
 from vitrine.queries.core_problems import KEY_SQL
 from vitrine.session import bounded_lookup
@@ -238,6 +238,26 @@ SELECT *, CAST(row_number() OVER (ORDER BY useful, exclusive, seconds DESC, site
 """
 
 
+def source_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The yield of each source as bars against the best, the seconds spent for nothing, and warnings."""
+    return bookkeeping.yield_bars(source_yield(spark, folder)).select("site", "useful_bar", "exclusive_bar", "wasted", "warning")
+
+
+SOURCE_BARS = f"""
+WITH y AS ({SOURCE_YIELD}), b AS (SELECT max(useful) AS u, max(exclusive) AS e, CAST(coalesce(sum(seconds) FILTER (WHERE useful = 0), 0) AS DOUBLE) AS wasted FROM y)
+SELECT site, CAST(greatest(round_even(100 * useful / CAST(CASE WHEN u = 0 THEN 1 ELSE u END AS DOUBLE), 0), 2) AS INT) AS useful_bar, CAST(greatest(round_even(100 * exclusive / CAST(CASE WHEN e = 0 THEN 1 ELSE e END AS DOUBLE), 0), 2) AS INT) AS exclusive_bar, wasted,
+ useful = 0 AND seconds >= 20 AS warning FROM y, b
+"""
+
+
+def source_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of each run, those that delivered most first."""
+    return bookkeeping.source_summary(_source_runs(spark, folder), source="site", run="run", raw="raw").select("site", "run", "raw", "position")
+
+
+SOURCE_SUMMARY = f"""WITH {_SOURCE_RUNS} SELECT site, run, raw, CAST(row_number() OVER (PARTITION BY run ORDER BY raw DESC, site) AS INT) AS position FROM n"""
+
+
 def source_exclusive(spark: SparkSession, folder: str) -> DataFrame:
     """Orders that a single supplier serves, per supplier."""
     return quality.exclusive_entities(table(spark, folder, "lineitem"), entity="l_orderkey", source="l_suppkey").select("l_suppkey", "exclusive")
@@ -256,6 +276,8 @@ QUERIES = {
     "lifecycle": (lifecycle, LIFECYCLE),
     "lifecycle_events": (lifecycle_events, LIFECYCLE_EVENTS),
     "trust_gate": (trust_gate, TRUST_GATE),
+    "source_bars": (source_bars, SOURCE_BARS),
+    "source_summary": (source_summary, SOURCE_SUMMARY),
     "sanity_daily": (sanity_daily, SANITY_DAILY),
     "retention": (retention, RETENTION),
     "sanity_demotion": (sanity_demotion, SANITY),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.similarity import MatchPolicy
 from vitrine.functions.text import ABBREVIATIONS, slug
 from vitrine.functions.urls import listing_key
-from vitrine.operators import resolution, tables
+from vitrine.operators import bookkeeping, resolution, tables
 from vitrine.operators.total_order import ranked
 from vitrine.plans.listing_query import ListingQuery, facet, pulse, scope_counts
 from vitrine.plans.view import listing_view, marked, scored
@@ -316,6 +316,46 @@ def entity_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return resolution.clusters(scored, rows, id="url")
 
 
+def gallery_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings to look for photos of, of the dwellings that have few: the cheapest two."""
+    links = table(spark, folder, "imovel_anuncio").select(c("imovel_id").alias("id"), listing_key(c("url")).alias("key")).distinct()
+    offers = links.join(_located(spark, folder).withColumn("key", listing_key(c("url"))), "key")
+    own = offers.groupBy("id").agg(F.max_by("fotos", F.coalesce(F.size("fotos"), F.lit(0))).alias("fotos"))
+    return bookkeeping.gallery_candidates(own, offers.withColumn("p", F.coalesce("preco", F.lit(1e18))), entity="id", photos="fotos", url="url", order=["p"])
+
+
+CANDIDATES = f"""
+WITH k AS (SELECT DISTINCT imovel_id AS id, {KEY_SQL.format(u="url")} AS k FROM imovel_anuncio),
+l AS (SELECT *, {KEY_SQL.format(u="url")} AS k FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ultima_confirmacao) AS rn FROM imoveis WHERE url IS NOT NULL) WHERE rn = 1),
+o AS (SELECT id, url, coalesce(preco, 1e18) AS p, max(coalesce(len(fotos), 0)) OVER (PARTITION BY id) AS n FROM k JOIN l USING (k)),
+r AS (SELECT id, url, row_number() OVER (PARTITION BY id ORDER BY p, url) AS rn FROM o WHERE n < 5)
+SELECT id, url FROM r WHERE rn <= 2
+"""
+
+
+def entity_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Dwellings of which any listing of the first source in the alphabet is marked."""
+    links = table(spark, folder, "imovel_anuncio").select(c("imovel_id").alias("id"), listing_key(c("url")).alias("key")).distinct()
+    marks = table(spark, folder, "imoveis").where("site = 'Achei Morada'").select(listing_key(c("url")).alias("key"))
+    return bookkeeping.entity_marks(table(spark, folder, "imovel").select("id").distinct(), links, marks, entity="id", url="key")
+
+
+ENTITY_MARKS = f"""
+WITH m AS (SELECT DISTINCT {KEY_SQL.format(u="url")} AS k FROM imoveis WHERE site = 'Achei Morada')
+SELECT DISTINCT id, id IN (SELECT imovel_id FROM imovel_anuncio WHERE {KEY_SQL.format(u="url")} IN (SELECT k FROM m)) AS marcado FROM imovel
+"""
+
+
+def workbook(spark: SparkSession, folder: str) -> DataFrame:
+    """The dwellings as the workbook lists them."""
+    costs = table(spark, folder, "imovel").dropDuplicates(["id"]).select("id", c("preco").alias("aluguel"), "condominio", "iptu", "custo_mensal_total", "primeiro_visto")
+    return bookkeeping.workbook(_view(spark, folder).join(costs, "id")).select("ordem", "Novo?", "Fontes", "Título", "Bairro", "Custo completo?", "Visto 1ª vez em")
+
+
+WORKBOOK = f"""WITH {_VIEW} SELECT row_number() OVER (ORDER BY v.novo DESC, coalesce(v.preco, 0), v.id) AS ordem, CASE WHEN v.novo THEN 'SIM' ELSE '' END AS "Novo?", array_to_string(v.sites, ', ') AS "Fontes", v.titulo AS "Título",
+ CASE WHEN v.bairro = '' THEN 'Não Localizado' ELSE v.bairro END AS "Bairro", CASE WHEN v.custo_completo THEN 'SIM' ELSE 'NÃO' END AS "Custo completo?", coalesce(CAST(CAST(i.primeiro_visto AS DATE) AS VARCHAR), '') AS "Visto 1ª vez em" FROM v JOIN imovel i USING (id)"""
+
+
 def marks_union(spark: SparkSession, folder: str) -> DataFrame:
     """Union of two mark tables over the customers; the local one wins."""
     cu = table(spark, folder, "customer")
@@ -365,6 +405,9 @@ QUERIES = {
     "verdict3": (verdict3, VERDICT3),
     "fill_from_best": (fill_from_best, FILL),
     "listing_view": (listing_view_rows, VIEW_ROWS),
+    "gallery_candidates": (gallery_candidates, CANDIDATES),
+    "entity_marks": (entity_marks, ENTITY_MARKS),
+    "workbook": (workbook, WORKBOOK),
     "query_relevance": (_ranked(""), _ranked_sql("no_recorte", _RELEVANCE)),
     "query_price": (_ranked("ordem=preco&min=1500&quartos=2"), _ranked_sql("no_recorte AND preco >= 1500 AND quartos >= 2", "coalesce(preco, 1e9)")),
     "query_m2": (_ranked("ordem=m2&sinais=multi"), _ranked_sql("no_recorte AND fontes >= 2", "coalesce(preco_m2, 1e9)")),
