@@ -66,3 +66,14 @@ def test_addresses_marks_and_search(spark, tmp_path):
     (tmp_path / "l.json").write_text('["u1"]')
     assert [tuple(r) for r in read_marks(spark, str(tmp_path / "l.json")).collect()] == [("u1", "")]
     assert search_url("https://x/?ps={preco_min}&pf={preco_max}", least=0, most=2500) == "https://x/?pf=2500"
+
+
+def test_rendered_cards(spark):
+    from vitrine.sources.cards import rendered_cards
+
+    card = lambda n, more="": f'<section><div><a href="/imovel/{n}"><img src="/f{n}.jpg"></a><div><a href="/imovel/{n}">2 quartos</a><p>R$ {n}00</p></div></div><span>Recife, Torre{more}</span></section>'
+    html = "<ul>" + card(1) + card(2, "x" * 700) + '<p><a href="/imovel/3">so o link</a></p>' + "</ul>"
+    got = {r["href"][-1]: r["text"] for r in rendered_cards(spark.createDataFrame([("https://x.example/l", html), (None, None)], "u string, h string"), url="u", html="h", containing="/imovel/").collect()}
+    # The price of its own card only; the place one level above where that is short; a list is no card.
+    assert got["1"].split("\n") == ["2 quartos", "R$ 100", "Recife, Torre"]
+    assert got["2"].split("\n") == ["2 quartos", "R$ 200"] and got["3"] == "so o link"

@@ -14,6 +14,8 @@ from vitrine.sources.pages import DECORATION
 
 #: Characters a card may have, and levels between a link and its card.
 CARD_CHARS, CARD_LEVELS, PHOTO_LEVELS = 1500, 6, 4
+#: The same of a rendered page's card, and characters up to which the level above a price is still the card.
+RENDERED_CHARS, RENDERED_LEVELS, ABOVE_CHARS = 4000, 6, 600
 # Elements without an end tag.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
@@ -103,6 +105,54 @@ def _cards(page: str, base: str, containing: str, mark: str) -> list[tuple]:
     return list(out.values())
 
 
+def _rendered(page: str, base: str, containing: str, mark: str) -> list[tuple]:
+    tree = _Tree()
+    tree.feed(page)
+
+    def listings(node: _Node) -> set[str]:
+        return {urljoin(base, x.attrs["href"]) for x in node.nodes() if x.tag == "a" and containing in (x.attrs.get("href") or "")}
+
+    out: dict[str, tuple] = {}
+    for link in tree.root.nodes():
+        href = (link.attrs.get("href") or "") if link.tag == "a" else ""
+        full = urljoin(base, href)
+        if containing not in href or not href or full in out:
+            continue
+        block, text = link, link.text()
+        for _ in range(RENDERED_LEVELS):
+            above = block.parent
+            if above is None or len(above.text()) > RENDERED_CHARS or len(listings(above)) > 1:
+                break
+            block, text = above, above.text()
+            if mark in text:
+                # What stands around a price may belong to the card as well.
+                wider = block.parent
+                if wider is not None and len(text) < len(wider.text()) <= ABOVE_CHARS and len(listings(wider)) <= 1:
+                    text = wider.text()
+                break
+        out[full] = (full, text, _photo(block, base))
+    return list(out.values())
+
+
+def rendered_cards(pages: DataFrame, *, url: str, html: str, containing: str, mark: str = "R$") -> DataFrame:
+    """``(page, href, text, photo)``: one card per listing link of a rendered page, from the link's first occurrence.
+
+    From the link upwards, at most ``RENDERED_LEVELS`` levels and
+    ``RENDERED_CHARS`` characters, to the first element that shows a price; an
+    element with links to several listings is a list and no card. One level
+    more is taken if it is no list and has at most ``ABOVE_CHARS`` characters.
+    """
+    return _read(pages, _rendered, url, html, containing, mark)
+
+
+def _read(pages: DataFrame, cards, url: str, html: str, containing: str, mark: str) -> DataFrame:
+    def read(urls: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([cards(t, u or "", containing, mark) if t else [] for u, t in zip(urls, texts, strict=True)])
+
+    kind = "array<struct<href:string,text:string,photo:string>>"
+    return pages.select(F.col(url).alias("page"), F.explode(F.pandas_udf(read, kind)(F.col(url), F.col(html))).alias("c")).select("page", "c.href", "c.text", "c.photo")
+
+
 def page_cards(pages: DataFrame, *, url: str, html: str, containing: str, mark: str = "R$") -> DataFrame:
     """``(page, href, text, photo)``: one card per listing link.
 
@@ -111,8 +161,4 @@ def page_cards(pages: DataFrame, *, url: str, html: str, containing: str, mark:
     text; of several cards of a link the longest stays. Null pages have none.
     """
 
-    def read(urls: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_cards(t, u or "", containing, mark) if t else [] for u, t in zip(urls, texts, strict=True)])
-
-    kind = "array<struct<href:string,text:string,photo:string>>"
-    return pages.select(F.col(url).alias("page"), F.explode(F.pandas_udf(read, kind)(F.col(url), F.col(html))).alias("c")).select("page", "c.href", "c.text", "c.photo")
+    return _read(pages, _cards, url, html, containing, mark)
