@@ -115,3 +115,19 @@ def test_listing_key_keeps_what_names_the_page(spark):
 def test_page_url(spark):
     make = lambda base, n: one(spark, lambda x: urls.page_url(x, F.lit(n)), base)
     assert (make("https://a/x", 1), make("https://a/x", 2), make("https://a/x?b=1", 2), make("https://a/{n}", 3)) == ("https://a/x", "https://a/x?pagina=2", "https://a/x?b=1&pagina=2", "https://a/3")
+
+
+def test_cascade_of_places(spark):
+    g = places.gazetteer(spark.createDataFrame([("Boa Vista",), ("Casa Caiada",), ("Pina",)], "n string"), F.col("n"))
+    rows = spark.createDataFrame([(1, "pina", "https://x/casa-caiada/1", None), (2, None, "https://x/casa-caiada/1", "Boa Vista"), (3, None, "https://x/1", "Rua A\nBoa Vista, Recife"), (4, None, "https://x/1", "Bairro: Pina"), (5, None, None, "perto de Boa Vista"), (6, None, None, None)], "i int, b string, u string, t string")
+    got = {r["i"]: r["p"] for r in rows.select("i", places.best_place(F.col("b"), F.col("u"), F.col("t"), g, ["Recife"]).alias("p")).collect()}
+    assert got == {1: "Pina", 2: "Casa Caiada", 3: "Boa Vista", 4: "Pina", 5: None, 6: None}
+    towns = places.cities_by_slug(spark.createDataFrame([("São José", "Recife"), ("sao jose", "Olinda")], "place string, city string"))
+    assert [tuple(r) for r in towns.collect()] == [("sao-jose", "Olinda")]
+
+
+def test_columns_conform(spark):
+    from vitrine.sources.tables import conform
+
+    schema = spark.createDataFrame([], "a bigint, b string, c double").schema
+    assert [tuple(r) for r in conform(spark.createDataFrame([(1, "9", True)], "a int, b string, z boolean"), schema).collect()] == [(1, "9", None)]

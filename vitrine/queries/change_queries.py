@@ -258,6 +258,17 @@ def source_summary(spark: SparkSession, folder: str) -> DataFrame:
 SOURCE_SUMMARY = f"""WITH {_SOURCE_RUNS} SELECT site, run, raw, CAST(row_number() OVER (PARTITION BY run ORDER BY raw DESC, site) AS INT) AS position FROM n"""
 
 
+def run_health(spark: SparkSession, folder: str) -> DataFrame:
+    """Each run with the sources that went wrong in it."""
+    return quality.run_health(sanity_demotion(spark, folder), run="run", status="status", source="site").select("run", "status", "ok", F.array_join("degraded", "|").alias("degraded"))
+
+
+RUN_HEALTH = f"""
+WITH s AS ({SANITY}), g AS (SELECT run, count(*) FILTER (WHERE status = 'OK') AS ok, coalesce(list_sort(list_distinct(list(site) FILTER (WHERE status IN ('FALHA', 'BLOQUEADO', 'PARCIAL')))), []) AS d FROM s GROUP BY 1)
+SELECT run, CASE WHEN len(d) > 0 THEN 'PARCIAL' ELSE 'OK' END AS status, ok, array_to_string(d, '|') AS degraded FROM g
+"""
+
+
 def source_exclusive(spark: SparkSession, folder: str) -> DataFrame:
     """Orders that a single supplier serves, per supplier."""
     return quality.exclusive_entities(table(spark, folder, "lineitem"), entity="l_orderkey", source="l_suppkey").select("l_suppkey", "exclusive")
@@ -276,6 +287,7 @@ QUERIES = {
     "lifecycle": (lifecycle, LIFECYCLE),
     "lifecycle_events": (lifecycle_events, LIFECYCLE_EVENTS),
     "trust_gate": (trust_gate, TRUST_GATE),
+    "run_health": (run_health, RUN_HEALTH),
     "source_bars": (source_bars, SOURCE_BARS),
     "source_summary": (source_summary, SOURCE_SUMMARY),
     "sanity_daily": (sanity_daily, SANITY_DAILY),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.similarity import MatchPolicy
-from vitrine.functions.text import ABBREVIATIONS, slug
+from vitrine.functions.text import ABBREVIATIONS, is_dwelling, is_recent
 from vitrine.functions.urls import listing_key
 from vitrine.operators import bookkeeping, resolution, tables
 from vitrine.operators.total_order import ranked
-from vitrine.plans.listing_query import ListingQuery, facet, pulse, scope_counts
+from vitrine.plans.listing_query import ListingQuery, badges, facet, pulse, scope_counts
+from vitrine.plans.pipeline import entities_of
 from vitrine.plans.view import listing_view, marked, scored
 from vitrine.queries.core_problems import KEY_SQL
 from vitrine.session import materialize
@@ -356,6 +357,43 @@ WORKBOOK = f"""WITH {_VIEW} SELECT row_number() OVER (ORDER BY v.novo DESC, coal
  CASE WHEN v.bairro = '' THEN 'Não Localizado' ELSE v.bairro END AS "Bairro", CASE WHEN v.custo_completo THEN 'SIM' ELSE 'NÃO' END AS "Custo completo?", coalesce(CAST(CAST(i.primeiro_visto AS DATE) AS VARCHAR), '') AS "Visto 1ª vez em" FROM v JOIN imovel i USING (id)"""
 
 
+def card_badges(spark: SparkSession, folder: str) -> DataFrame:
+    """The marks of each dwelling's card."""
+    return badges(_view(spark, folder)).select("id", F.array_join("selos", "|").alias("selos"), F.array_join("contexto", "|").alias("contexto"))
+
+
+BADGES = f"""WITH {_VIEW} SELECT id, array_to_string(list_filter([CASE WHEN queda > 0 THEN 'queda' END, CASE WHEN novo THEN 'novo' END, CASE WHEN melhor THEN 'melhor' END], lambda x: x IS NOT NULL)[1:2], '|') AS selos,
+ array_to_string(list_filter([CASE WHEN fontes > 1 THEN 'multi' END, CASE WHEN dias > 60 THEN 'antigo' END], lambda x: x IS NOT NULL), '|') AS contexto FROM v"""
+
+
+def entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The dwellings of the linked listings: sources, spread of prices, days on the market."""
+    batch = _offers(spark, folder)
+    links, found, _ = entities_of(batch.drop("entity", "key", "ord"), batch.select(c("url").alias("id"), c("entity").cast("string").alias("cluster")))
+    named = links.join(batch.select("url", "entity"), "url").groupBy("imovel_id").agg(F.min("entity").alias("entity"), F.count("*").alias("anuncios_n"))
+    return found.join(named, "imovel_id").select("entity", "anuncios_n", "qtd_fontes", "custo_completo", "preco_min", "economia", "dias_anunciado", F.array_join("sites", "|").alias("portais"))
+
+
+ENTITIES = f"""
+WITH {_OFFERS_SQL}
+SELECT entity, count(*) AS anuncios_n, CAST(count(DISTINCT site) + CASE WHEN bool_or(site IS NULL) THEN 1 ELSE 0 END AS INT) AS qtd_fontes, bool_or(custo_completo) AS custo_completo, min(preco) AS preco_min, round(max(preco) - min(preco), 2) AS economia,
+ CAST(date_diff('day', min(primeiro_visto), max(ultimo_visto)) AS INT) AS dias_anunciado, coalesce(array_to_string(list_sort(list_distinct(list(site) FILTER (WHERE site IS NOT NULL))), '|'), '') AS portais FROM l JOIN y USING (k) GROUP BY 1
+"""
+
+
+def accepted_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings whose title names a dwelling, and whether they were seen within 30 days of a day."""
+    rows = table(spark, folder, "imoveis").where("url is not null").groupBy("url").agg(F.max("titulo").alias("titulo"), F.max("ultimo_visto").alias("d"))
+    room = F.when(F.pmod(F.length("url"), F.lit(9)) == 0, F.concat(F.lit("Sala  Comercial - "), "titulo")).otherwise(c("titulo"))
+    return rows.select("url", is_dwelling(room).alias("moradia"), is_recent(c("d"), F.lit("2026-05-28").cast("date")).alias("recente"))
+
+
+ACCEPTED = """
+WITH r AS (SELECT url, max(titulo) AS t, max(ultimo_visto) AS d FROM imoveis WHERE url IS NOT NULL GROUP BY 1)
+SELECT url, NOT coalesce(length(url) % 9 = 0 AND t IS NOT NULL OR regexp_matches(t, '(?i)(^|[^a-z])(galp[aã]o|terreno|consult[oó]rio|ponto\\s+comercial)([^a-z]|$)'), false) AS moradia, coalesce(date_diff('day', d, DATE '2026-05-28') <= 30, true) AS recente FROM r
+"""
+
+
 def marks_union(spark: SparkSession, folder: str) -> DataFrame:
     """Union of two mark tables over the customers; the local one wins."""
     cu = table(spark, folder, "customer")
@@ -405,6 +443,9 @@ QUERIES = {
     "verdict3": (verdict3, VERDICT3),
     "fill_from_best": (fill_from_best, FILL),
     "listing_view": (listing_view_rows, VIEW_ROWS),
+    "card_badges": (card_badges, BADGES),
+    "entities": (entities, ENTITIES),
+    "accepted_titles": (accepted_titles, ACCEPTED),
     "gallery_candidates": (gallery_candidates, CANDIDATES),
     "entity_marks": (entity_marks, ENTITY_MARKS),
     "workbook": (workbook, WORKBOOK),
