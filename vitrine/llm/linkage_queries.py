@@ -11,22 +11,24 @@ from vitrine.llm.linkage import link
 from vitrine.session import materialize
 from vitrine.sources.tables import table
 
-#: Least monthly price per square metre that is taken for real; below it the area has a slipped decimal point.
-PRICE_PER_M2 = 8.0
-#: Most square metres per room that are taken for real where there is no price.
-M2_PER_ROOM = 150.0
+#: Relative difference from which the area said in the description counts instead of the field.
+SAID_APART = 0.2
 
 
-def _area(area, text, price, rooms):
-    """The area in square metres, from the description where the field is empty or far off, with slipped decimal points set right."""
+def _said_area(area, text):
+    """The area in square metres, from the description where the field is empty or far off."""
     said = F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)\s*m[²2]", 1)
     said = F.replace(F.nullif(said, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
     given = F.when(area > 0, area)
-    best = F.when(given.isNull() | (F.abs(said / given - 1) > 0.2), said)
-    best = F.coalesce(best, given)
-    rate = price / best
-    by_price = F.when(rate < PRICE_PER_M2 / 10, best / 100).when(rate < PRICE_PER_M2, best / 10).otherwise(best)
-    return F.when(price > 1, by_price).when(best / F.greatest(F.coalesce(rooms, F.lit(1)), F.lit(1)) > M2_PER_ROOM, best / 10).otherwise(best)
+    return F.coalesce(F.when(given.isNull() | (F.abs(said / given - 1) > SAID_APART), said), given)
+
+
+def _unslipped(listings: DataFrame) -> DataFrame:
+    """``listings`` with decimal points of ``area`` set right: by as many places as price per square metre, or without a price square metres per room, are off the table's medians."""
+    rate, spread = F.col("price") / F.col("area"), F.col("area") / F.greatest(F.coalesce("rooms", F.lit(1)), F.lit(1))
+    usual = listings.where("area > 0").agg(F.percentile_approx(F.when(F.col("price") > 1, rate), 0.5).alias("rate"), F.percentile_approx(spread, 0.5).alias("spread")).first()
+    off = F.when(F.col("price") > 1, F.log10(F.lit(usual["rate"]) / rate)).otherwise(F.log10(spread / F.lit(usual["spread"])))
+    return listings.withColumn("area", F.col("area") / F.pow(F.lit(10.0), F.greatest(F.round(F.coalesce(off, F.lit(0.0))), F.lit(0.0))))
 
 
 def _number(name: str):
@@ -48,9 +50,9 @@ def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     left = fichas.select(F.concat(F.lit("F"), c("ficha_id").cast("string")).alias("id"), lat, lon, c("quartos").alias("rooms"), F.when(c("area_privativa") > 0, c("area_privativa")).alias("area"), _number("valor_pedido").alias("price"), F.lit(None).cast("int").alias("floor"), F.lit(None).cast("double").alias("fee"), F.lit(None).cast("double").alias("tax"))
     price = F.coalesce(F.when(_number("preco") > 1, _number("preco")), _number("aluguel"))
     listings = table(spark, folder, "imoveis").where("url is not null").select(
-        F.concat(F.lit("L"), "url").alias("id"), lat, lon, c("quartos").alias("rooms"), _area(_number("area_m2"), c("descricao"), price, c("quartos")).alias("area"), price.alias("price"), c("andar").alias("floor"), _number("condominio").alias("fee"), _number("iptu").alias("tax")
+        F.concat(F.lit("L"), "url").alias("id"), lat, lon, c("quartos").alias("rooms"), _said_area(_number("area_m2"), c("descricao")).alias("area"), price.alias("price"), c("andar").alias("floor"), _number("condominio").alias("fee"), _number("iptu").alias("tax")
     )
-    right = listings.dropDuplicates(["id"])
+    right = _unslipped(listings.dropDuplicates(["id"]))
     matches = link(left.join(located, "id"), right.join(located, "id"))
     return matches.select(F.substring("r", 2, 100_000).alias("url"), F.substring("l", 2, 30).cast("bigint").alias("ficha_id"), F.col("confidence").alias("confianca"))
 
