@@ -131,3 +131,11 @@ def test_columns_conform(spark):
 
     schema = spark.createDataFrame([], "a bigint, b string, c double").schema
     assert [tuple(r) for r in conform(spark.createDataFrame([(1, "9", True)], "a int, b string, z boolean"), schema).collect()] == [(1, "9", None)]
+
+
+def test_places_by_join_equal_places_by_trial(spark):
+    names = spark.createDataFrame([("Boa Vista",), ("Boa Vista do Sul",), ("Pina",), ("Vista do",), (None,), ("-",)], "n string")
+    rows = spark.createDataFrame([("https://x/boa-vista_do/sul/1", 1), ("https://x/pina", 2), ("https://x/pinado", 3), ("https://x/Boa_Vista-pina", 4), (None, 5), ("", 6), ("https://x/vista--do", 7), ("https://x/pina", 8)], "u string, _p int")
+    g = places.gazetteer(names, F.col("n"))
+    want = {r["_p"]: r["w"] for r in rows.select("_p", places.place_in_slug(F.col("u"), g).alias("w")).collect()}
+    assert {r["_p"]: r["place"] for r in places.places_in_slugs(rows, names, url="u", name="n").collect()} == want == {1: "Boa Vista do Sul", 2: "Pina", 3: None, 4: "Boa Vista", 5: None, 6: None, 7: "Vista do", 8: "Pina"}

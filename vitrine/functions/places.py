@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import slug, strip_accents
+from vitrine.session import bounded_lookup
 
 # Slugs of the cities covered, the beginning of one with several spellings.
 CITIES = {
@@ -49,6 +50,24 @@ def place_in_slug(url: Column, names: Column) -> Column:
     return _longest(names, lambda n: F.contains(framed, F.concat(F.lit("/"), F.replace(n["slug"], F.lit("-"), F.lit("/")), F.lit("/"))))
 
 
+def places_in_slugs(rows: DataFrame, names: DataFrame, *, url: str, name: str) -> DataFrame:
+    """``rows`` with ``place``: the longest of ``names`` between separators in an address, as :func:`place_in_slug` finds it, for any number of names.
+
+    Runs of the address's parts, up to the longest name's, are looked up by an
+    equi join instead of every name being tried on every row; a list of few
+    names is broadcast. ``rows`` are taken by their distinct addresses.
+    """
+    known = names.select(slug(F.col(name)).alias("_slug"), F.col(name).alias("_name")).where("_slug <> ''").groupBy("_slug").agg(F.min("_name").alias("_name"))
+    most = known.agg(F.max(F.size(F.split("_slug", "-")))).first()[0] or 1
+    parts = F.filter(F.split(F.lower(strip_accents(F.col(url))), "[/_-]+"), lambda x: x != "")
+    asked = rows.select(F.col(url).alias("_url"), parts.alias("_p")).where("_url is not null").distinct()
+    starts = F.sequence(F.lit(1), F.size("_p"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("_p") - i + 1)), lambda n: F.array_join(F.slice("_p", i, n), "-"))))
+    met = asked.where(F.size("_p") > 0).select("_url", F.explode(F.array_distinct(runs)).alias("_slug")).join(bounded_lookup(known), "_slug")
+    best = met.groupBy("_url").agg(F.min_by("_name", F.struct((-F.length("_slug")).alias("n"), "_slug")).alias("place"))
+    return rows.join(best, F.col(url) == F.col("_url"), "left").drop("_url")
+
+
 def canonical_place(text: Column, names: Column) -> Column:
     """The longest name that the text is or ends with (names of at least ``SHORTEST`` letters)."""
     bare = F.replace(slug(text), F.lit("-"), F.lit(""))

@@ -116,8 +116,8 @@ SELECT DISTINCT url, lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', '
 def places_from_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbourhood in each listing's address, the longest name wins."""
     rows = table(spark, folder, "imoveis")
-    names = places.gazetteer(rows.groupBy("bairro").count().where("count >= 2 and not contains(bairro, '.')"), c("bairro"))
-    return rows.select("url").distinct().select("url", text.slug(places.place_in_slug(c("url"), names)).alias("bairro_slug"))
+    names = rows.groupBy("bairro").count().where("count >= 2 and not contains(bairro, '.')")
+    return places.places_in_slugs(rows.select("url").distinct(), names, url="url", name="bairro").select("url", text.slug(c("place")).alias("bairro_slug"))
 
 
 PLACES = """
