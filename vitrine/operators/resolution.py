@@ -160,11 +160,13 @@ def consolidated(values: DataFrame, *, numeric: list[str], trust: DataFrame | No
     trusted = given.join(trust, "source", "left") if trust is not None else given.withColumn("trust", F.lit(None).cast("double"))
     trusted = trusted.withColumn("trust", F.coalesce("trust", F.lit(default_trust)))
     said = trusted.groupBy("entity", "field", "same").agg(F.count("*").alias("n"), F.min(F.struct("ord", "value")).alias("first"))
-    top = said.groupBy("entity", "field").agg(F.max(F.struct("n", (-F.col("first.ord")).alias("o"), F.col("first.value").alias("value"))).alias("top"), F.count("*").alias("distinct"), F.sort_array(F.collect_list("n"), asc=False).alias("counts"))
+    # How many values are said n times, so that a tie shows without holding all counts of a field.
+    often = said.groupBy("entity", "field", "n").agg(F.count("*").alias("k"), F.min("first").alias("first"))
+    top = often.groupBy("entity", "field").agg(F.max(F.struct("n", "k", F.col("first.value").alias("value"))).alias("top"), F.sum("k").alias("distinct"))
     all_values = trusted.groupBy("entity", "field").agg(F.expr("percentile(amount, 0.5)").alias("median"), F.max(F.struct("trust", (-F.col("ord")).alias("o"), "value")).alias("best"))
     last = trusted.groupBy("entity", "field", "source").agg(F.max(F.struct("ord", "value")).alias("v")).groupBy("entity", "field").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", F.col("v.value").alias("value"))))).alias("offered"))
     both = top.join(all_values, ["entity", "field"]).join(last, ["entity", "field"])
-    majority = (F.col("top.n") > 1) & (F.coalesce(F.get("counts", F.lit(1)), F.lit(0)) < F.col("top.n"))
+    majority = (F.col("top.n") > 1) & (F.col("top.k") == 1)
     value = F.when((F.col("distinct") == 1) | majority, F.col("top.value")).when(F.col("median").isNotNull(), F.format_string("%.2f", "median")).otherwise(F.col("best.value"))
     criterion = F.when(F.col("distinct") == 1, F.lit(None).cast("string")).when(majority, "maioria").when(F.col("median").isNotNull(), "mediana").otherwise("fonte_mais_confiavel")
     return both.select("entity", "field", value.alias("value"), criterion.alias("criterion"), F.when(F.col("distinct") > 1, F.col("offered")).alias("offered"))
