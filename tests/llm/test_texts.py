@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.llm import languages
 from vitrine.llm.languages import LANGUAGES, SMOOTHING, Scorer, identified, log_priors, log_table, stretches, to_correct
 from vitrine.llm.leakage import contained, leaked, passages
-from vitrine.llm.words import mended, sentences, words
+from vitrine.llm.words import folded, mended, sentences, words, written_words
 
 
 def test_words():
@@ -24,6 +24,15 @@ def noisy(text, every):
     return " ".join("xxxx" if i % every == every - 1 else x for i, x in enumerate(w))
 
 
+def test_words_as_written_fold_to_the_same_words():
+    rnd = random.Random(11)
+    letters = "aAçÇãÃéÉñüßİŒœøÅÅﬁªº²e\u0301n\u0303x\u0336 .,-_'\"!\n<b>&eacute;09٣한글ΩѢ"
+    for _ in range(3000):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randrange(40)))
+        assert [folded(w) for w in written_words(t)] == words(t), t
+        assert [[folded(w) for w in s] for s in stretches(t, fold=False)] == stretches(t), t
+
+
 def test_contained():
     item = sentences(ITEM)
     assert contained(item, set(), words(ITEM)) == 1.0

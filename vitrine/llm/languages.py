@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.words import folded, visible
+from vitrine.llm.words import folded, has_marks, visible
 from vitrine.session import bounded_lookup, materialize
 
 LANGUAGES = ["pt", "es", "en", "fr", "it", "de"]
@@ -52,9 +52,11 @@ _END = re.compile(
 )
 
 
-def stretches(text: str | None) -> list[list[str]]:
+def stretches(text: str | None, fold: bool = True) -> list[list[str]]:
     """The words of each sentence-like stretch; asides, addresses, numbers and markup left out.
 
+    Without ``fold`` the words stay as written, for readers that remember what they folded.
+
     A full stop ends a stretch even if it is an abbreviation's: what follows is
     a stretch of the same language, or too short to count. A line break does so
     behind punctuation, or before a capital or a list mark; dashes, slashes and
@@ -65,12 +67,15 @@ def stretches(text: str | None) -> list[list[str]]:
     text = visible(text)
     text = _ASIDE.sub(lambda m: " " if len(_WORD.findall(m[0])) <= ASIDE_WORDS else ". " + m[0][1:-1] + ". ", text)
     text = _ADDRESS.sub(" ", text).replace("\0", " ")
-    return [w for s in folded("\0".join(_END.split(text))).split("\0") if (w := _WORD.findall(s))]
+    pieces = _END.split(text)
+    if fold or has_marks(text):
+        pieces = folded("\0".join(pieces)).split("\0")
+    return [w for s in pieces if (w := _WORD.findall(s))]
 
 
 def features(word: str) -> np.ndarray:
-    """Buckets of a word, of its beginning and end, and of its runs of three letters."""
-    framed = f"<{word}>"
+    """Buckets of a word in plain form, of its beginning and end, and of its runs of three letters."""
+    framed = f"<{folded(word)}>"
     parts = [framed, "^" + framed[:4], "$" + framed[-4:], *[framed[i : i + 3] for i in range(len(framed) - 2)]]
     return np.array([xxhash.xxh32_intdigest(p) % BUCKETS for p in parts], dtype=np.int32)
 
@@ -220,7 +225,7 @@ def trained(texts: DataFrame) -> np.ndarray:
 
     def by_label(b: pa.RecordBatch, counter: Counter) -> None:
         for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for s in stretches(text):
+            for s in stretches(text, fold=False):
                 counter.add(s, label)
 
     rows = texts.select("label", "text")
@@ -232,7 +237,7 @@ def trained(texts: DataFrame) -> np.ndarray:
 
         def add(b: pa.RecordBatch, counter: Counter) -> None:
             for text in b.column(1).to_pylist():
-                for s in stretches(text):
+                for s in stretches(text, fold=False):
                     if len(s) >= SENTENCE_WORDS:
                         v = score.each(s).sum(axis=0)
                         best = int(v.argmax())
@@ -300,7 +305,7 @@ def identified(documents: DataFrame, *, doc: Column, text: Column, label: Column
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            per_doc = [stretches(t) for t in b.column(4).to_pylist()]
+            per_doc = [stretches(t, fold=False) for t in b.column(4).to_pylist()]
             read = iter(scorer.read([s for d in per_doc for s in d]))
             parts = [[p for _ in d for p in next(read)] for d in per_doc]
             flat = [p for d in parts for p in d]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.words import sentences, words
+from vitrine.llm.words import folded, sentences, words, written_words
 from vitrine.session import materialize
 
 #: Share of an item's words that must stand in a document.
@@ -37,7 +37,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hasher:
-    """Hashes of runs of words; a word is hashed once."""
+    """Hashes of runs of words, whatever their case and accents; a word is folded and hashed once."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -50,7 +50,7 @@ class Hasher:
         for w in tokens:
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
+                h = known[w] = xxhash.xxh64_intdigest(folded(w))
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
@@ -370,7 +370,7 @@ def _search(texts: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
         for b in batches:
             copies, sizes, found = [], [], []
             for t in b.column(1).to_pylist():
-                w = words(t)
+                w = written_words(t)
                 hashed = hasher.words(w)
                 runs = np.concatenate([hasher.runs(hashed, SEED), hasher.runs(hashed, STOCK)])
                 at = np.searchsorted(keys, runs)
@@ -385,8 +385,8 @@ def _search(texts: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
     copies = materialize(copies, "differing")
     frequency = np.zeros(len(keys), dtype=np.int64)
     # One number per item shingle, whatever the corpus.
-    for r in copies.select(F.explode("shared").alias("s")).groupBy("s").count().collect():
-        frequency[r["s"]] = r["count"]
+    counted = copies.select(F.explode("shared").alias("s")).groupBy("s").count().toPandas()
+    frequency[counted["s"].to_numpy(dtype=np.int64)] = counted["count"].to_numpy(dtype=np.int64)
     rate(items, keys, frequency, max(COMMON_DOCUMENTS, int(COMMON_SHARE * copies.count())))
     held_join = context.broadcast(Join(items, frequency))
 

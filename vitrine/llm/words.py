@@ -43,14 +43,36 @@ def visible(text: str) -> str:
     return mended(text)
 
 
-#: Combining marks.
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+_COMBINING = [chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+#: Combining marks, and those of the basic plane: a set of these alone is looked up many times faster.
+_MARKS, _BASIC_MARKS = (re.compile("[" + "".join(x) + "]+") for x in (_COMBINING, [c for c in _COMBINING if c <= "\uffff"]))
+_BEYOND_BASIC = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _marks(text: str) -> re.Pattern:
+    return _MARKS if _BEYOND_BASIC.search(text) else _BASIC_MARKS
 
 
 def folded(text: str) -> str:
     """Lower case without accents."""
     text = text.lower()
-    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text))
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFD", text)
+    return _marks(text).sub("", text)
+
+
+def has_marks(text: str) -> bool:
+    """Whether accents stand apart from their letters somewhere."""
+    return not text.isascii() and _marks(text).search(text) is not None
+
+
+def written_words(text: str | None) -> list[str]:
+    """The words of :func:`words` as written: each becomes the same word when folded. For readers that remember what they folded."""
+    if not text:
+        return []
+    text = visible(text)
+    return _WORD.findall(folded(text) if has_marks(text) else text)
 
 
 def words(text: str | None) -> list[str]:
