@@ -44,6 +44,8 @@ NEIGHBOURS = 0.3
 HUBS = {"e": 1.0, "t": 1.0, "f": 0.9, "p": 0.6}
 #: Greatest change of a similarity in a round after which rescoring is stable.
 STABLE = 1e-6
+#: Right records for each group of left records that are settled together.
+RECORDS_AT_ONCE = 2_000
 #: Least similarity of a match, and least share of the best of a record without area.
 ACCEPT, OF_BEST = 0.3, 0.85
 
@@ -218,14 +220,15 @@ def unsized_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _settle(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The similarities of one left record's links, by repeated rescoring; one row per link and hub."""
-    r = group.column("r").combine_chunks().dictionary_encode()
-    link, first = np.unique(r.indices.to_numpy(), return_index=True)
-    of = np.searchsorted(link, r.indices.to_numpy())
+    """The similarities of some left records' links, by repeated rescoring; one row per link and hub."""
+    l, r, hub = (group.column(c).combine_chunks().dictionary_encode() for c in ("l", "r", "hub"))
+    left = l.indices.to_numpy().astype(np.int64)
+    _, first, of = np.unique(left * len(r.dictionary) + r.indices.to_numpy(), return_index=True, return_inverse=True)
     own = group.column("own").to_numpy()[first]
-    hub = group.column("hub").combine_chunks().dictionary_encode()
     shared = np.flatnonzero(hub.indices.is_valid().to_numpy(zero_copy_only=False))
-    at, code = of[shared], hub.indices.take(pa.array(shared)).to_numpy()
+    at = of[shared]
+    # A hub counts for each left record on its own.
+    code = np.unique(left[shared] * max(1, len(hub.dictionary)) + hub.indices.take(pa.array(shared)).to_numpy(), return_inverse=True)[1]
     n, w = group.column("n").take(pa.array(shared)).to_numpy(), group.column("w").take(pa.array(shared)).to_numpy()
     supported = np.zeros(len(own), dtype=bool)
     supported[at] = True
@@ -264,7 +267,10 @@ def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
         weight = F.when(F.substring("hub", 1, 1) == kind, w).otherwise(weight)
     members = members.join(sizes, "hub").select("r", F.xxhash64("hub").alias("hub"), "n", weight.alias("w"))
     links = links.groupBy("l", "r").agg(F.max("s").alias("own"), F.bool_or("settled").alias("settled"))
-    return map_groups(links.join(members, "r", "left").select("l", "r", "own", "settled", "hub", "n", "w"), ["l"], [], _settle, "l string, r string, s double, settled boolean")
+    # Left records share a task's rounds, so that few of them are worth a start.
+    bucket = F.pmod(F.xxhash64("l"), F.lit(right.count() // RECORDS_AT_ONCE + 1)).alias("bucket")
+    rows = links.join(members, "r", "left").select(bucket, "l", "r", "own", "settled", "hub", "n", "w")
+    return map_groups(rows, ["bucket"], [], _settle, "l string, r string, s double, settled boolean")
 
 
 def accepted(links: DataFrame) -> DataFrame:
