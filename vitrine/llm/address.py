@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
+from vitrine.llm.words import folded
+
 # Street types and their abbreviations.
 STREET_TYPES = {
     "r": "rua", "rua": "rua",
@@ -61,8 +62,7 @@ def plain(text: str | None) -> str:
     if not text:
         return ""
     text = text.replace("º", " ").replace("°", " ").replace("ª", "a ")
-    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return " ".join(bare.split())
+    return " ".join(folded(text).split())
 
 
 def place(text: str | None) -> str:
