@@ -43,7 +43,8 @@ def cost_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     plain = F.concat(F.lit("Aluguel R$ "), rent, F.lit(" Condomínio R$ "), condo, F.lit(" IPTU: R$ 80"))
     package = F.concat(F.lit("Pacote de locação R$ "), rent, F.lit(" Condomínio R$ 50"))
     made = F.when(c("p_partkey") % 3 == 0, package).when(c("p_partkey") % 3 == 1, plain).otherwise(F.concat(F.lit("R$ "), rent, F.lit(" /aluguel")))
-    return _part(spark, folder).select("p_partkey", money.cost_parts(made).alias("k")).select("p_partkey", "k.rent", "k.condo", "k.tax", "k.total", "k.complete")
+    # Exploded from an array of one, so that the parts are worked out once and not once for each of them.
+    return _part(spark, folder).select("p_partkey", made.alias("t")).select("p_partkey", F.explode(F.array(money.cost_parts(c("t")))).alias("k")).select("p_partkey", "k.rent", "k.condo", "k.tax", "k.total", "k.complete")
 
 
 COST = """
@@ -237,7 +238,7 @@ def declared_costs(spark: SparkSession, folder: str) -> DataFrame:
     some = lambda label, v: F.when(v.isNotNull(), F.concat(F.lit(f"{label} R$ "), v.cast("string"))).otherwise(F.lit(f"{label} R$ -"))
     rent, condo, tax = whole("aluguel"), whole("condominio"), whole("iptu")
     text = F.concat_ws(" · ", some("Aluguel", rent), some("Condomínio", condo), some("IPTU", tax), F.when(condo.isNotNull(), F.concat(F.lit("Aluguel + Condomínio R$ "), (F.coalesce(rent, F.lit(0)) + condo + 1).cast("string"), F.lit("/mês"))))
-    read = rows.select("url", text.alias("t")).select("url", money.declared_cost(c("t")).alias("k"), money.total_price(c("t")).alias("soma"))
+    read = rows.select("url", text.alias("t")).select("url", F.explode(F.array(money.declared_cost(c("t")))).alias("k"), money.total_price(c("t")).alias("soma"))
     return read.select("url", "k.rent", "k.condo", "k.tax", "k.total", "k.complete", "soma")
 
 
