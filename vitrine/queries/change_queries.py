@@ -172,7 +172,7 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
 def _source_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Each source in each run: listings delivered, those within a search profile, those that can't be told; a run that failed delivered none."""
     e = table(spark, folder, "execucao").select(c("id").alias("run"), "iniciada_em", "status", F.unix_timestamp("encerrada_em") - F.unix_timestamp("iniciada_em"))
-    runs = F.array(*[F.struct(F.lit(r[0]).alias("run"), F.lit(r[1]).alias("at"), F.lit(r[2]).alias("status"), F.lit(r[3]).alias("length")) for r in quality.latest_runs(e, run="run", n=RUNS).join(e, "run").collect()])
+    runs = F.array(*[F.struct(F.lit(r[0]).alias("run"), F.lit(r[1]).alias("at"), F.lit(r[2]).alias("status"), F.lit(r[3]).alias("length")) for r in quality.latest_runs(e, run="run", n=RUNS).join(e, "run").collect()]).cast("array<struct<run:bigint,at:timestamp,status:string,length:bigint>>")
     named = table(spark, folder, "fonte").select("site", F.explode(runs).alias("r")).select("site", "r.*")
     rows = table(spark, folder, "imoveis_snapshot")
     unknown = c("preco").isNull() | c("quartos").isNull()
