@@ -41,3 +41,12 @@ def test_packed_texts_are_whole(spark):
             filled[(r["lote"], r["conteiner"])] = filled.get((r["lote"], r["conteiner"]), 0) + r["n_tokens"]
         assert total == sizes and max(filled.values()) <= capacity
         assert len(filled) <= sum(sizes.values()) / capacity * 1.02 + 1
+
+
+def test_every_query_takes_empty_tables(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    for p in Path(FOLDER).glob("*.parquet"):
+        pq.write_table(pq.read_table(p).slice(0, 0), tmp_path / p.name)
+    for name, (run, _) in QUERIES.items():
+        assert run(spark, str(tmp_path)).collect() == [], name
