@@ -1,10 +1,12 @@
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine import session
 from vitrine.operators.arrow_groups import map_groups
-from vitrine.session import bounded_lookup, discard, materialize_at, shared_dir
+from vitrine.session import CLEANUP, bounded_lookup, discard, materialize, materialize_at, settled, shared_dir
 
 
 def test_lookup_is_broadcast_within_its_bound_only(spark):
@@ -33,6 +35,39 @@ def test_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
     assert session.shared_dir(spark) == session.shared_dir(spark)
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(n).getName() for n in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, was = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    table = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("g")).count()
+    out, path = materialize_at(table, "x")
+    for _ in range(100):  # they are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP, None) == was
+    assert out.count() == 7
+    discard(spark, path)
+
+
+def test_settled_keeps_only_its_own_table(spark):
+    paths = []
+
+    def make():
+        one, path = materialize_at(spark.range(3), "one")
+        paths.append(path)
+        return settled(lambda: materialize(one, "inner"), "two").union(one)
+
+    out = settled(make, "three")
+    folder = os.path.dirname(paths[0].removeprefix("file://"))
+    assert out.count() == 6
+    assert not [n for n in os.listdir(folder) if n.split("-")[0] in ("one", "inner", "two")]
+
+
 def test_groups_cross_batches(spark):
     import pyarrow as pa
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.address import edits, parse, place, plain, words_alike
 from vitrine.llm.components import connected_components
 from vitrine.llm.sorted_neighbourhood import blocked, neighbours
-from vitrine.session import materialize
+from vitrine.session import discard, materialize, materialize_at, settled
 
 #: Neighbours compared in each pass's order.
 WINDOW = 12
@@ -154,14 +154,17 @@ def building_groups(rows: DataFrame, units: bool = False) -> DataFrame:
     """
     form = [*FORM, *UNITS] if units else FORM
     placed = with_place(rows.where("id is not null and (number <> '' or building <> '')"))
-    keyed = materialize(placed.groupBy("id", *form).count().drop("count"), "readings")
+    keyed, path = materialize_at(placed.groupBy("id", *form).count().drop("count"), "readings")
     forms = materialize(keyed.groupBy(*form).count().select(F.monotonically_increasing_id().alias("form"), *form), "forms")
+    # From here on a reading is the number of its form.
+    members = materialize(keyed.join(forms, form).select("id", "form"), "members")
+    discard(rows.sparkSession, path)
     sorted_by = forms.select("form", *form, F.explode(_passes()).alias("p")).select("p.pass", "p.key", "form", *form)
-    near = neighbours(sorted_by, keys=["pass", "key"], id="form", fields=form, window=WINDOW, compare=_alike)
-    beside = blocked(forms.withColumn("_key", F.explode(_keys())), key="_key", id="form", fields=form, compare=_alike)
-    links = materialize(near.unionByName(beside).distinct(), "same-building")
-    labels = connected_components(links, forms.select(F.col("form").alias("v")))
-    return keyed.join(forms.join(labels, F.col("form") == F.col("v")).select(*form, F.col("label").alias("building_group")), form).select("id", "building_group").distinct()
+    # Half of the passes at a time, so that half of the spread forms are on disk at once.
+    near = [settled(lambda p=p: neighbours(sorted_by.where(F.col("pass").isin(*p)), keys=["pass", "key"], id="form", fields=form, window=WINDOW, compare=_alike), "near") for p in ((1, 2, 3), (4, 5, 6))]
+    beside = settled(lambda: blocked(forms.withColumn("_key", F.explode(_keys())), key="_key", id="form", fields=form, compare=_alike), "beside")
+    labels = settled(lambda: connected_components(near[0].unionByName(near[1]).unionByName(beside), forms.select(F.col("form").alias("v"))), "building-labels")
+    return members.join(labels, F.col("form") == F.col("v")).select("id", F.col("label").alias("building_group")).distinct()
 
 
 def pairs_within(members: DataFrame, group: str, id: str) -> DataFrame:

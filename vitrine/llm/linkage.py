@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.arrow_groups import map_groups
 from vitrine.operators.nearby import distance_m, usable
-from vitrine.session import materialize
+from vitrine.session import materialize, settled
 
 #: What a record must have; ``fee`` and ``tax`` are the shares of the price that go with a dwelling.
 COLUMNS = ["id", "building", "city", "street", "zip", "lat", "lon", "rooms", "area", "price", "floor", "fee", "tax"]
@@ -91,9 +91,12 @@ def with_buildings(records: DataFrame) -> DataFrame:
     profile = named.where(F.col("area") > 0).groupBy("building", "city", "street", "zip", "rooms", F.round("area", 1).alias("area"), "fee", "tax", "floor").agg(F.avg("price").alias("price"))
     profile = profile.join(spots, "building")
     profile = profile.select(*[F.col(c).alias("p_" + c) for c in profile.columns if c not in ("y", "x")], "y", "x", _band(F.col("area"), AREA).alias("band"))
-    around = F.sequence(F.lit(-1), F.lit(1))
+    # The cells that a circle of REACH around the record touches; a degree of latitude has more than 110 km.
+    touched = lambda c, d: F.explode(F.sequence(cell(F.col(c) - d), cell(F.col(c) + d)))
+    high = F.lit(REACH / 110_000)
+    wide = F.least(high / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)), F.lit(0.001))
     asked = open_.where(fine & (F.col("area") > 0)).withColumn("band", F.explode(_bands(F.col("area"), AREA)))
-    asked = asked.withColumn("y", F.explode(F.transform(around, lambda d: cell(F.col("lat")) + d))).withColumn("x", F.explode(F.transform(around, lambda d: cell(F.col("lon")) + d)))
+    asked = asked.withColumn("y", touched("lat", high)).withColumn("x", touched("lon", wide))
     away = distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     met = asked.join(profile, ["y", "x", "band"]).where(
         (F.col("city") == F.col("p_city"))
@@ -260,7 +263,7 @@ def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
     support each other, so each one's links are settled on their own, in one
     pass; hubs stand in for pairs of right records, none of which is expanded.
     """
-    members = right.where("building is not null").select(F.col("id").alias("r"), F.explode(_hubs()).alias("hub")).distinct()
+    members = right.where("building is not null").select(F.col("id").alias("r"), F.explode(_hubs()).alias("hub"))
     sizes = members.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
     weight = F.lit(0.0)
     for kind, w in HUBS.items():
@@ -270,7 +273,8 @@ def rescored(links: DataFrame, right: DataFrame) -> DataFrame:
     # Left records share a task's rounds, so that few of them are worth a start.
     bucket = F.pmod(F.xxhash64("l"), F.lit(right.count() // RECORDS_AT_ONCE + 1)).alias("bucket")
     rows = links.join(members, "r", "left").select(bucket, "l", "r", "own", "settled", "hub", "n", "w")
-    return map_groups(rows, ["bucket"], [], _settle, "l string, r string, s double, settled boolean")
+    types = dict(links.dtypes)
+    return map_groups(rows, ["bucket"], [], _settle, f"l {types['l']}, r {types['r']}, s double, settled boolean")
 
 
 def accepted(links: DataFrame) -> DataFrame:
@@ -289,9 +293,26 @@ def link(left: DataFrame, right: DataFrame) -> DataFrame:
     is unknown and whose coordinate no other record has, has no match. Ids are
     unique per side.
     """
-    marked = left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
-    marked = materialize(marked, "records")
-    both = materialize(with_areas(materialize(with_buildings(marked), "with-buildings")), "placed")
-    l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
-    similar = own_similarity(candidates(l, r), l, r).unionByName(unsized_pairs(l, r))
-    return accepted(materialize(rescored(similar, r), "rescored")).select("l", "r", F.round("s", 4).alias("confidence"))
+    return linked(materialize(records(left, right), "records"))
+
+
+def records(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The records of both sides, each with its ``side``."""
+    return left.select(*COLUMNS, F.lit("l").alias("side")).unionByName(right.select(*COLUMNS, F.lit("r").alias("side")))
+
+
+def linked(records: DataFrame) -> DataFrame:
+    """:func:`link` over a written table of :func:`records`."""
+
+    def placed() -> DataFrame:
+        # What only tells buildings apart isn't needed further on.
+        return with_areas(settled(lambda: with_buildings(records).drop("city", "street", "zip"), "with-buildings"))
+
+    def scores() -> DataFrame:
+        both = settled(placed, "placed")
+        l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
+        sized = settled(lambda: own_similarity(candidates(l, r), l, r), "similar")
+        unsized = settled(lambda: unsized_pairs(l, r), "unsized-similar")
+        return rescored(sized.unionByName(unsized), r)
+
+    return accepted(settled(scores, "rescored")).select("l", "r", F.round("s", 4).alias("confidence"))

@@ -2,7 +2,9 @@
 
 Everything that cuts lineage goes through :func:`materialize`, which writes a
 Parquet table below the folder named by ``spark.checkpoint.dir``; executors can
-be lost at any time without losing an intermediate result.
+be lost at any time without losing an intermediate result. The shuffle files of
+a table go as soon as it is written; :func:`settled` also deletes the tables
+that only led to another.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +23,12 @@ from pyspark.sql import functions as F
 #: Rows up to which a lookup table may be sent to every executor.
 LOOKUP_ROWS = 100_000
 
+#: Whether Spark deletes the shuffle files of an execution at its end, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_DIR: list[str] = []
+#: Paths of the tables written within the innermost :func:`settled`.
+_WITHIN: ContextVar[list[str] | None] = ContextVar("_WITHIN", default=None)
 
 
 def build_session(app: str = "vitrine", cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -62,11 +72,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return materialize_at(df, label)[0]
 
 
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Executions within leave no shuffle files; outside all is as it was set."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As :func:`materialize`, with the path, for :func:`discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vitrine/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
+    within = _WITHIN.get()
+    if within is not None:
+        within.append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)  # results read it until the session ends
     return spark.read.schema(df.schema).parquet(path), path
@@ -78,6 +103,20 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table ``make()`` gives, written; the tables that ``make`` wrote on the way are deleted, so no other result may read them."""
+    own: list[str] = []
+    token = _WITHIN.set(own)
+    try:
+        df = make()
+    finally:
+        _WITHIN.reset(token)
+    out = materialize(df, label)
+    for path in own:
+        discard(df.sparkSession, path)
+    return out
+
+
 def bounded_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else ``df`` as it is.
 
