@@ -191,6 +191,7 @@ def own_similarity(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataF
     rooms = F.when(F.col("l_rooms") == F.col("r_rooms"), 1.0).otherwise(0.5)
     sure = F.coalesce(F.col("l_placed") * F.col("r_placed"), F.lit(UNPLACED)) * F.col("l_surveyed") * F.col("r_surveyed")
     rated = both.select("l", "r", neither.alias("neither"), (sure * (0.5 + 0.2 * (1 - off) + 0.15 * price + 0.15 * rooms)).alias("s"))
+    rated = materialize(rated, "rated")  # else it would be worked out for either use
     alone = rated.where("neither").groupBy("r").agg(F.count("*").alias("partners"))
     return rated.join(alone, "r", "left").select("l", "r", (F.col("s") / F.when(F.col("neither"), F.col("partners")).otherwise(1)).alias("s"), F.lit(True).alias("settled"))
 
@@ -311,8 +312,12 @@ def linked(records: DataFrame) -> DataFrame:
     def scores() -> DataFrame:
         both = settled(placed, "placed")
         l, r = both.where("side = 'l'").drop("side"), both.where("side = 'r'").drop("side")
-        sized = settled(lambda: own_similarity(candidates(l, r), l, r), "similar")
+        pairs = settled(lambda: candidates(l, r).select("l", "r"), "candidates")
+        sized = settled(lambda: own_similarity(pairs, l, r), "similar")
         unsized = settled(lambda: unsized_pairs(l, r), "unsized-similar")
-        return rescored(sized.unionByName(unsized), r)
+        links = sized.unionByName(unsized)
+        # Left records are settled each on its own, so half of them may be on disk at once.
+        one, two = (settled(lambda p=p: rescored(links.where(F.pmod(F.hash("l"), F.lit(2)) == p), r), "rescored") for p in (0, 1))
+        return accepted(one.unionByName(two)).select("l", "r", F.round("s", 4).alias("confidence"))
 
-    return accepted(settled(scores, "rescored")).select("l", "r", F.round("s", 4).alias("confidence"))
+    return settled(scores, "linked")
